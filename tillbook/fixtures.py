@@ -226,7 +226,7 @@ class Fixtures:
     @cached_property
     def roles(self) -> DataFrame:
         kinds = self.events.select("event_type").distinct()
-        per_app = kinds.select(F.explode(F.array(F.lit(0), F.lit(1))).cast("bigint").alias("ApplicationId"), "event_type")
+        per_app = kinds.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ApplicationId"), "event_type")
         return per_app.select(
             F.concat(F.col("event_type"), F.lit("@"), F.col("ApplicationId")).alias("RoleId"),
             F.initcap("event_type").alias("RoleName"),

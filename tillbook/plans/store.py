@@ -203,7 +203,6 @@ def requested_product_details(spark, sf_dir):
 def category_products_nested(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     nested = nesting.nest(fx.categories, fx.products, "catNumber", ["productCode", "productName", "buyPrice"], "products")
-    # Chunks of a category are counted together; each keeps its own array.
     return nested.select(
         "catNumber",
         "catName",
