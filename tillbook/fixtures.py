@@ -6,10 +6,11 @@ independently in SQL, are in ``plans/oracle_views.py``.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillbook.functions.property_bag import encode_bag
 from tillbook.functions.text import base64_text
@@ -31,6 +32,12 @@ def login_email(name: F.Column) -> F.Column:
     return F.concat(F.lower(F.replace(name, F.lit("#"), F.lit("."))), F.lit("@example.com"))
 
 
+@lru_cache(maxsize=None)
+def _file_schema(path: str) -> T.StructType:
+    """Schema of an unchanging table; its files are opened for it once."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 class Fixtures:
     """Lazily built views over one scale-factor folder."""
 
@@ -39,30 +46,43 @@ class Fixtures:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        return self.spark.read.schema(_file_schema(path)).parquet(path)
+
+    @cached_property
+    def _nations(self) -> tuple[F.Column, F.Column]:
+        """Maps from nation key to nation and region name: 25 fixed rows.
+
+        A scalar subquery, so queries that use neither name read neither table.
+        """
+        nation, region = self.table("nation"), self.table("region")
+        places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+
+        def names(column: str) -> F.Column:
+            return places.agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", column)))).scalar()
+
+        return names("n_name"), names("r_name")
+
+    @cached_property
+    def _category_names(self) -> F.Column:
+        """The part types in name order: six fixed values."""
+        return self.table("part").agg(F.array_sort(F.collect_set("p_type"))).scalar()
 
     # --- store -----------------------------------------------------------
 
     @cached_property
     def customers(self) -> DataFrame:
-        nation, region = self.table("nation"), self.table("region")
-        places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-            "n_nationkey", "n_name", "r_name"
-        )
-        return (
-            self.table("customer")
-            .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.col("c_custkey").alias("customerNumber"),
-                F.col("c_name").alias("customerName"),
-                F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))), F.lit(".png")).alias("logoFileName"),
-                F.col("c_name").alias("contactLastName"),
-                F.split("c_name", "#")[0].alias("contactFirstName"),
-                F.col("n_name").alias("city"),
-                F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("state"),
-                F.col("r_name").alias("country"),
-                F.col("c_acctbal").alias("creditLimit"),
-            )
+        city, country = (F.element_at(names, F.col("c_nationkey")) for names in self._nations)
+        return self.table("customer").select(
+            F.col("c_custkey").alias("customerNumber"),
+            F.col("c_name").alias("customerName"),
+            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))), F.lit(".png")).alias("logoFileName"),
+            F.col("c_name").alias("contactLastName"),
+            F.split("c_name", "#")[0].alias("contactFirstName"),
+            city.alias("city"),
+            F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("state"),
+            country.alias("country"),
+            F.col("c_acctbal").alias("creditLimit"),
         )
 
     @cached_property
@@ -136,31 +156,21 @@ class Fixtures:
     @cached_property
     def categories(self) -> DataFrame:
         """One row per part type, numbered in name order, and a childless one."""
-        types = self.table("part").select("p_type").distinct()
-        earlier = types.select(F.col("p_type").alias("other"))
-        # A handful of types: numbering counts the distinct names up to each one.
-        named = types.select(
-            F.array_position(earlier.agg(F.array_sort(F.collect_set("other"))).scalar(), F.col("p_type")).alias(
-                "catNumber"
-            ),
-            F.col("p_type").alias("catName"),
+        named = self.spark.range(1).select(F.posexplode(self._category_names)).select(
+            (F.col("pos") + 1).cast("bigint").alias("catNumber"), F.col("col").alias("catName")
         )
         empty = self.spark.range(1).select(F.lit(99).cast("bigint").alias("catNumber"), F.lit("EMPTY").alias("catName"))
         return named.unionByName(empty)
 
     @cached_property
     def products(self) -> DataFrame:
-        return (
-            self.table("part")
-            .join(self.categories, F.col("p_type") == F.col("catName"))
-            .select(
-                F.col("p_partkey").alias("productCode"),
-                F.col("p_name").alias("productName"),
-                "catNumber",
-                F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg")).alias("productImage"),
-                F.col("p_brand").alias("productVendor"),
-                F.col("p_retailprice").alias("buyPrice"),
-            )
+        return self.table("part").select(
+            F.col("p_partkey").alias("productCode"),
+            F.col("p_name").alias("productName"),
+            F.array_position(self._category_names, F.col("p_type")).alias("catNumber"),
+            F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg")).alias("productImage"),
+            F.col("p_brand").alias("productVendor"),
+            F.col("p_retailprice").alias("buyPrice"),
         )
 
     @cached_property

@@ -91,15 +91,18 @@ def fold_failures(state: Column, times: Column, limit: int, window: Column) -> C
     return F.aggregate(times, state, step)
 
 
-def window_outcomes(times: Column, limit: int, window: Column) -> Column:
+def window_outcomes(times: Column, first: Column, limit: int, window: Column) -> Column:
     """What a block's failures of one counter do to any window carried in.
 
-    A carried window absorbs fewer than ``limit`` failures or locks, so the
-    first ``limit`` failures and, for each of them, the outcome of starting
-    anew there tell everything: (ts, end) per candidate start.
+    A carried window started no later than ``first``, the block's first event,
+    so it can absorb only failures up to first + window, and fewer than
+    ``limit`` of them or it locks. The failures in its reach and the one after
+    them, each with the outcome of starting anew there, tell everything:
+    (ts, end) per candidate start.
     """
     n = F.size(times)
-    candidates = F.least(n, F.lit(limit + 1))
+    reach = F.size(F.filter(F.slice(times, 1, limit + 1), lambda ts: ts <= first + window))
+    candidates = F.least(n, reach + 1)
     return F.when(
         n > 0,
         F.transform(
@@ -112,8 +115,13 @@ def window_outcomes(times: Column, limit: int, window: Column) -> Column:
     ).otherwise(F.array().cast(f"array<struct<ts:timestamp_ntz,end:{WINDOW}>>"))
 
 
-def carry(count: Column, start: Column, outcomes: Column, limit: int, window: Column) -> Column:
-    """Window after a block, from the carried window and the block's outcomes."""
+def carry(
+    count: Column, start: Column, failures: Column, outcomes: Column, limit: int, window: Column
+) -> Column:
+    """Window after a block, from the carried one and the block's outcomes.
+
+    ``failures`` is how many the block holds of this counter.
+    """
     kept = F.struct(F.lit(False).alias("locks"), count.alias("count"), start.alias("start")).cast(WINDOW)
     inside = F.size(F.filter(outcomes, lambda o: o["ts"] <= start + window))
     locked = F.struct(F.lit(True).alias("locks"), count.alias("count"), start.alias("start")).cast(WINDOW)
@@ -121,9 +129,9 @@ def carry(count: Column, start: Column, outcomes: Column, limit: int, window: Co
         F.lit(False).alias("locks"), (count + inside).alias("count"), start.alias("start")
     ).cast(WINDOW)
     return (
-        F.when(F.size(outcomes) == 0, kept)
+        F.when(failures == 0, kept)
         .when(count == 0, F.get(outcomes, F.lit(0))["end"])
         .when(count + inside > limit, locked)
-        .when(inside == F.size(outcomes), absorbed)
+        .when(inside == failures, absorbed)
         .otherwise(F.get(outcomes, inside)["end"])
     )

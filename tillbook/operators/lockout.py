@@ -43,6 +43,8 @@ def _summarised(runs: DataFrame, limit: int, window: Column) -> DataFrame:
     return (
         runs.withColumn("success", success)
         .withColumn("head", head)
+        .withColumn("password_times", failures(True))
+        .withColumn("answer_times", failures(False))
         .select(
             "user_id",
             "block",
@@ -52,16 +54,22 @@ def _summarised(runs: DataFrame, limit: int, window: Column) -> DataFrame:
                     rules.clean_state(), F.slice("events", F.col("success"), F.size("events")), limit, window
                 ),
             ).alias("tail"),
-            rules.window_outcomes(failures(True), limit, window).alias("password"),
-            rules.window_outcomes(failures(False), limit, window).alias("answer"),
+            F.size("password_times").alias("password_failures"),
+            rules.window_outcomes(F.col("password_times"), F.col("events")[0]["ts"], limit, window).alias("password"),
+            F.size("answer_times").alias("answer_failures"),
+            rules.window_outcomes(F.col("answer_times"), F.col("events")[0]["ts"], limit, window).alias("answer"),
         )
     )
 
 
 def _after_block(state: Column, block: Column, limit: int, window: Column) -> Column:
     """State after a block; on a lock only the flag is meaningful."""
-    password = rules.carry(state["password_count"], state["password_start"], block["password"], limit, window)
-    answer = rules.carry(state["answer_count"], state["answer_start"], block["answer"], limit, window)
+    password = rules.carry(
+        state["password_count"], state["password_start"], block["password_failures"], block["password"], limit, window
+    )
+    answer = rules.carry(
+        state["answer_count"], state["answer_start"], block["answer_failures"], block["answer"], limit, window
+    )
     locks = password["locks"] | answer["locks"]
     open_end = F.struct(
         F.lit(False).alias("locked"), F.lit(None).cast("timestamp_ntz").alias("locked_at"),
@@ -80,7 +88,7 @@ def _deciding_blocks(summaries: DataFrame, limit: int, window: Column) -> DataFr
     """For accounts in several blocks: the block that decides, and the state
     carried into it: the block of the lock, else the last one."""
     ordered = summaries.groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct("block", "tail", "password", "answer"))).alias("blocks")
+        F.sort_array(F.collect_list(F.struct("block", "tail", "password_failures", "password", "answer_failures", "answer"))).alias("blocks")
     )
     # Until a block locks, each step remembers the state it started from.
     start = F.struct(

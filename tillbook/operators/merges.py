@@ -66,6 +66,11 @@ def unlock(accounts: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def _sequence(order: Sequence[str]) -> Column:
+    """One comparable column; a single one stays as it is and hashes."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 # --- users ----------------------------------------------------------------
 
 
@@ -132,7 +137,7 @@ def creation_status(
         requests.withColumn("_status", checks)
         .withColumn("_name", F.lower(trimmed(c("Username"))))
         .withColumn("_email", F.lower(trimmed(c("Email"))))
-        .withColumn("_order", F.struct(*order))
+        .withColumn("_order", _sequence(order))
         .drop("Password", "Question", "Answer")
     )
     names = users.select("ApplicationId", c("LoweredUsername").alias("_name")).distinct().withColumn("_taken", F.lit(True))
@@ -209,7 +214,7 @@ def creation_status_of_roles(requests: DataFrame, roles: DataFrame, order: Seque
     marked = (
         requests.withColumn("_status", error)
         .withColumn("_name", F.lower(trimmed(F.col("RoleName"))))
-        .withColumn("_order", F.struct(*order))
+        .withColumn("_order", _sequence(order))
     )
     known = roles.select("ApplicationId", F.col("LoweredRoleName").alias("_name")).distinct()
     marked = marked.join(known.withColumn("_taken", F.lit(True)), ["ApplicationId", "_name"], "left").withColumn(
