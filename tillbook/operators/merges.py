@@ -190,15 +190,18 @@ def _first_wins_by_both(marked: DataFrame) -> DataFrame:
         waiting = written(waiting.join(won, name, "left_anti").join(won, mail, "left_anti"), "waiting")
     if winners is None:
         return marked
+    # A taken name does not hide that an earlier winner of the batch holds the address.
+    by_name_only = F.col("_status").isNull() | (F.col("_status") == "DuplicateUserName")
     outcome = (
-        F.when((F.col("_order") == F.col("_won_name")) & (F.col("_order") == F.col("_won_mail")), "Success")
-        .when(F.col("_order") > F.col("_won_mail"), "DuplicateEmail")
+        F.when(by_name_only & (F.col("_order") > F.col("_won_mail")), "DuplicateEmail")
+        .when(F.col("_status").isNotNull(), F.col("_status"))
+        .when((F.col("_order") == F.col("_won_name")) & (F.col("_order") == F.col("_won_mail")), "Success")
         .otherwise("DuplicateUserName")
     )
     return (
         marked.join(winners.select(*name, F.col("_order").alias("_won_name")), name, "left")
         .join(winners.select(*mail, F.col("_order").alias("_won_mail")), mail, "left")
-        .withColumn("_status", F.coalesce("_status", outcome))
+        .withColumn("_status", outcome)
         .drop("_won_name", "_won_mail")
     )
 

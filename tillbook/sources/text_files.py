@@ -27,7 +27,8 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Name, path, size, extension and content type of the files below a path.
 
-    Only metadata is read; the bytes of the files are not.
+    Only metadata is read; the bytes of the files are not. Spark's file readers
+    pass over empty files, so those are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
