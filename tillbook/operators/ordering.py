@@ -77,7 +77,7 @@ def page(df: DataFrame, group: Sequence[str], order: Sequence[str], index: int,
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     rows = df.withColumn("row_no", rank).where(F.col("row_no") <= last).where(F.col("row_no") > first)
     totals = df.groupBy(*group).agg(F.count("*").alias("total"))
-    return rows.join(totals, list(group))
+    return rows.withColumn("row_no", F.col("row_no").cast("bigint")).join(totals, list(group))
 
 
 def single_page(df: DataFrame, order: Sequence[str], index: int, size: int) -> DataFrame:

@@ -495,7 +495,7 @@ MEMBERS_SQL = """
 MEMBER_VIEWS = ("users", "roles", "users_in_roles")
 PROFILE_LIST_SQL = """
     SELECT u."UserId", u."Username", u."LoweredUsername", u."ApplicationId", u."IsAnonymous", u."LastActivityDate",
-           p."LastUpdatedDate", length("PropertyNames") + length("PropertyValuesString") AS size
+           p."LastUpdatedDate", CAST(length("PropertyNames") + length("PropertyValuesString") AS INTEGER) AS size
     FROM users u JOIN profiles p ON p."UserId" = u."UserId" """
 LOCKOUT_CTES = {
     "numbered": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM attempts",
@@ -592,13 +592,13 @@ ORACLES = {
             SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS row_no,
                    count(*) OVER (PARTITION BY event_type) AS total FROM events)""",
     "application_roles": with_views("""
-        SELECT "ApplicationId", 0 AS chunk, string_agg("RoleName", ',' ORDER BY "RoleName") AS roles
+        SELECT "ApplicationId", CAST(0 AS BIGINT) AS chunk, string_agg("RoleName", ',' ORDER BY "RoleName") AS roles
         FROM roles GROUP BY 1""", "roles"),
     "roles_per_user": with_views("""
-        SELECT "ApplicationId", "Username", 0 AS chunk, string_agg("RoleName", ',' ORDER BY "RoleName") AS roles
+        SELECT "ApplicationId", "Username", CAST(0 AS BIGINT) AS chunk, string_agg("RoleName", ',' ORDER BY "RoleName") AS roles
         FROM members GROUP BY 1, 2""", *MEMBER_VIEWS, extra={"members": MEMBERS_SQL}),
     "users_per_role": with_views("""
-        SELECT "ApplicationId", "RoleName", 0 AS chunk, string_agg("Username", ',' ORDER BY "Username") AS users
+        SELECT "ApplicationId", "RoleName", CAST(0 AS BIGINT) AS chunk, string_agg("Username", ',' ORDER BY "Username") AS users
         FROM members GROUP BY 1, 2""", *MEMBER_VIEWS, extra={"members": MEMBERS_SQL}),
     "role_members_like": with_views("""
         SELECT "ApplicationId", "RoleName", "Username" FROM members
@@ -693,7 +693,7 @@ ORACLES = {
     "delete_roles": with_views("""
         SELECT "ApplicationId", "LoweredRoleName", members,
                CASE WHEN "RoleId" IS NULL THEN 'not found' WHEN members > 0 THEN 'populated' ELSE 'deleted' END AS status
-        FROM (SELECT k.app AS "ApplicationId", k.name AS "LoweredRoleName", r."RoleId",
+        FROM (SELECT CAST(k.app AS BIGINT) AS "ApplicationId", k.name AS "LoweredRoleName", r."RoleId",
                      (SELECT count(*) FROM users_in_roles m WHERE m."RoleId" = r."RoleId") AS members
               FROM (SELECT event_type AS name, 0 AS app FROM events UNION SELECT lower(o_orderpriority), 1 FROM orders) k
               LEFT JOIN roles r ON r."ApplicationId" = k.app AND r."LoweredRoleName" = k.name)""",

@@ -77,7 +77,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "roles": ((), """
         SELECT event_type || '@' || app AS "RoleId",
                upper(event_type[1]) || event_type[2:] AS "RoleName",
-               event_type AS "LoweredRoleName", app AS "ApplicationId"
+               event_type AS "LoweredRoleName", CAST(app AS BIGINT) AS "ApplicationId"
         FROM (SELECT DISTINCT event_type FROM events), (VALUES (0), (1)) AS a(app)"""),
     "users_in_roles": ((), """
         SELECT user_id AS "UserId", event_type || '@' || (user_id % 2) AS "RoleId"

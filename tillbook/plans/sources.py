@@ -246,7 +246,9 @@ _LOG_SQL = with_views("""
 _TRIMMED = r"regexp_replace(comment, '^[\t\n\x0B\f\r\x{85}\p{Z}]+|[\t\n\x0B\f\r\x{85}\p{Z}]+$', '', 'g')"
 
 ORACLES = {
-    "delimited_roundtrip": with_views('SELECT *, CAST(NULL AS VARCHAR) AS comments FROM orders_v', "orders_v"),
+    "delimited_roundtrip": with_views('''
+        SELECT * REPLACE (CAST("orderNumber" AS INTEGER) AS "orderNumber", CAST("customerNumber" AS INTEGER) AS "customerNumber"),
+               CAST(NULL AS VARCHAR) AS comments FROM orders_v''', "orders_v"),
     "rebuild_report": """
         SELECT 'Orders' AS table_name, 'loaded' AS status, (SELECT count(*) FROM orders) AS rows_loaded,
                (SELECT count(*) FROM nation) AS rows_rejected
@@ -260,7 +262,7 @@ ORACLES = {
     "xml_select": with_views("""
         SELECT "customerNumber", "customerName" AS name, city, state FROM customers WHERE state = 'BUILDING'""", "customers"),
     "text_lines": """
-        SELECT length(line) AS line_length, count(*) AS lines
+        SELECT CAST(length(line) AS INTEGER) AS line_length, count(*) AS lines
         FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""",
     "file_inventory": """
         SELECT name || '.parquet' AS name, '.parquet' AS extension, true AS has_bytes, true AS unknown_type

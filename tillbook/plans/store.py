@@ -35,7 +35,8 @@ def customer_details(spark, sf_dir):
 
 def masked_customers(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    return lookup.mask_for_audience(lookup.customer_details(fx.customers, fx.logins), is_admin=False)
+    masked = lookup.mask_for_audience(lookup.customer_details(fx.customers, fx.logins), is_admin=False)
+    return masked.withColumn("question_hidden", F.col("question_id").isNull()).drop("question_id")
 
 
 def security_questions(spark, sf_dir):
@@ -312,7 +313,7 @@ ORACLES = {
         'SELECT c.*, l.email, l.question_id FROM customers c JOIN logins l ON c."customerNumber" = l."customerNumber"',
         "customers", "logins"),
     "masked_customers": with_views("""
-        SELECT c.* REPLACE (CAST(NULL AS VARCHAR) AS "logoFileName"), l.email, CAST(NULL AS BIGINT) AS question_id
+        SELECT c.* REPLACE (CAST(NULL AS VARCHAR) AS "logoFileName"), l.email, true AS question_hidden
         FROM customers c JOIN logins l ON c."customerNumber" = l."customerNumber" """, "customers", "logins"),
     "security_questions": with_views(
         "SELECT email, question_text FROM logins JOIN questions USING (question_id)", "logins", "questions"),
@@ -371,7 +372,7 @@ ORACLES = {
         for c in ("customerName", "logoFileName", "contactLastName", "contactFirstName", "city", "state", "country")),
         "customers"),
     "product_comments_nested": with_views("""
-        SELECT p."productCode", p."productName", 0 AS chunk, count("commentNumber") AS comment_count,
+        SELECT p."productCode", p."productName", CAST(0 AS BIGINT) AS chunk, CAST(count("commentNumber") AS INTEGER) AS comment_count,
                coalesce(string_agg("commentNumber" || '|' || email || '|' || comment, chr(10) ORDER BY "commentNumber"),
                         '') AS comment_list
         FROM products p LEFT JOIN comments c ON c."productCode" = p."productCode"
@@ -383,7 +384,7 @@ ORACLES = {
         WHERE p."productCode" IN (SELECT CASE WHEN toxic = 0 THEN doc_id ELSE 7 END FROM labels)
         GROUP BY p."productCode", p."productName" """, "products", "comments"),
     "category_products_nested": with_views("""
-        SELECT c."catNumber", c."catName", 0 AS chunk, count("productCode") AS product_count,
+        SELECT c."catNumber", c."catName", CAST(0 AS BIGINT) AS chunk, CAST(count("productCode") AS INTEGER) AS product_count,
                coalesce(string_agg("productCode" || ':' || "productName", ';' ORDER BY "productCode"), '') AS product_list
         FROM categories c LEFT JOIN products p ON c."catNumber" = p."catNumber"
         GROUP BY c."catNumber", c."catName" """, "categories", "products"),
@@ -397,8 +398,8 @@ ORACLES = {
         "SELECT query, email FROM typed JOIN logins ON starts_with(email, lower(query))",
         "logins", extra={"typed": TYPED_QUERIES_SQL}),
     "autocomplete_docs": with_views(r"""
-        SELECT query, to_json({'query': regexp_replace(query, '[\[\]{}]', '#', 'g'), 'suggestions': s, 'data': s})
-                   AS document, len(s) AS suggestion_count
+        SELECT query, CAST(to_json({'query': regexp_replace(query, '[\[\]{}]', '#', 'g'), 'suggestions': s, 'data': s})
+                           AS VARCHAR) AS document, CAST(len(s) AS INTEGER) AS suggestion_count
         FROM (SELECT query, coalesce(list(email ORDER BY email) FILTER (email IS NOT NULL), CAST([] AS VARCHAR[]))[:5] AS s
               FROM typed LEFT JOIN logins ON starts_with(email, lower(query)) GROUP BY query)""",
         "logins", extra={"typed": TYPED_QUERIES_SQL}),
