@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,11 @@ def spark():
     session = build_session(
         "tests",
         "local[8]",
-        {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": "/tmp/tillbook-warehouse"},
+        {
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
+        },
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

@@ -56,11 +56,11 @@ def test_all_pages_number_every_row_once(spark, many_blocks, people):
 
 
 def test_single_pages_together_are_the_whole_table(people):
-    whole = people.where("g IS NOT NULL")
+    whole = people
     seen = []
     for index in range(5):
         seen += [(r.g, r.id) for r in ordering.page(whole, ["g"], ["name", "id"], index, 80).collect()]
-    assert sorted(seen) == sorted((r.g, r.id) for r in whole.collect())
+    assert sorted(map(str, seen)) == sorted(str((r.g, r.id)) for r in whole.collect())
     one = [r.id for r in ordering.single_page(whole, ["name", "id"], 1, 10).collect()]
     assert one == [r.id for r in sorted(whole.collect(), key=lambda r: (r.name, r.id))][10:20]
 

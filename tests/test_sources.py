@@ -134,9 +134,9 @@ def test_json_documents_escape_and_an_empty_table_gives_none(spark):
     import json
 
     frame = spark.createDataFrame([(1, 'say "hi"\n'), (2, None)], "id int, t string")
-    rows = [json.loads(r.document) for r in json_out.as_documents(frame, "T", "id", 4).collect()]
+    rows = [json.loads(r.document) for r in json_out.as_documents(frame, "T", "id", 1).collect()]
     assert sorted((o["id"], o["t"]) for d in rows for o in d["T"]) == [(1, 'say "hi"\n'), (2, None)]
-    assert json_out.as_documents(frame.limit(0), "T", "id", 4).collect() == []
+    assert json_out.as_documents(frame.limit(0), "T", "id").collect() == []
     assert json.loads(json_out.as_objects(frame).first()[0]) == {"id": 1, "t": 'say "hi"\n'}
 
 

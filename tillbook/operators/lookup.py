@@ -48,9 +48,13 @@ def full_table(table: DataFrame) -> DataFrame:
 
 
 def by_key(table: DataFrame, keys: DataFrame, columns: str | Sequence[str]) -> DataFrame:
-    """Rows of ``table`` whose key appears in ``keys``."""
+    """Rows of ``table`` whose key appears in ``keys``.
+
+    Repeated keys are reduced first, before and after the shuffle the join
+    needs anyway, so a key repeated in a third of ``keys`` is no hot partition.
+    """
     names = [columns] if isinstance(columns, str) else list(columns)
-    return without_secrets(table).join(keys.select(*names), names, "left_semi")
+    return without_secrets(table).join(keys.select(*names).distinct(), names, "left_semi")
 
 
 def by_value(table: DataFrame, column: str, value) -> DataFrame:
@@ -203,7 +207,7 @@ def user_records(users: DataFrame, keys: DataFrame | None = None, key: str = "Lo
     """
     if keys is not None:
         wanted = F.lower(F.col(key)) if key.startswith("Lowered") else F.col(key)
-        users = users.join(keys.select(wanted.alias(key)), key, "left_semi")
+        users = users.join(keys.select(wanted.alias(key)).distinct(), key, "left_semi")
     texts = [c for c in ("Email", "PasswordQuestion", "Comment") if c in users.columns]
     return users.where(F.col("Username") != "").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in texts})
 

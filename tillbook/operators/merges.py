@@ -300,6 +300,8 @@ def grant_roles(
     )
     result = _resolved(pairs.select(*keys).distinct(), users, roles, users_in_roles).withColumn("status", status)
     if whole_requests:
+        # Used twice below: once for the verdict on each request, once for its pairs.
+        result = written(result, "grants")
         refused = F.col("status").isin("comma in name", "unknown role", "already in role")
         failed = result.where(refused).select("request_id").distinct().withColumn("_failed", F.lit(True))
         result = result.join(failed, "request_id", "left").withColumn(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.session import written
@@ -29,6 +29,14 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _same_group(group: Sequence[str]) -> Column:
+    """Join condition on g and _g; rows without a group are a group as well."""
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return same
+
+
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``row_no`` (from 1) within each group and ``total``, its row count.
 
@@ -46,11 +54,8 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Da
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("total"),
     )
-    same = F.col("block") == F.col("_block")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
     return (
-        blocks.join(offsets, same)
+        blocks.join(offsets, _same_group(group) & (F.col("block") == F.col("_block")))
         .withColumn("row_no", F.col("_before") + F.col("position") - F.col("_first") + 1)
         .drop("block", "position", "_block", "_first", "_before", *[f"_{g}" for g in group])
     )
@@ -76,8 +81,14 @@ def page(df: DataFrame, group: Sequence[str], order: Sequence[str], index: int,
     first, last = index * size, (index + 1) * size
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     rows = df.withColumn("row_no", rank).where(F.col("row_no") <= last).where(F.col("row_no") > first)
-    totals = df.groupBy(*group).agg(F.count("*").alias("total"))
-    return rows.withColumn("row_no", F.col("row_no").cast("bigint")).join(totals, list(group))
+    totals = df.groupBy(*group).agg(F.count("*").alias("total")).select(
+        *[F.col(g).alias(f"_{g}") for g in group], "total"
+    )
+    return (
+        rows.withColumn("row_no", F.col("row_no").cast("bigint"))
+        .join(totals, _same_group(group))
+        .drop(*[f"_{g}" for g in group])
+    )
 
 
 def single_page(df: DataFrame, order: Sequence[str], index: int, size: int) -> DataFrame:

@@ -161,7 +161,7 @@ def json_objects(spark, sf_dir):
 def json_documents(spark, sf_dir):
     """Orders packed into documents, written out, and read back from them."""
     orders = Fixtures(spark, sf_dir).orders.select("orderNumber", "status", "customerNumber")
-    documents = written(json_out.as_documents(orders, "Orders", "orderNumber", 16), "json-documents")
+    documents = written(json_out.as_documents(orders, "Orders", "orderNumber", 500), "json-documents")
     parsed = F.from_json("document", "Orders array<struct<orderNumber:bigint,status:string,customerNumber:bigint>>")
     return documents.select(F.explode(parsed["Orders"]).alias("o")).select("o.*")
 

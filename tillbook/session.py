@@ -56,8 +56,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; never reused between calls."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; never reused between calls.
+
+    All paths of an application share one folder, which can go when it ends.
+    """
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

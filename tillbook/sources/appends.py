@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tillbook.streaming.sinks import write_appends
 
 # Columns of each append-only table.
 APPEND_TABLES = {
@@ -21,17 +24,9 @@ def append(rows: DataFrame, table: str, path: str) -> None:
     rows.select(*columns).write.mode("append").parquet(path)
 
 
-def append_stream(rows: DataFrame, table: str, path: str, checkpoint: str):
+def append_stream(rows: DataFrame, table: str, path: str, checkpoint: str) -> StreamingQuery:
     """Append as rows arrive; exactly once through the file sink's log."""
-    return (
-        rows.select(*APPEND_TABLES[table])
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return write_appends(rows.select(*APPEND_TABLES[table]), path, checkpoint)
 
 
 def numbered(rows: DataFrame, number: str) -> DataFrame:

@@ -60,7 +60,11 @@ class LockoutProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         timers = set()
+        # A locked account ignores whatever comes later, so nothing is kept for it.
+        locked = self.account.exists() and self.account.get()[0]
         for batch in rows:
+            if locked:
+                continue
             values = list(zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["ok"].tolist(), batch["is_password"].tolist()))
             self.pending.appendList(values)
             # A timer fires once the watermark has passed it: round up.
