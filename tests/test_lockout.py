@@ -104,15 +104,15 @@ def random_rows(seed, users, events, span, success):
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_agrees_with_a_plain_walk_across_blocks(spark, many_blocks, seed):
+def test_agrees_with_a_plain_walk_across_blocks(spark, seed):
     """The hot account spans most blocks, with rare and frequent successes."""
     rng = random.Random(seed)
     limit, minutes = rng.choice([1, 2, 3, 6]), rng.choice([3, 10, 60])
     rows = random_rows(seed, 6, 400, rng.choice([300, 3000, 30000]), rng.choice([0.0, 0.02, 0.2]))
     frame = spark.createDataFrame(rows, SCHEMA)
-    spans = lockout._runs(frame).groupBy("user_id").count().agg(F.max("count")).first()[0]
+    spans = lockout._runs(frame, 8).groupBy("user_id").count().agg(F.max("count")).first()[0]
     assert spans > 2
-    assert results(lockout.lockout_state(frame, limit, minutes)) == walk(rows, limit, minutes)
+    assert results(lockout.lockout_state(frame, limit, minutes, blocks=8)) == walk(rows, limit, minutes)
 
 
 def test_stream_agrees_with_batch_when_attempts_arrive_in_any_order(spark):

@@ -16,6 +16,8 @@ def test_every_sql_belongs_to_a_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
     frame = QUERIES[name](spark, sf_dir)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     if name in ORACLES:
         assert compare(frame, ORACLES[name], sf_dir) is None
     else:

@@ -47,6 +47,7 @@ def test_rebuild_reports_missing_and_rejected(spark, folder):
     assert len(report) == 11
     assert spark.read.parquet(f"{target}/Orders").count() == 2
     assert spark.read.parquet(f"{target}/rejected/Orders").count() == 1
+    assert spark.read.parquet(f"{target}/OrderDetails").schema == schemas.TABLES["OrderDetails"].schema
     # A second rebuild replaces the tables.
     delimited.rebuild(spark, str(folder), target)
     assert spark.read.parquet(f"{target}/Orders").count() == 2
@@ -151,6 +152,16 @@ def test_append_checks_its_columns(spark):
         appends.append(frame.drop("email"), "comments", path)
 
 
+def test_append_stream(spark):
+    frame = spark.createDataFrame([("t", "e", "m")], "Title string, Email string, Message string")
+    path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")
+    for expected in (1, 2):
+        frame.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(frame.schema).parquet(path)
+        appends.append_stream(stream, "postings", out, state).awaitTermination()
+        assert spark.read.parquet(out).count() == expected
+
+
 COMMENT = "n bigint, productCode string, email string, comment string, arrived timestamp"
 
 

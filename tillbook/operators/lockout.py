@@ -9,7 +9,7 @@ from tillbook.functions import lockout as rules
 from tillbook.session import written
 
 
-def _runs(attempts: DataFrame) -> DataFrame:
+def _runs(attempts: DataFrame, blocks: int | None = None) -> DataFrame:
     """Each account's attempts as sorted arrays, one per block of the table.
 
     The table is range-partitioned by account and time, so an account holding
@@ -18,9 +18,10 @@ def _runs(attempts: DataFrame) -> DataFrame:
     events = attempts.select(
         "user_id", "ts", "event_id", "ok", (rules.checked_counter(F.col("counter")) == "password").alias("is_password")
     )
-    blocks = events.repartitionByRange("user_id", "ts", "event_id").withColumn("block", F.spark_partition_id())
+    keys = ["user_id", "ts", "event_id"]
+    ranged = events.repartitionByRange(blocks, *keys) if blocks else events.repartitionByRange(*keys)
     return written(
-        blocks.groupBy("user_id", "block").agg(
+        ranged.withColumn("block", F.spark_partition_id()).groupBy("user_id", "block").agg(
             F.sort_array(F.collect_list(F.struct("ts", "event_id", "ok", "is_password"))).alias("events")
         ),
         "attempt-runs",
@@ -109,17 +110,20 @@ def _deciding_blocks(summaries: DataFrame, limit: int, window: Column) -> DataFr
     )
 
 
-def lockout_state(attempts: DataFrame, max_failures: int = 50, window_minutes: int = 10) -> DataFrame:
+def lockout_state(
+    attempts: DataFrame, max_failures: int = 50, window_minutes: int = 10, blocks: int | None = None
+) -> DataFrame:
     """Final lockout state of every account with an attempt.
 
     ``attempts`` has user_id, event_id, ts, ok and counter. Most accounts lie
     in one block and are folded there. Of the others there are fewer than
     blocks; their blocks are summarised side by side, the short lists of
     summaries are walked in order, and only the deciding block of each is
-    folded again.
+    folded again. ``blocks`` sets the number of blocks; the session's shuffle
+    partitions decide otherwise.
     """
     window = F.make_dt_interval(mins=F.lit(window_minutes))
-    runs = _runs(attempts)
+    runs = _runs(attempts, blocks)
     # Fewer rows than blocks, written first: joins with it are planned on its size.
     several = written(
         runs.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("user_id"), "split-accounts"

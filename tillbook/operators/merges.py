@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.credentials import policy_error
+from tillbook.functions.credentials import policy_error, salted_digest
 from tillbook.functions.text import parameter_error, trimmed
 from tillbook.session import written
 
@@ -71,6 +71,18 @@ def _sequence(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
+def affected_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many rows fewer a table has after a change, as one row."""
+    removed = before.agg(F.count("*")).scalar() - after.agg(F.count("*")).scalar()
+    return before.sparkSession.range(1).select(removed.alias("affected"))
+
+
+def named_id(*parts: Column) -> Column:
+    """An id in GUID form fixed by its parts, so a repeated task makes the same."""
+    digest = F.md5(F.concat_ws("|", *parts))
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 # --- users ----------------------------------------------------------------
 
 
@@ -157,6 +169,35 @@ def creation_status(
     return decided.withColumnRenamed("_status", "status").drop("_name", "_email", "_order")
 
 
+def created_users(
+    requests: DataFrame, status: DataFrame, created: Column, algorithm: str = "sha256", approved: bool = True
+) -> DataFrame:
+    """User rows of the successful requests.
+
+    Requests carry a Salt (base64) besides the columns ``creation_status``
+    reads; secret and answer are stored as salted digests, the answer lowered.
+    """
+    won = requests.join(status.where(F.col("status") == "Success").select("request_id"), "request_id", "left_semi")
+    name, email = trimmed(F.col("Username")), trimmed(F.col("Email"))
+    answer = F.lower(trimmed(F.col("Answer")))
+    return won.select(
+        named_id(F.col("ApplicationId"), F.lower(name)).alias("UserId"),
+        name.alias("Username"),
+        F.lower(name).alias("LoweredUsername"),
+        "ApplicationId",
+        email.alias("Email"),
+        F.lower(email).alias("LoweredEmail"),
+        salted_digest(trimmed(F.col("Password")), F.col("Salt"), algorithm).alias("Password"),
+        F.col("Salt").alias("PasswordSalt"),
+        trimmed(F.col("Question")).alias("PasswordQuestion"),
+        salted_digest(answer, F.col("Salt"), algorithm).alias("PasswordAnswer"),
+        F.lit(approved).alias("IsApproved"),
+        F.lit(False).alias("IsAnonymous"),
+        F.lit(False).alias("IsLockedOut"),
+        *[created.alias(c) for c in ("CreateDate", "LastActivityDate", "LastLoginDate", "LastPasswordChangedDate")],
+    )
+
+
 def _first_wins_by_name(marked: DataFrame) -> DataFrame:
     open_rows = marked.where(F.col("_status").isNull())
     first = open_rows.groupBy("ApplicationId", "_name").agg(F.min("_order").alias("_first"))
@@ -232,6 +273,17 @@ def creation_status_of_roles(requests: DataFrame, roles: DataFrame, order: Seque
     )
 
 
+def created_roles(status: DataFrame) -> DataFrame:
+    """Role rows of the successful requests."""
+    name = trimmed(F.col("RoleName"))
+    return status.where(F.col("status") == "created").select(
+        named_id(F.col("ApplicationId"), F.lower(name)).alias("RoleId"),
+        name.alias("RoleName"),
+        F.lower(name).alias("LoweredRoleName"),
+        "ApplicationId",
+    )
+
+
 def missing_applications(names: DataFrame, applications: DataFrame) -> DataFrame:
     """Distinct application names that have no row yet."""
     return names.select("ApplicationName").distinct().join(applications, "ApplicationName", "left_anti")

@@ -396,6 +396,17 @@ def create_users_status(spark, sf_dir):
     return merges.creation_status(_creation_requests(fx), fx.users).select("request_id", "Username", "Email", "status")
 
 
+def users_after_creation(spark, sf_dir):
+    """Users and the accounts created from the requests."""
+    fx = Fixtures(spark, sf_dir)
+    requests = _creation_requests(fx).withColumn("Salt", F.base64(F.unhex(F.md5(F.col("Username")))))
+    status = merges.creation_status(requests, fx.users)
+    created = merges.created_users(requests, status, moment(AS_OF))
+    columns = ["Username", "LoweredUsername", "ApplicationId", "LoweredEmail", "IsAnonymous", "LastActivityDate"]
+    old = fx.users.select(*columns).withColumn("secret_length", F.lit(0))
+    return old.unionByName(created.select(*columns, F.length("Password").alias("secret_length")))
+
+
 def create_users_unique_email(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return merges.creation_status(_creation_requests(fx), fx.users, unique_email=True).select("request_id", "status")
@@ -403,7 +414,11 @@ def create_users_unique_email(spark, sf_dir):
 
 def create_roles_status(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    requests = fx.table("part").select(
+    return merges.creation_status_of_roles(_role_requests(fx), fx.roles)
+
+
+def _role_requests(fx: Fixtures):
+    return fx.table("part").select(
         F.col("p_partkey").alias("request_id"),
         F.when(F.col("p_type") == "SMALL", F.lit("View"))
         .when(F.col("p_type") == "LARGE", F.concat("p_brand", F.lit(",x")))
@@ -411,7 +426,30 @@ def create_roles_status(spark, sf_dir):
         .alias("RoleName"),
         (F.col("p_partkey") % 2).alias("ApplicationId"),
     )
-    return merges.creation_status_of_roles(requests, fx.roles)
+
+
+def roles_after_creation(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    created = merges.created_roles(merges.creation_status_of_roles(_role_requests(fx), fx.roles))
+    return fx.roles.unionByName(created).drop("RoleId")
+
+
+def deleted_counts(spark, sf_dir):
+    """Rows each kind of deletion removes."""
+    fx = Fixtures(spark, sf_dir)
+    names = _anonymous_names(fx)
+    users, held, profiles = merges.delete_users(fx.users, names, [fx.users_in_roles, fx.profiles])
+    idle = merges.delete_inactive_profiles(fx.profiles, fx.users, moment(CUTOFF))
+    counts = [
+        merges.affected_rows(before, after).select(F.lit(label).alias("change"), "affected")
+        for label, before, after in (
+            ("users", fx.users, users),
+            ("memberships", fx.users_in_roles, held),
+            ("profiles", fx.profiles, profiles),
+            ("inactive profiles", fx.profiles, idle),
+        )
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 def missing_applications(spark, sf_dir):
@@ -484,7 +522,7 @@ QUERIES = {
         grant_result, memberships_after_grant, grant_whole_requests, revoke_result, memberships_after_revoke,
         merge_update, secret_update, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
         memberships_after_role_delete, delete_profiles, delete_inactive_profiles, create_users_status,
-        create_users_unique_email, create_roles_status, missing_applications, upsert_profiles, users_after_upsert,
+        users_after_creation, create_users_unique_email, create_roles_status, roles_after_creation, deleted_counts, missing_applications, upsert_profiles, users_after_upsert,
     )
 }
 
@@ -723,6 +761,25 @@ ORACLES = {
               FROM (SELECT p_partkey AS request_id,
                            CASE p_type WHEN 'SMALL' THEN 'View' WHEN 'LARGE' THEN p_brand || ',x' ELSE upper(p_name) END
                                AS "RoleName", p_partkey % 2 AS "ApplicationId" FROM part))"""),
+    "users_after_creation": with_views(f"""
+        SELECT "Username", "LoweredUsername", "ApplicationId", "LoweredEmail", "IsAnonymous", "LastActivityDate",
+               0 AS secret_length FROM users
+        UNION ALL
+        SELECT trim("Username"), name, "ApplicationId", lower("Email"), false, TIMESTAMP '{AS_OF}', 44
+        FROM (SELECT *, row_number() OVER (PARTITION BY "ApplicationId", name ORDER BY request_id) AS place FROM checked
+              WHERE error IS NULL AND ("ApplicationId", name) NOT IN (SELECT ("ApplicationId", "LoweredUsername") FROM users))
+        WHERE place = 1""", "users", extra={"requests": CREATION_REQUESTS_SQL, "checked": _CHECKED.format(email="false")}),
+    "roles_after_creation": with_views("""
+        SELECT "RoleName", "LoweredRoleName", "ApplicationId" FROM roles
+        UNION ALL
+        SELECT DISTINCT upper(p_name), lower(p_name), p_partkey % 2 FROM part
+        WHERE p_type NOT IN ('SMALL', 'LARGE') AND lower(p_name) NOT IN (SELECT event_type FROM events)""", "roles"),
+    "deleted_counts": with_views(f"""
+        SELECT 'users' AS change, count(*) AS affected FROM users WHERE "IsAnonymous"
+        UNION ALL SELECT 'memberships', count(*) FROM users_in_roles WHERE "UserId" % 5 = 0
+        UNION ALL SELECT 'profiles', count(*) FROM profiles WHERE "UserId" % 5 = 0
+        UNION ALL SELECT 'inactive profiles', count(*) FROM profiles JOIN users USING ("UserId")
+                  WHERE "LastActivityDate" <= TIMESTAMP '{CUTOFF}'""", "users", "users_in_roles", "profiles"),
     "missing_applications": """
         SELECT DISTINCT source AS "ApplicationName" FROM documents WHERE source NOT IN ('storefront', 'backoffice')""",
     "upsert_profiles": with_views("""

@@ -64,12 +64,15 @@ def rebuild(spark: SparkSession, folder: str, target: str, tables: dict[str, Tab
     """Rewrite every declared table below ``target`` and report on each.
 
     Counts are taken while writing, not by a second read. Lines that do not
-    parse go to ``target/rejected/<table>``; a missing file is reported.
+    parse go to ``target/rejected/<table>``; a missing file is reported and
+    leaves an empty table.
     """
     present = _present(spark, folder, tables)
     report = []
     for name, table in tables.items():
         if table.file not in present:
+            # A rebuilt store has every table; this one is empty.
+            spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(f"{target}/{name}")
             report.append((name, "missing", 0, 0))
             continue
         frame = read_delimited(spark, f"{folder}/{table.file}", table.schema)
