@@ -752,6 +752,33 @@ ORACLES = {
               FROM (SELECT *, ("ApplicationId", name) IN (SELECT ("ApplicationId", "LoweredUsername") FROM users) AS taken
                     FROM checked))""",
         "users", extra={"requests": CREATION_REQUESTS_SQL, "checked": _CHECKED.format(email="false")}),
+    # One request at a time, carrying the names and addresses taken so far.
+    "create_users_unique_email": with_views("""
+        SELECT request_id, status FROM walk WHERE n > 0""", "users", recursive=True, extra={
+            "requests": CREATION_REQUESTS_SQL,
+            "checked": _CHECKED.format(email='"Email" IS NULL'),
+            "asked": """
+                SELECT request_id, error, "ApplicationId" || '|' || name AS name_key,
+                       "ApplicationId" || '|' || lower("Email") AS mail_key,
+                       ("ApplicationId", name) IN (SELECT ("ApplicationId", "LoweredUsername") FROM users) AS name_taken,
+                       coalesce(("ApplicationId", lower("Email")) IN (
+                           SELECT ("ApplicationId", "LoweredEmail") FROM users WHERE "LoweredEmail" IS NOT NULL), false)
+                           AS mail_taken,
+                       row_number() OVER (ORDER BY request_id) AS n
+                FROM checked""",
+            "walk": """
+                SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS request_id, '' AS status,
+                       CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails
+                UNION ALL
+                SELECT n, request_id, status, CASE WHEN status = 'Success' THEN list_append(names, name_key) ELSE names END,
+                       CASE WHEN status = 'Success' THEN list_append(mails, mail_key) ELSE mails END
+                FROM (SELECT a.n, a.request_id, names, mails, name_key, mail_key,
+                             CASE WHEN error IS NOT NULL THEN error
+                                  WHEN mail_taken OR list_contains(mails, mail_key) THEN 'DuplicateEmail'
+                                  WHEN name_taken OR list_contains(names, name_key) THEN 'DuplicateUserName'
+                                  ELSE 'Success' END AS status
+                      FROM walk w JOIN asked a ON a.n = w.n + 1)""",
+        }),
     "create_roles_status": with_views("""
         SELECT request_id, "RoleName", "ApplicationId",
                CASE WHEN contains("RoleName", ',') THEN 'comma'

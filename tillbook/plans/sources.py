@@ -214,6 +214,14 @@ def online_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def online_exact_stream(spark, sf_dir):
+    """The same windows with exact counts."""
+    out = work_path(spark, "online")
+    counts = activity.exact_online_over_time(_event_stream(spark, sf_dir), "6 hours", "2 hours", "1 hour")
+    sinks.write_appends(counts, out, work_path(spark, "online-checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def comment_intake(spark, sf_dir):
     """All comments delivered twice, with some that break a rule."""
     fx = Fixtures(spark, sf_dir)
@@ -235,7 +243,8 @@ QUERIES = {
     for f in (
         delimited_roundtrip, rebuild_report, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
         appended_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, json_objects,
-        json_documents, json_sink, lockout_stream, last_activity_stream, online_stream, comment_intake,
+        json_documents, json_sink, lockout_stream, last_activity_stream, online_stream, online_exact_stream,
+        comment_intake,
     )
 }
 
@@ -286,6 +295,9 @@ ORACLES = {
     "json_sink": with_views('SELECT "customerNumber", state, "creditLimit" FROM customers', "customers"),
     "lockout_stream": directory.LOCKOUT_SQL,
     "last_activity_stream": directory.ORACLES["last_activity"],
+    "online_exact_stream": f"""
+        SELECT * FROM ({directory.ORACLES["online_over_time"]})
+        WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "comment_intake": with_views(f"""
         SELECT "commentNumber", "productCode", email, {_ESCAPED.format(_TRIMMED)} AS comment FROM comments
         WHERE NOT contains(comment, '!') AND length({_TRIMMED}) > 0""", "comments"),

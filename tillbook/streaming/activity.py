@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.functions.times import instant, wall_clock
 from tillbook.operators import activity
 
 
@@ -18,10 +19,24 @@ def online_over_time(events: DataFrame, size: str, slide: str, delay: str, error
 
     A sketch per window keeps the state independent of the number of users.
     """
-    return (
-        events.withColumn("event_time", F.col("ts").cast("timestamp"))
-        .withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", size, slide).alias("w"))
-        .agg(F.approx_count_distinct("user_id", error).alias("users_online"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "users_online")
+    counted = _windowed(events, size, slide, delay).groupBy("w").agg(
+        F.approx_count_distinct("user_id", error).alias("users_online")
     )
+    return _flat(counted)
+
+
+def exact_online_over_time(events: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
+    """The exact counts, for state of one row per user and open window."""
+    once = _windowed(events, size, slide, delay).dropDuplicates(["w", "user_id"])
+    counted = once.groupBy("w").agg(F.count("user_id").alias("users_online"))
+    return _flat(counted)
+
+
+def _flat(counted: DataFrame) -> DataFrame:
+    bounds = [wall_clock(F.unix_micros(f"w.{side}")).alias(f"window_{side}") for side in ("start", "end")]
+    return counted.select(*bounds, "users_online")
+
+
+def _windowed(events: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
+    timed = events.withColumn("event_time", instant("ts")).withWatermark("event_time", delay)
+    return timed.select(F.window("event_time", size, slide).alias("w"), "user_id")

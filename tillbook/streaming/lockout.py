@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tillbook.functions.times import micros, wall_clock
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 OUTPUT = (
     "user_id bigint, is_locked_out boolean, last_lockout_us bigint, password_count int, password_start_us bigint, "
@@ -100,12 +101,11 @@ def lockout_updates(attempts: DataFrame, max_failures: int, window_minutes: int,
     ``attempts`` streams user_id, event_id, ts, ok and counter.
     """
     attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    us = F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, CAST(ts AS TIMESTAMP_NTZ))")
     known = F.col("counter").isin("password", "passwordAnswer")
     is_password = F.when(known, F.col("counter") == "password").otherwise(
         F.raise_error(F.lit("unknown failure counter")).cast("boolean")
     )
-    events = attempts.select("user_id", us.alias("us"), "event_id", "ok", is_password.alias("is_password"))
+    events = attempts.select("user_id", micros("ts").alias("us"), "event_id", "ok", is_password.alias("is_password"))
     return (
         events.withColumn("event_time", F.timestamp_micros("us"))
         .withWatermark("event_time", delay)
@@ -119,11 +119,6 @@ def lockout_updates(attempts: DataFrame, max_failures: int, window_minutes: int,
     )
 
 
-def _moment(us: str):
-    seconds = (F.col(us).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
-    return F.expr(EPOCH) + F.make_dt_interval(secs=seconds)
-
-
 def current_state(updates: DataFrame) -> DataFrame:
     """The last state written for each account, in the batch operator's shape."""
     rest = [c for c in updates.columns if c != "user_id"]
@@ -132,9 +127,9 @@ def current_state(updates: DataFrame) -> DataFrame:
     return flat.select(
         "user_id",
         "is_locked_out",
-        _moment("last_lockout_us").alias("last_lockout"),
+        wall_clock(F.col("last_lockout_us")).alias("last_lockout"),
         "password_count",
-        _moment("password_start_us").alias("password_window_start"),
+        wall_clock(F.col("password_start_us")).alias("password_window_start"),
         "answer_count",
-        _moment("answer_start_us").alias("answer_window_start"),
+        wall_clock(F.col("answer_start_us")).alias("answer_window_start"),
     )
