@@ -25,6 +25,15 @@ def test_a_hot_parent_comes_in_chunks_and_keeps_every_child(spark):
     assert {r.k: len(r["items"]) for r in rows if r.k} == {1: 20, 2: 1, 3: 0}
 
 
+def test_equal_children_are_spread_too(spark):
+    children = spark.createDataFrame([(0, "same")] * 950 + [(0, "other")] * 3 + [(1, "x")], "k bigint, c string")
+    parents = spark.createDataFrame([(0,), (1,)], "k bigint")
+    rows = nesting.nest(parents, children, "k", ["c"], "items", max_items=100, copies=True).collect()
+    hot = [r["items"] for r in rows if r.k == 0]
+    assert len(hot) > 4 and sorted(c for items in hot for c in items) == ["other"] * 3 + ["same"] * 950
+    assert [r["items"] for r in rows if r.k == 1] == [["x"]]
+
+
 def test_requested_parents_and_default(spark):
     parents = spark.createDataFrame([(1,), (2,), (3,)], "k bigint")
     children = spark.createDataFrame([(1, 10), (3, 30), (3, 31)], "k bigint, c bigint")

@@ -165,16 +165,17 @@ def security_questions(logins: DataFrame, questions: DataFrame) -> DataFrame:
 def order_details(order_lines: DataFrame, products: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Order lines with product and customer names.
 
-    The two order-side tables are joined first, so the largest table, the
-    lines, is shuffled at most once per key and never behind a hint.
+    Orders meet customers first, so that only order headers travel by customer.
+    The lines then travel once by order, not at all when they are bucketed by
+    it, and once by product unless the products measure small.
     """
     headers = orders.select("orderNumber", "customerNumber").join(
         customers.select("customerNumber", "customerName"), "customerNumber"
     )
     return (
         order_lines.select("orderNumber", "productCode", "quantityOrdered", "priceEach")
-        .join(products.select("productCode", "productName", "productImage"), "productCode")
         .join(headers, "orderNumber")
+        .join(products.select("productCode", "productName", "productImage"), "productCode")
         .select(
             "customerName", "customerNumber", "orderNumber", "productName", "quantityOrdered", "priceEach",
             "productImage",

@@ -18,27 +18,46 @@ MAX_ITEMS = 100_000
 
 
 def collect_in_chunks(
-    rows: DataFrame, key: str | Sequence[str], item: Sequence[str], name: str, max_items: int = MAX_ITEMS
+    rows: DataFrame,
+    key: str | Sequence[str],
+    item: Sequence[str],
+    name: str,
+    max_items: int = MAX_ITEMS,
+    copies: bool = False,
 ) -> DataFrame:
     """Rows (key, chunk, ``name``): sorted arrays of the ``item`` columns.
 
     Parents above the limit are at most rows / max_items in number. They are
     counted first and written, so the join that spreads their rows is planned
-    on a measured size.
+    on a measured size. Children are spread by their item columns, so these
+    should identify a child within its parent; say ``copies`` when many
+    children of a parent may be equal.
     """
     keys = [key] if isinstance(key, str) else list(key)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_items)
     large = written(counts.select(*keys, F.ceil(F.col("_n") / max_items).alias("_chunks")), "large-parents")
-    spread = F.pmod(F.xxhash64(*item), F.coalesce("_chunks", F.lit(1).cast("bigint")))
     value = F.col(item[0]) if len(item) == 1 else F.struct(*item)
+    identity, values = list(item), F.collect_list(value)
+    if copies:
+        # Equal children are counted, and travel as runs of at most max_items.
+        rows = _runs_of_copies(rows.groupBy(*keys, *item).agg(F.count("*").alias("_copies")), max_items)
+        identity, values = [*item, "_run"], F.flatten(F.collect_list(F.array_repeat(value, F.col("_copies"))))
+    spread = F.pmod(F.xxhash64(*identity), F.coalesce("_chunks", F.lit(1).cast("bigint")))
     return (
         rows.join(large, keys, "left")
         .withColumn("chunk", spread)
         .groupBy(*keys, "chunk")
-        .agg(F.sort_array(F.collect_list(value)).alias(name))
+        .agg(F.sort_array(values).alias(name))
     )
 
 
+def _runs_of_copies(counted: DataFrame, max_items: int) -> DataFrame:
+    """Split each count of copies into runs of at most ``max_items``."""
+    last = F.floor((F.col("_copies") - 1) / max_items)
+    size = F.least(F.lit(max_items), F.col("_copies") - F.col("_run") * max_items).cast("int")
+    return counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn("_copies", size)
+
+
 def nest(
     parents: DataFrame,
     children: DataFrame,
@@ -46,9 +65,10 @@ def nest(
     item: Sequence[str],
     name: str,
     max_items: int = MAX_ITEMS,
+    copies: bool = False,
 ) -> DataFrame:
     """Parents with their children; a childless parent has an empty array."""
-    chunks = collect_in_chunks(children.select(key, *item), key, item, name, max_items)
+    chunks = collect_in_chunks(children.select(key, *item), key, item, name, max_items, copies)
     empty = F.array().cast(chunks.schema[name].dataType)
     return parents.join(chunks, key, "left").withColumns(
         {"chunk": F.coalesce("chunk", F.lit(0).cast("bigint")), name: F.coalesce(name, empty)}

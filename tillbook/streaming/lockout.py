@@ -7,9 +7,11 @@ attempts, in whatever order they arrive within the allowed delay.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,6 +31,9 @@ ACCOUNT = (
 )
 FRESH = (False, None, 0, None, 0, None, 0)
 
+# Ship the processor itself, so that workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def apply_attempt(state: tuple, us: int, ok: bool, is_password: bool, limit: int, window_us: int) -> tuple:
     """The account after one attempt."""
