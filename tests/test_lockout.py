@@ -129,3 +129,28 @@ def test_stream_agrees_with_batch_when_attempts_arrive_in_any_order(spark):
     got = results(stream_lockout.current_state(spark.read.parquet(out)).where("user_id >= 0"))
     assert got == walk(rows, 3, 60)
     assert got == results(lockout.lockout_state(spark.createDataFrame(rows, SCHEMA), 3, 60))
+
+
+def test_stream_keeps_nothing_for_a_locked_account_and_drops_late_attempts(spark):
+    path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")
+
+    def at(minute):
+        return START + dt.timedelta(minutes=minute)
+
+    first = [(1, i, at(i), False, "password") for i in range(4)] + [(2, 10, at(1), False, "password")]
+    first.append((-1, -1, at(10_000), True, "password"))
+    second = [(1, 20 + i, at(10_010 + i), i % 2 == 0, "password") for i in range(6)]
+    second += [(2, 30, at(10_010), False, "password"), (3, 40, at(5), False, "password")]
+    second.append((-1, -2, at(20_000), True, "password"))
+    for part in (first, second):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(SCHEMA).parquet(path)
+        query = sinks.write_appends(stream_lockout.lockout_updates(stream, 3, 60, "1 minute"), out, state)
+        query.awaitTermination()
+    got = results(stream_lockout.current_state(spark.read.parquet(out)).where("user_id >= 0"))
+    assert got[1] == (True, at(3), 4, at(0), 0, None)
+    assert got[2] == (False, None, 1, at(10_010), 0, None)
+    # Account 3 made its only attempt long before the watermark.
+    assert 3 not in got
+    # The locked account was written once and not touched again.
+    assert spark.read.parquet(out).where("user_id = 1").count() == 1

@@ -88,9 +88,8 @@ def _after_block(state: Column, block: Column, limit: int, window: Column) -> Co
 def _deciding_blocks(summaries: DataFrame, limit: int, window: Column) -> DataFrame:
     """For accounts in several blocks: the block that decides, and the state
     carried into it: the block of the lock, else the last one."""
-    ordered = summaries.groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct("block", "tail", "password_failures", "password", "answer_failures", "answer"))).alias("blocks")
-    )
+    summary = F.struct("block", "tail", "password_failures", "password", "answer_failures", "answer")
+    ordered = summaries.groupBy("user_id").agg(F.sort_array(F.collect_list(summary)).alias("blocks"))
     # Until a block locks, each step remembers the state it started from.
     start = F.struct(
         F.lit(-1).alias("block"), rules.clean_state().alias("carried"), rules.clean_state().alias("state")

@@ -62,6 +62,13 @@ def user_records_by_name(spark, sf_dir):
     return lookup.user_records(fx.users, keys).select("UserId", "Username", "Email", "LastActivityDate")
 
 
+def user_records_by_id(spark, sf_dir):
+    """Records of the ids among the order customers."""
+    fx = Fixtures(spark, sf_dir)
+    keys = fx.orders.select(F.col("customerNumber").alias("UserId"))
+    return lookup.user_records(fx.users, keys, "UserId").select("UserId", "Username", "Email")
+
+
 def user_names_by_email(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     emails = fx.logins.select(F.upper("email").alias("email"), (F.col("customerNumber") % 2).alias("ApplicationId"))
@@ -514,7 +521,7 @@ def users_after_upsert(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        registered_users, users_online, audience_users, tenant_users, user_records, user_records_by_name,
+        registered_users, users_online, audience_users, tenant_users, user_records, user_records_by_name, user_records_by_id,
         user_names_by_email, account_status, users_page, users_single_page, users_all_pages, events_all_pages,
         application_roles, roles_per_user, users_per_role, role_members_like, membership_check, role_exists,
         profile_exists, all_profiles, profiles_inactive, profiles_by_name, inactive_profiles_by_name,
@@ -522,7 +529,8 @@ QUERIES = {
         grant_result, memberships_after_grant, grant_whole_requests, revoke_result, memberships_after_revoke,
         merge_update, secret_update, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
         memberships_after_role_delete, delete_profiles, delete_inactive_profiles, create_users_status,
-        users_after_creation, create_users_unique_email, create_roles_status, roles_after_creation, deleted_counts, missing_applications, upsert_profiles, users_after_upsert,
+        users_after_creation, create_users_unique_email, create_roles_status, roles_after_creation, deleted_counts,
+        missing_applications, upsert_profiles, users_after_upsert,
     )
 }
 
@@ -599,6 +607,9 @@ ORACLES = {
     "user_records_by_name": with_views("""
         SELECT "UserId", "Username", coalesce("Email", '') AS "Email", "LastActivityDate" FROM users
         WHERE "LoweredUsername" IN (SELECT 'user_' || o_custkey FROM orders)""", "users"),
+    "user_records_by_id": with_views("""
+        SELECT "UserId", "Username", coalesce("Email", '') AS "Email" FROM users
+        WHERE "UserId" IN (SELECT o_custkey FROM orders)""", "users"),
     "user_names_by_email": with_views("""
         SELECT upper(k.email) AS email, k."ApplicationId", u."Username"
         FROM (SELECT email, "customerNumber" % 2 AS "ApplicationId" FROM logins) k

@@ -133,11 +133,12 @@ def _log_folder(spark, sf_dir) -> str:
     requests = store._login_requests(fx).join(
         fx.orders.select(F.col("orderNumber").alias("attempt"), "orderDate"), "attempt"
     )
-    attempt = F.concat(
-        F.lit("INFO  "), F.date_format("orderDate", "yyyy-MM-dd HH:mm:ss"), F.lit(",120   45ms CustomerLogin          ButtonLogOn_Click  - User "),
-        F.col("email"), F.lit(" attempted to log in with password "), F.col("secret"),
+    day = F.date_format("orderDate", "yyyy-MM-dd HH:mm:ss")
+    attempt = F.format_string(
+        "INFO  %s,120   45ms CustomerLogin          ButtonLogOn_Click  - User %s attempted to log in with password %s",
+        day, "email", "secret",
     )
-    other = F.concat(F.lit("DEBUG "), F.date_format("orderDate", "yyyy-MM-dd HH:mm:ss"), F.lit(",121   46ms Orders                 Page_Load          - rows "), F.col("attempt"))
+    other = F.format_string("DEBUG %s,121   46ms Orders                 Page_Load          - rows %s", day, "attempt")
     requests.select(F.explode(F.array(attempt, other)).alias("value")).write.text(path)
     return path
 
