@@ -15,7 +15,8 @@ def _runs(attempts: DataFrame, blocks: int | None = None) -> DataFrame:
     The table is range-partitioned by account and time, so an account holding
     a third of all attempts spans many blocks and no array outgrows one block.
     """
-    events = attempts.select(
+    # An attempt without an account changes none.
+    events = attempts.where(F.col("user_id").isNotNull()).select(
         "user_id", "ts", "event_id", "ok", (rules.checked_counter(F.col("counter")) == "password").alias("is_password")
     )
     keys = ["user_id", "ts", "event_id"]

@@ -68,7 +68,8 @@ def nest(
     copies: bool = False,
 ) -> DataFrame:
     """Parents with their children; a childless parent has an empty array."""
-    chunks = collect_in_chunks(children.select(key, *item), key, item, name, max_items, copies)
+    own = children.where(F.col(key).isNotNull()).select(key, *item)
+    chunks = collect_in_chunks(own, key, item, name, max_items, copies)
     empty = F.array().cast(chunks.schema[name].dataType)
     return parents.join(chunks, key, "left").withColumns(
         {"chunk": F.coalesce("chunk", F.lit(0).cast("bigint")), name: F.coalesce(name, empty)}

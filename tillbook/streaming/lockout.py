@@ -110,7 +110,9 @@ def lockout_updates(attempts: DataFrame, max_failures: int, window_minutes: int,
     is_password = F.when(known, F.col("counter") == "password").otherwise(
         F.raise_error(F.lit("unknown failure counter")).cast("boolean")
     )
-    events = attempts.select("user_id", micros("ts").alias("us"), "event_id", "ok", is_password.alias("is_password"))
+    events = attempts.where(F.col("user_id").isNotNull()).select(
+        "user_id", micros("ts").alias("us"), "event_id", "ok", is_password.alias("is_password")
+    )
     return (
         events.withColumn("event_time", F.timestamp_micros("us"))
         .withWatermark("event_time", delay)
