@@ -11,6 +11,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Rows of one Arrow batch. Texts can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 512
@@ -40,7 +42,7 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def map_lists(frame: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def map_lists(frame: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Apply ``function`` to each Arrow batch as lists of Python values by column.
 
     It returns lists by column in the order of ``schema``; they may be of any
@@ -48,7 +50,7 @@ def map_lists(frame: DataFrame, function: Callable[[dict[str, list]], dict[str,
     """
     ship(frame.sparkSession)
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    arrow = _arrow_schema(frame.sparkSession, schema)
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,11 +61,8 @@ def map_lists(frame: DataFrame, function: Callable[[dict[str, list]], dict[str,
     return frame.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def _arrow_schema(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:

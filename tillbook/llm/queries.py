@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from tillbook.llm import exact_dedup, simhash_dedup
+from tillbook.llm import exact_dedup, pii, quality_rules, simhash_dedup
 from tillbook.llm.batches import table
 
 
+def op2_bootstrapped_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_bktree(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_supervision(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
 def op10_bloom_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_bootstrapped_pii": op2_bootstrapped_pii,
     "op5_simhash_bktree": op5_simhash_bktree,
+    "op8_weak_supervision": op8_weak_supervision,
     "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
 }
 
