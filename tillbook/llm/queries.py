@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from tillbook.llm import exact_dedup, pii, quality_rules, simhash_dedup
+from tillbook.llm import exact_dedup, packing, pii, quality_rules, simhash_dedup, token_counts
 from tillbook.llm.batches import table
+from tillbook.llm.tokens import tokenizer_path
+from tillbook.session import work_path
 
 
 def op2_bootstrapped_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_vector_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_cached_token_counts(spark, sf_dir):
+    # Each run fills a cache of its own; a standing one is a folder named by its user.
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), work_path(spark, "token-cache"))
+
+
 def op5_simhash_bktree(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +36,8 @@ def op10_bloom_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
+    "op3_vector_packing": op3_vector_packing,
+    "op4_cached_token_counts": op4_cached_token_counts,
     "op5_simhash_bktree": op5_simhash_bktree,
     "op8_weak_supervision": op8_weak_supervision,
     "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
