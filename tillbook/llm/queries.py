@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tillbook.llm import exact_dedup, packing, pii, quality_rules, simhash_dedup, token_counts
+from tillbook.llm import exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, simhash_dedup, token_counts
 from tillbook.llm.batches import table
 from tillbook.llm.tokens import tokenizer_path
 from tillbook.session import work_path
 
 
+def op1_random_indexing_quality(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bootstrapped_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_simhash_bktree(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_bitmask(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_weak_supervision(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -35,10 +43,12 @@ def op10_bloom_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_random_indexing_quality": op1_random_indexing_quality,
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
     "op3_vector_packing": op3_vector_packing,
     "op4_cached_token_counts": op4_cached_token_counts,
     "op5_simhash_bktree": op5_simhash_bktree,
+    "op6_language_bitmask": op6_language_bitmask,
     "op8_weak_supervision": op8_weak_supervision,
     "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
 }
