@@ -1,6 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Every word has a sparse random index vector that follows from its hash. Its word
+Every word has a sparse random index vector that follows from its hash; capitals,
+numbers and a repeated word have signs of their own, which count as words. Its word
 vector is the sum of the index vectors of its neighbours over the training
 texts, plus its own. A text is the mean of its word vectors. A network with one
 hidden layer, trained with numpy, turns that into a probability, and a
@@ -23,6 +24,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +48,31 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
 def word_tokens(word: str) -> list[int]:
-    """Buckets of what stands between white space: words, numbers, marks, and a sign for capitals."""
+    """Buckets of what stands between white space: words, numbers, marks, and signs."""
     found = []
     for token in TOKEN.findall(word):
         if len(token) > 1 and token.isupper():
             found.append("<capitals>")
         found.append("<number>" if token[0].isdigit() else token.lower())
-    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in found]
+    return [bucket(t) for t in found]
+
+
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+# Follows a word that equals the word before it.
+AGAIN = bucket("<again>")
+
+
+def text_tokens(text: str | None) -> list[int]:
+    found, last = [], None
+    for word in (text or "").split():
+        found += word_tokens(word)
+        if word == last:
+            found.append(AGAIN)
+        last = word
+    return found
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +87,7 @@ def context_sums(texts: list[str | None]) -> np.ndarray:
     places, signs = index_vectors()
     total = np.zeros(BUCKETS * DIMENSIONS)
     for text in texts:
-        ids = np.array([t for w in (text or "").split() for t in word_tokens(w)], np.int64)
+        ids = np.array(text_tokens(text), np.int64)
         for word, near in ((ids[1:], ids[:-1]), (ids[:-1], ids[1:])):
             if len(word):
                 where = (word[:, None] * DIMENSIONS + places[near]).ravel()
@@ -100,6 +121,7 @@ class Pooler:
     def pooled(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
         total, count = np.zeros(DIMENSIONS), 0
+        again = sum(map(eq, words, islice(words, 1, None)))
         for low in range(0, len(words), 4096):  # a slice never meets a memory that was cleared under it
             part = words[low : low + 4096]
             if len(self.number) + len(part) > MEMORY_WORDS:
@@ -107,7 +129,8 @@ class Pooler:
             ids = [self.number[w] if w in self.number else self.learn(w) for w in part]
             total += self.sums[ids].sum(0)
             count += int(self.counts[ids].sum())
-        return (total / max(count, 1)).astype(np.float32)
+        total += again * self.vectors[AGAIN]
+        return (total / max(count + again, 1)).astype(np.float32)
 
     def learn(self, word: str) -> int:
         at = self.number[word] = len(self.number)
