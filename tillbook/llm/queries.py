@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillbook.llm import exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, simhash_dedup, token_counts
+from tillbook.llm import exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, sentencepiece_scan, simhash_dedup, token_counts, warc
 from tillbook.llm.batches import table
 from tillbook.llm.tokens import tokenizer_path
 from tillbook.session import work_path
@@ -34,10 +34,19 @@ def op6_language_bitmask(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_content_addressed_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"), work_path(spark, "archive"))
+
+
 def op8_weak_supervision(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece_scan(spark, sf_dir):
+    encoded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return sentencepiece_scan.summary(encoded)
+
+
 def op10_bloom_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -49,11 +58,22 @@ QUERIES = {
     "op4_cached_token_counts": op4_cached_token_counts,
     "op5_simhash_bktree": op5_simhash_bktree,
     "op6_language_bitmask": op6_language_bitmask,
+    "op7_content_addressed_warc": op7_content_addressed_warc,
     "op8_weak_supervision": op8_weak_supervision,
+    "op9_sentencepiece_scan": op9_sentencepiece_scan,
     "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
 }
 
 ORACLES = {
+    "op7_content_addressed_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, sha256(b) AS k FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY k) AS last FROM h),
+        r AS (SELECT *, payload_bytes >= 1000 AND page_id <> last AS again FROM g)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN again THEN last END AS refers_to
+        FROM r
+    """,
     "op10_bloom_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         h AS (SELECT doc_id, length(t) AS n, sha256(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM d),
