@@ -1,0 +1,96 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tillbook.llm import pii
+from tillbook.llm.queries import QUERIES
+
+from .conftest import ODD
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+        return 12 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def plain_spans(text):
+    found = [(k, *m.span()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if passes(k, m.group())]
+    return sorted(found, key=lambda s: (s[1], list(PLAIN).index(s[0])))
+
+
+@given(st.text(alphabet="a.@-+_%01258() \né", max_size=50))
+@settings(max_examples=1500, deadline=None)
+def test_base_spans_equal_the_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_known_kinds():
+    text = "Mail a.b@c-d.example.com, card 4111 1111 1111 1111, call +1 (202) 555-0143 from 10.0.0.255 not 10.0.0.256"
+    assert [s[0] for s in pii.base_spans(text)] == ["email", "card", "phone", "ip"]
+    assert pii.base_spans("é" * 3 + " x@y.z")[0] == ("email", 4, 9)
+
+
+def test_linear_in_long_runs():
+    for run in ("a", "1", "1.", "+1(", "a@", "1 "):
+        pii.base_spans(run * 100_000 + " @ ")
+        pii.candidates(run * 20_000, [])
+
+
+def check(rows, found):
+    by_id = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        base = plain_spans(t)
+        r = by_id[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in PLAIN]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("id:")] == [f"{k}:{a}:{b}" for k, a, b in base]
+        assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+        assert r.n_id == sum(s.startswith("id:") for s in spans)
+
+
+def test_odd_rows_and_query(odd, frame, spark, sf_dir):
+    check(ODD, pii.find(odd).collect())
+    assert pii.find(frame([])).count() == 0
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    check(rows, QUERIES["op2_bootstrapped_pii"](spark, sf_dir).collect())
+
+
+def test_patterns_of_seeds_find_unseen_identifiers(frame):
+    """Addresses teach the key ``contact=``; a handle behind it is no address, yet found."""
+    rows = [(i, f"words contact=user{i}@mail.example.com more words {i}") for i in range(30)]
+    rows += [(100, "words contact=handle_4711x more"), (101, "words version handle_4711x more"), (102, "built in 20240101x today")]
+    found = {r.doc_id: r for r in pii.find(frame(rows)).collect()}
+    assert found[100].spans == "id:14:26"
+    assert found[102].spans == ""
+    masked = {r.doc_id: r for r in pii.mask(frame(rows)).collect()}
+    assert masked[100].text == "words contact=[ID] more"
+    assert masked[0].text == "words contact=[EMAIL] more words 0" and masked[0].n_chars == len(masked[0].text)
+
+
+def test_few_instances_make_no_pattern(frame):
+    rows = [(i, f"contact=user{i}@mail.example.com") for i in range(3)] + [(9, "contact=handle_4711x")]
+    assert {r.n_id for r in pii.find(frame(rows)).collect()} == {0}
+
+
+def test_mask_keeps_rows_and_columns(odd, frame):
+    masked = pii.mask(odd)
+    assert masked.columns == odd.columns
+    assert sorted(masked.select("doc_id", "text").collect(), key=repr) == sorted(odd.select("doc_id", "text").collect(), key=repr)
+    assert pii.mask(frame([])).count() == 0
+    assert pii.masked("ab 12 cd", [("card", 3, 5), ("phone", 4, 8)]) == "ab [CARD]"

@@ -19,6 +19,7 @@ Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -49,6 +50,10 @@ class Capacity:
     def vector(self) -> tuple[int, int, int]:
         return self.tokens, self.documents, self.attention
 
+    def longest(self) -> int:
+        """The longest piece that a sequence can hold."""
+        return min(self.tokens, math.isqrt(self.attention))
+
 
 WEIGHTS = (1.0, 0.05, 0.05)
 
@@ -134,4 +139,4 @@ def pack(cut: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", gr
 
 def packed(docs: DataFrame, path: str, capacity: Capacity = Capacity(), rule: str = "norm", group: int = GROUP) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return pack(pieces(docs, path, capacity.tokens), capacity, rule, group)
+    return pack(pieces(docs, path, capacity.longest()), capacity, rule, group)
