@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.operators import search
-from tillbook.operators.nesting import MAX_ITEMS, collect_in_chunks
+from tillbook.operators.nesting import MAX_BYTES, collect_in_chunks
 
 AUDIENCES = ("all", "anonymous", "authenticated")
 
@@ -59,18 +59,18 @@ def memberships(users: DataFrame, users_in_roles: DataFrame, roles: DataFrame) -
     )
 
 
-def application_roles(roles: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    return collect_in_chunks(roles, "ApplicationId", ["RoleName"], "roles", max_items)
+def application_roles(roles: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    return collect_in_chunks(roles, "ApplicationId", ["RoleName"], "roles", max_bytes)
 
 
-def roles_per_user(members: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+def roles_per_user(members: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     names = members.select("ApplicationId", "Username", "RoleName").distinct()
-    return collect_in_chunks(names, ["ApplicationId", "Username"], ["RoleName"], "roles", max_items)
+    return collect_in_chunks(names, ["ApplicationId", "Username"], ["RoleName"], "roles", max_bytes)
 
 
-def users_per_role(members: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+def users_per_role(members: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     names = members.select("ApplicationId", "RoleName", "Username").distinct()
-    return collect_in_chunks(names, ["ApplicationId", "RoleName"], ["Username"], "users", max_items)
+    return collect_in_chunks(names, ["ApplicationId", "RoleName"], ["Username"], "users", max_bytes)
 
 
 def role_members_like(members: DataFrame, role: str, pattern: str) -> DataFrame:

@@ -1,79 +1,86 @@
-"""Parent rows with their children as arrays of bounded length.
+"""Parent rows with their children as arrays of bounded size.
 
-A parent with more than ``max_items`` children comes out as several rows, each
-holding one chunk of them; every other parent comes out as one row. No task
-ever holds more than about one chunk of a parent, however many children it has.
+The shape is the same at every size: a parent comes as rows (key, ``chunk``,
+``total``, array). The arrays follow the children's order from chunk to chunk,
+each holds about ``max_bytes`` of text at most (a larger single child stands
+alone), and ``total`` is the number of the parent's children, so a reader can
+tell that all chunks are there. A childless parent has one empty chunk.
+
+Children are cut into blocks of their order, so a parent's children spread over
+as many tasks as their share asks for, equal ones too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbook.session import written
+from tillbook.operators.ordering import ordered_blocks, same_group
+
+MAX_BYTES = 4 << 20
 
-MAX_ITEMS = 100_000
+
+def item_bytes(item: Sequence[str]) -> Column:
+    """Bytes of a child's values as text, one more for each."""
+    size = F.lit(0).cast("bigint")
+    for column in item:
+        size = size + F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0)) + 1
+    return size
 
 
 def collect_in_chunks(
-    rows: DataFrame,
-    key: str | Sequence[str],
-    item: Sequence[str],
-    name: str,
-    max_items: int = MAX_ITEMS,
-    copies: bool = False,
+    rows: DataFrame, key: str | Sequence[str], item: Sequence[str], name: str, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
-    """Rows (key, chunk, ``name``): sorted arrays of the ``item`` columns.
+    """Rows (key, chunk, total, ``name``): arrays of the ``item`` columns in their order.
 
-    Parents above the limit are at most rows / max_items in number. They are
-    counted first and written, so the join that spreads their rows is planned
-    on a measured size. Children are spread by their item columns, so these
-    should identify a child within its parent; say ``copies`` when many
-    children of a parent may be equal.
+    A child is in the chunk that the bytes of the children before it have
+    reached, so chunk numbers rise but skip one behind a child above the limit.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_items)
-    large = written(counts.select(*keys, F.ceil(F.col("_n") / max_items).alias("_chunks")), "large-parents")
+    # Equal children are told apart, else they could not be in different blocks.
+    told = rows.select(*keys, *item).withColumn("_copy", F.monotonically_increasing_id())
+    blocks = ordered_blocks(told, [*keys, *item, "_copy"]).withColumn("_size", item_bytes(item))
+    sizes = blocks.groupBy(*keys, "block").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("block").alias("_block"),
+        F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("total"),
+    )
+    # A window never spans more than one block.
+    inside = Window.partitionBy(*keys, "block").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     value = F.col(item[0]) if len(item) == 1 else F.struct(*item)
-    identity, values = list(item), F.collect_list(value)
-    if copies:
-        # Equal children are counted, and travel as runs of at most max_items.
-        rows = _runs_of_copies(rows.groupBy(*keys, *item).agg(F.count("*").alias("_copies")), max_items)
-        identity, values = [*item, "_run"], F.flatten(F.collect_list(F.array_repeat(value, F.col("_copies"))))
-    spread = F.pmod(F.xxhash64(*identity), F.coalesce("_chunks", F.lit(1).cast("bigint")))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "position", value.alias("_item"))))
     return (
-        rows.join(large, keys, "left")
-        .withColumn("chunk", spread)
-        .groupBy(*keys, "chunk")
-        .agg(F.sort_array(values).alias(name))
+        placed.join(offsets, same_group(keys) & (F.col("block") == F.col("_block")))
+        .withColumn("chunk", F.floor((F.col("_before") + F.col("_inside")) / max_bytes))
+        .groupBy(*keys, "chunk", "total")
+        .agg(F.transform(ordered, lambda x: x["_item"]).alias(name))
     )
 
 
-def _runs_of_copies(counted: DataFrame, max_items: int) -> DataFrame:
-    """Split each count of copies into runs of at most ``max_items``."""
-    last = F.floor((F.col("_copies") - 1) / max_items)
-    size = F.least(F.lit(max_items), F.col("_copies") - F.col("_run") * max_items).cast("int")
-    return counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn("_copies", size)
-
-
 def nest(
-    parents: DataFrame,
-    children: DataFrame,
-    key: str,
-    item: Sequence[str],
-    name: str,
-    max_items: int = MAX_ITEMS,
-    copies: bool = False,
+    parents: DataFrame, children: DataFrame, key: str, item: Sequence[str], name: str, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
-    """Parents with their children; a childless parent has an empty array."""
+    """Parents with their children; a childless parent has an empty array.
+
+    An inner join, in which the chunks of a large parent can be split over
+    tasks, and apart from it the parents without any chunk.
+    """
     own = children.where(F.col(key).isNotNull()).select(key, *item)
-    chunks = collect_in_chunks(own, key, item, name, max_items, copies)
-    empty = F.array().cast(chunks.schema[name].dataType)
-    return parents.join(chunks, key, "left").withColumns(
-        {"chunk": F.coalesce("chunk", F.lit(0).cast("bigint")), name: F.coalesce(name, empty)}
+    chunks = collect_in_chunks(own, key, item, name, max_bytes)
+    childless = parents.join(own.select(key).distinct(), key, "left_anti").select(
+        *parents.columns,
+        F.lit(0).cast("bigint").alias("chunk"),
+        F.lit(0).cast("bigint").alias("total"),
+        F.array().cast(chunks.schema[name].dataType).alias(name),
     )
+    return parents.join(chunks, key).select(*parents.columns, "chunk", "total", name).unionByName(childless)
 
 
 def nest_requested(
@@ -84,12 +91,12 @@ def nest_requested(
     item: Sequence[str],
     name: str,
     default_key=None,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Nested parents for a table of requested keys.
 
     A NULL request falls back to ``default_key``; an unknown one gives no row.
     """
     wanted = requested.select(F.coalesce(F.col(key), F.lit(default_key)).alias(key)).distinct()
-    return nest(
-        parents.join(wanted, key, "left_semi"), children.join(wanted, key, "left_semi"), key, item, name
-    )
+    chosen, own = (t.join(wanted, key, "left_semi") for t in (parents, children))
+    return nest(chosen, own, key, item, name, max_bytes)

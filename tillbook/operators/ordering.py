@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tillbook.session import written
 
-INT_MAX = 2**31 - 1
-
-
 def ordered_blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` cut into contiguous runs of the key order, about equal in rows.
 
@@ -29,7 +26,7 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _same_group(group: Sequence[str]) -> Column:
+def same_group(group: Sequence[str]) -> Column:
     """Join condition on g and _g; rows without a group are a group as well."""
     same = F.lit(True)
     for g in group:
@@ -37,11 +34,15 @@ def _same_group(group: Sequence[str]) -> Column:
     return same
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def number_rows(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], first: int = 0, last: int | None = None
+) -> DataFrame:
     """Add ``row_no`` (from 1) within each group and ``total``, its row count.
 
     ``order`` must be unique within a group. Only one row per group and block
-    is ranked by a window; rows learn their block's offset through a join.
+    is ranked by a window; rows learn their block's offset through a join. With
+    ``first`` and ``last`` only row numbers in (first, last] come out, and of
+    the blocks only those that hold any.
     """
     blocks = ordered_blocks(df, [*group, *order])
     sizes = blocks.groupBy(*group, "block").agg(F.count("*").alias("_n"), F.min("position").alias("_first"))
@@ -51,13 +52,22 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Da
         *[F.col(g).alias(f"_{g}") for g in group],
         F.col("block").alias("_block"),
         "_first",
+        "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("total"),
     )
+    wanted = F.lit(True)
+    if first or last is not None:
+        offsets = offsets.where(F.col("_before") + F.col("_n") > first)
+        wanted = F.col("row_no") > first
+    if last is not None:
+        offsets = offsets.where(F.col("_before") < last)
+        wanted = wanted & (F.col("row_no") <= last)
     return (
-        blocks.join(offsets, _same_group(group) & (F.col("block") == F.col("_block")))
+        blocks.join(offsets, same_group(group) & (F.col("block") == F.col("_block")))
         .withColumn("row_no", F.col("_before") + F.col("position") - F.col("_first") + 1)
-        .drop("block", "position", "_block", "_first", "_before", *[f"_{g}" for g in group])
+        .where(wanted)
+        .drop("block", "position", "_block", "_first", "_before", "_n", *[f"_{g}" for g in group])
     )
 
 
@@ -66,35 +76,25 @@ def check_page(index: int, size: int) -> None:
         raise ValueError("page index must not be negative")
     if size < 1:
         raise ValueError("page size must be at least 1")
-    if index * size + size - 1 > INT_MAX:
-        raise ValueError("page lies beyond the largest row number")
 
 
 def page(df: DataFrame, group: Sequence[str], order: Sequence[str], index: int, size: int) -> DataFrame:
     """Page ``index`` (from 0) of ``size`` rows of each group, with ``total``.
 
-    The rank filter runs before the shuffle as well, so a group sends at most
-    (index + 1) * size rows per input partition. Totals are counted in a
-    separate combined aggregation, for which only the group columns are read.
+    At any depth a page costs the same: rows are counted by block, and of a
+    group only the blocks that hold the page's rows are joined and filtered.
+    ``order`` must be unique within a group.
     """
     check_page(index, size)
     first, last = index * size, (index + 1) * size
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    rows = df.withColumn("row_no", rank).where(F.col("row_no") <= last).where(F.col("row_no") > first)
-    totals = df.groupBy(*group).agg(F.count("*").alias("total")).select(
-        *[F.col(g).alias(f"_{g}") for g in group], "total"
-    )
-    return (
-        rows.withColumn("row_no", F.col("row_no").cast("bigint"))
-        .join(totals, _same_group(group))
-        .drop(*[f"_{g}" for g in group])
-    )
+    return number_rows(df, group, order, first, last)
 
 
 def single_page(df: DataFrame, order: Sequence[str], index: int, size: int) -> DataFrame:
-    """One page of a table without groups."""
+    """One page of a table without groups, in order."""
     check_page(index, size)
-    return df.orderBy(*order).offset(index * size).limit(size)
+    found = number_rows(df, [], order, index * size, (index + 1) * size)
+    return found.orderBy("row_no").drop("row_no", "total")
 
 
 def all_pages(df: DataFrame, group: Sequence[str], order: Sequence[str], size: int) -> DataFrame:

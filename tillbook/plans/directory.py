@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillbook.fixtures import Fixtures, login_email
 from tillbook.operators import activity, directory, lockout, lookup, merges, ordering
-from tillbook.plans.oracle_views import with_views
+from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, chunked_sql, with_views
 
 AS_OF = "2024-01-31 00:00:00"
 CUTOFF = "2024-01-30 10:00:00"
@@ -111,18 +111,18 @@ def events_all_pages(spark, sf_dir):
 
 
 def application_roles(spark, sf_dir):
-    rows = directory.application_roles(Fixtures(spark, sf_dir).roles)
-    return rows.select("ApplicationId", "chunk", F.array_join("roles", ",").alias("roles"))
+    rows = directory.application_roles(Fixtures(spark, sf_dir).roles, SMALL_CHUNK)
+    return rows.select("ApplicationId", "chunk", "total", F.array_join("roles", ",").alias("roles"))
 
 
 def roles_per_user(spark, sf_dir):
-    rows = directory.roles_per_user(_members(Fixtures(spark, sf_dir)))
-    return rows.select("ApplicationId", "Username", "chunk", F.array_join("roles", ",").alias("roles"))
+    rows = directory.roles_per_user(_members(Fixtures(spark, sf_dir)), SMALL_CHUNK)
+    return rows.select("ApplicationId", "Username", "chunk", "total", F.array_join("roles", ",").alias("roles"))
 
 
 def users_per_role(spark, sf_dir):
-    rows = directory.users_per_role(_members(Fixtures(spark, sf_dir)))
-    return rows.select("ApplicationId", "RoleName", "chunk", F.array_join("users", ",").alias("users"))
+    rows = directory.users_per_role(_members(Fixtures(spark, sf_dir)), CHUNK)
+    return rows.select("ApplicationId", "RoleName", "chunk", "total", F.array_join("users", ",").alias("users"))
 
 
 def role_members_like(spark, sf_dir):
@@ -640,15 +640,17 @@ ORACLES = {
         SELECT *, (row_no - 1) // 50 AS page FROM (
             SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS row_no,
                    count(*) OVER (PARTITION BY event_type) AS total FROM events)""",
-    "application_roles": with_views("""
-        SELECT "ApplicationId", CAST(0 AS BIGINT) AS chunk, string_agg("RoleName", ',' ORDER BY "RoleName") AS roles
-        FROM roles GROUP BY 1""", "roles"),
-    "roles_per_user": with_views("""
-        SELECT "ApplicationId", "Username", CAST(0 AS BIGINT) AS chunk, string_agg("RoleName", ',' ORDER BY "RoleName") AS roles
-        FROM members GROUP BY 1, 2""", *MEMBER_VIEWS, extra={"members": MEMBERS_SQL}),
-    "users_per_role": with_views("""
-        SELECT "ApplicationId", "RoleName", CAST(0 AS BIGINT) AS chunk, string_agg("Username", ',' ORDER BY "Username") AS users
-        FROM members GROUP BY 1, 2""", *MEMBER_VIEWS, extra={"members": MEMBERS_SQL}),
+    "application_roles": with_views(chunked_sql(
+        "SELECT * FROM roles", ["ApplicationId"], ["RoleName"], SMALL_CHUNK,
+        """string_agg("RoleName", ',' ORDER BY "RoleName") AS roles"""), "roles"),
+    "roles_per_user": with_views(chunked_sql(
+        "SELECT * FROM members", ["ApplicationId", "Username"], ["RoleName"], SMALL_CHUNK,
+        """string_agg("RoleName", ',' ORDER BY "RoleName") AS roles"""),
+        *MEMBER_VIEWS, extra={"members": MEMBERS_SQL}),
+    "users_per_role": with_views(chunked_sql(
+        "SELECT * FROM members", ["ApplicationId", "RoleName"], ["Username"], CHUNK,
+        """string_agg("Username", ',' ORDER BY "Username") AS users"""),
+        *MEMBER_VIEWS, extra={"members": MEMBERS_SQL}),
     "role_members_like": with_views("""
         SELECT "ApplicationId", "RoleName", "Username" FROM members
         WHERE "LoweredRoleName" = 'purchase' AND "LoweredUsername" LIKE 'user_1%'""",

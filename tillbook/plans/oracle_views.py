@@ -117,3 +117,21 @@ def with_views(body: str, *names: str, recursive: bool = False, extra: dict[str,
         return body
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(f"{n} AS ({t})" for n, t in ordered.items()) + "\n" + body
+
+
+# Bytes of an array in the nested queries: small, so that the test tables have parents above them.
+CHUNK, SMALL_CHUNK = 4096, 16
+
+
+def chunked_sql(source: str, keys: list[str], item: list[str], max_bytes: int, columns: str) -> str:
+    """Children of ``source`` in chunks of ``max_bytes``, as ``nesting`` cuts them; ``columns`` are its aggregates."""
+    by = ", ".join(f'"{k}"' for k in keys)
+    order = ", ".join(f'"{c}"' for c in item)
+    size = " + ".join(f'coalesce(strlen(CAST("{c}" AS VARCHAR)), 0) + 1' for c in item)
+    return f"""
+        SELECT {by}, chunk, total, {columns}
+        FROM (SELECT *, CAST(coalesce(sum({size}) OVER (PARTITION BY {by} ORDER BY {order}
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {max_bytes} AS chunk,
+                     count("{item[0]}") OVER (PARTITION BY {by}) AS total
+              FROM ({source}))
+        GROUP BY {by}, chunk, total"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillbook.fixtures import Fixtures, login_email
 from tillbook.operators import lookup, nesting, search
-from tillbook.plans.oracle_views import with_views
+from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, chunked_sql, with_views
 
 # Patterns a caller asks for.
 NAME_PATTERNS = ["%000%1", "CUSTOMER#00000000_", "%9%9%", "%", "no such name%"]
@@ -179,11 +179,12 @@ def customer_unpivot(spark, sf_dir):
 
 def product_comments_nested(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    nested = nesting.nest(fx.products, fx.comments, "productCode", ["commentNumber", "email", "comment"], "comments")
+    nested = nesting.nest(fx.products, fx.comments, "productCode", ["commentNumber", "email", "comment"], "comments", CHUNK)
     return nested.select(
         "productCode",
         "productName",
         "chunk",
+        "total",
         F.size("comments").alias("comment_count"),
         F.array_join(F.transform("comments", lambda c: F.concat_ws("|", c["commentNumber"], c["email"], c["comment"])), "\n").alias(
             "comment_list"
@@ -196,18 +197,19 @@ def requested_product_details(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     asked = fx.table("labels").select(F.when(F.col("toxic") == 0, F.col("doc_id")).alias("productCode"))
     nested = nesting.nest_requested(
-        asked, fx.products, fx.comments, "productCode", ["commentNumber"], "comments", default_key=7
+        asked, fx.products, fx.comments, "productCode", ["commentNumber"], "comments", default_key=7, max_bytes=SMALL_CHUNK
     )
-    return nested.select("productCode", "productName", F.array_join("comments", ",").alias("comment_numbers"))
+    return nested.select("productCode", "productName", "chunk", "total", F.array_join("comments", ",").alias("comment_numbers"))
 
 
 def category_products_nested(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    nested = nesting.nest(fx.categories, fx.products, "catNumber", ["productCode", "productName", "buyPrice"], "products")
+    nested = nesting.nest(fx.categories, fx.products, "catNumber", ["productCode", "productName"], "products", CHUNK)
     return nested.select(
         "catNumber",
         "catName",
         "chunk",
+        "total",
         F.size("products").alias("product_count"),
         F.array_join(F.transform("products", lambda p: F.concat_ws(":", p["productCode"], p["productName"])), ";").alias(
             "product_list"
@@ -371,23 +373,27 @@ ORACLES = {
         f'SELECT "customerNumber", \'{c}\' AS field, CAST("{c}" AS VARCHAR) AS value FROM customers'
         for c in ("customerName", "logoFileName", "contactLastName", "contactFirstName", "city", "state", "country")),
         "customers"),
-    "product_comments_nested": with_views("""
-        SELECT p."productCode", p."productName", CAST(0 AS BIGINT) AS chunk, CAST(count("commentNumber") AS INTEGER) AS comment_count,
-               coalesce(string_agg("commentNumber" || '|' || email || '|' || comment, chr(10) ORDER BY "commentNumber"),
-                        '') AS comment_list
-        FROM products p LEFT JOIN comments c ON c."productCode" = p."productCode"
-        GROUP BY p."productCode", p."productName" """, "products", "comments"),
-    "requested_product_details": with_views("""
-        SELECT p."productCode", p."productName",
-               coalesce(string_agg(CAST("commentNumber" AS VARCHAR), ',' ORDER BY "commentNumber"), '') AS comment_numbers
-        FROM products p LEFT JOIN comments c ON c."productCode" = p."productCode"
-        WHERE p."productCode" IN (SELECT CASE WHEN toxic = 0 THEN doc_id ELSE 7 END FROM labels)
-        GROUP BY p."productCode", p."productName" """, "products", "comments"),
-    "category_products_nested": with_views("""
-        SELECT c."catNumber", c."catName", CAST(0 AS BIGINT) AS chunk, CAST(count("productCode") AS INTEGER) AS product_count,
-               coalesce(string_agg("productCode" || ':' || "productName", ';' ORDER BY "productCode"), '') AS product_list
-        FROM categories c LEFT JOIN products p ON c."catNumber" = p."catNumber"
-        GROUP BY c."catNumber", c."catName" """, "categories", "products"),
+    "product_comments_nested": with_views(chunked_sql(
+        """SELECT p."productCode", p."productName", c.* EXCLUDE ("productCode")
+           FROM products p LEFT JOIN comments c ON c."productCode" = p."productCode" """,
+        ["productCode", "productName"], ["commentNumber", "email", "comment"], CHUNK,
+        """CAST(count("commentNumber") AS INTEGER) AS comment_count,
+           coalesce(string_agg("commentNumber" || '|' || email || '|' || comment, chr(10) ORDER BY "commentNumber"),
+                    '') AS comment_list"""), "products", "comments"),
+    "requested_product_details": with_views(chunked_sql(
+        """SELECT p."productCode", p."productName", c."commentNumber"
+           FROM products p LEFT JOIN comments c ON c."productCode" = p."productCode"
+           WHERE p."productCode" IN (SELECT CASE WHEN toxic = 0 THEN doc_id ELSE 7 END FROM labels)""",
+        ["productCode", "productName"], ["commentNumber"], SMALL_CHUNK,
+        """coalesce(string_agg(CAST("commentNumber" AS VARCHAR), ',' ORDER BY "commentNumber"), '') AS comment_numbers"""),
+        "products", "comments"),
+    "category_products_nested": with_views(chunked_sql(
+        """SELECT c."catNumber", c."catName", "productCode", "productName"
+           FROM categories c LEFT JOIN products p ON c."catNumber" = p."catNumber" """,
+        ["catNumber", "catName"], ["productCode", "productName"], CHUNK,
+        """CAST(count("productCode") AS INTEGER) AS product_count,
+           coalesce(string_agg("productCode" || ':' || "productName", ';' ORDER BY "productCode"), '') AS product_list"""),
+        "categories", "products"),
     "name_prefix_search": with_views("""
         SELECT "firstName", "lastName", email FROM employees
         WHERE starts_with(lower("firstName"), 'supplier#00000001')
