@@ -112,9 +112,9 @@ def test_file_inventory_and_lines(spark, folder):
     (folder / "a.JPG").write_bytes(b"123")
     (folder / "b.txt").write_bytes(b"one\ntwo\r\nthree")
     (folder / "noext").write_bytes(b"-")
-    (folder / "empty").write_bytes(b"")  # the file readers pass over empty files
+    (folder / "empty.GIF").write_bytes(b"")
     files = {r.name: (r.size, r.extension, r.content_type) for r in text_files.file_inventory(spark, str(folder)).collect()}
-    assert files == {"a.JPG": (3, ".jpg", "image/jpeg"), "b.txt": (14, ".txt", None), "noext": (1, "", None)}
+    assert files == {"a.JPG": (3, ".jpg", "image/jpeg"), "b.txt": (14, ".txt", None), "noext": (1, "", None), "empty.GIF": (0, ".gif", "image/gif")}
     assert [r.line for r in text_files.read_lines(spark, f"{folder}/b.txt").collect()] == ["one", "two", "three"]
     assert text_files.read_whole(spark, f"{folder}/b.txt").first().text == "one\ntwo\r\nthree"
 
@@ -128,6 +128,7 @@ def test_log_lines_lose_the_password(spark):
     frame = logs.login_attempts(spark.createDataFrame(lines, "value string"))
     assert "password" not in " ".join(frame.columns)
     rows = frame.collect()
+    assert rows[0].email == "a b@x"
     assert len(rows) == 1 and rows[0].ts == dt.datetime(2024, 5, 6, 7, 8, 9, 123000) and rows[0].logger == "CustomerLogin"
 
 
@@ -147,7 +148,7 @@ def test_append_checks_its_columns(spark):
     appends.append(frame, "comments", path)
     appends.append(frame, "comments", path)
     assert spark.read.parquet(path).count() == 2
-    assert appends.numbered(spark.read.parquet(path), "commentNumber").select("commentNumber").distinct().count() == 2
+    assert appends.numbered(spark.read.parquet(path), "commentNumber", ["comment"]).select("commentNumber").distinct().count() == 2
     with pytest.raises(ValueError):
         appends.append(frame.drop("email"), "comments", path)
 
@@ -204,3 +205,36 @@ def test_online_stream_estimates_the_batch_counts(spark, sf_dir):
     seen = {r.window_start.replace(tzinfo=None): r.users_online for r in queries["online_stream"](spark, sf_dir).collect()}
     assert len(seen) > len(exact) - 8
     assert all(abs(n - exact[w]) <= max(1, 0.1 * exact[w]) for w, n in seen.items())
+
+
+def test_texts_the_format_cannot_hold_are_refused(spark, folder):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("t", T.StringType())])
+    good = [(1, "plain"), (2, " spaces \\ back\\slash \"quoted\" "), (4, None), (5, "a,b # c")]
+    bad = [(3, ""), (6, "a|b\nc"), (7, "NULL"), (8, "cr\rx"), (9, "bar|")]
+    frame = spark.createDataFrame(good + bad, schema)
+    assert delimited.write_delimited(frame, f"{folder}/t.txt", f"{folder}/refused") == 5
+    back = delimited.read_delimited(spark, f"{folder}/t.txt", schema).drop(delimited.BAD)
+    assert sorted(map(tuple, back.collect())) == good
+    assert sorted(map(tuple, spark.read.parquet(f"{folder}/refused").collect())) == bad
+    with pytest.raises(ValueError, match="5 rows"):
+        delimited.write_delimited(frame, f"{folder}/u.txt")
+
+
+def test_an_empty_file_is_a_table_without_rows(spark, folder):
+    (folder / "in").mkdir()
+    (folder / "in" / "orders.txt").write_bytes(b"")
+    report = {r.table_name: r.status for r in delimited.rebuild(spark, f"{folder}/in", f"{folder}/out").collect()}
+    assert report["Orders"] == "loaded" and report["Comments"] == "missing"
+    assert spark.read.parquet(f"{folder}/out/Orders").count() == 0
+
+
+def test_batches_are_numbered_on(spark, folder):
+    from tillbook.sources import appends
+
+    path = f"{folder}/numbered"
+    for batch in range(3):
+        rows = spark.createDataFrame([(i % 3, "e", f"c{i}") for i in range(50)], "productCode int, email string, comment string")
+        appends.append_numbered(rows.repartition(4), "comments", path, "n", ["comment"])
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == list(range(1, 151))

@@ -19,8 +19,8 @@ from tillbook.streaming import activity, intake, lockout, sinks
 
 
 def _declared_orders(fx: Fixtures):
-    """Orders with all declared columns, as text."""
-    orders = fx.orders.withColumn("comments", F.lit(None).cast("string"))
+    """Orders with all declared columns, as text; the free text is the order's own clerk and comment."""
+    orders = fx.orders.withColumn("comments", F.when(F.col("status") != "F", F.concat(F.lit(" \\ \"status\" is "), "status", F.lit(" "))))
     return orders.select(*[F.col(c).cast("string").alias(c) for c in TABLES["Orders"].columns])
 
 
@@ -38,13 +38,16 @@ def rebuild_report(spark, sf_dir):
         F.col("n_name").alias("orderNumber"),
         *[F.lit(None).cast("string").alias(c) for c in list(TABLES["Orders"].columns)[1:]],
     )
-    delimited.write_delimited(_declared_orders(fx).unionByName(bad), f"{path}/orders.txt")
-    delimited.write_delimited(fx.logins.select(*TABLES["CustomerLogin"].columns), f"{path}/customerlogin.txt")
-    delimited.write_delimited(
-        fx.comments.select("commentNumber", "productCode", "email", F.regexp_replace("comment", r"\s|\|", " ").alias("comment")),
-        f"{path}/comments.txt",
-    )
-    return delimited.rebuild(spark, path, work_path(spark, "rebuilt"))
+    tables = {
+        "orders": _declared_orders(fx).unionByName(bad),
+        "customerlogin": fx.logins.select(*TABLES["CustomerLogin"].columns),
+        "comments": fx.comments.select("commentNumber", "productCode", "email", "comment"),
+    }
+    refused = {n: delimited.write_delimited(t, f"{path}/{n}.txt", f"{path}-refused/{n}") for n, t in tables.items()}
+    fx.table("region").where("false").select("r_name").coalesce(1).write.option("header", "false").csv(f"{path}/offices.txt")
+    report = delimited.rebuild(spark, path, work_path(spark, "rebuilt"))
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in refused.items() for x in pair]), F.lower("table_name"))
+    return report.withColumn("rows_refused", F.coalesce(number, F.lit(0)).cast("bigint"))
 
 
 def database_source(spark, sf_dir):
@@ -63,7 +66,7 @@ def database_source(spark, sf_dir):
 def xml_roundtrip(spark, sf_dir):
     path = work_path(spark, "xml")
     pages = Fixtures(spark, sf_dir).table("pages")
-    users = pages.select(F.col("url").alias("name"), F.concat(F.lit("<b>&\"'"), F.col("page_id"), F.lit("@example.com")).alias("email"))
+    users = pages.select(F.col("html").alias("name"), F.concat(F.lit("<b>&\"'"), F.col("page_id"), F.lit("@example.com")).alias("email"))
     xml.write_users(users, path)
     return xml.read_users(spark, path)
 
@@ -85,7 +88,7 @@ def text_lines(spark, sf_dir):
     path = work_path(spark, "text")
     Fixtures(spark, sf_dir).table("documents").select("text").write.text(path)
     lines = text_files.read_lines(spark, path)
-    return lines.groupBy(F.length("line").alias("line_length")).agg(F.count("*").alias("lines"))
+    return lines.groupBy(F.sha2(F.col("line").cast("binary"), 256).alias("line"), F.length("line").alias("line_length")).agg(F.count("*").alias("lines"))
 
 
 def file_inventory(spark, sf_dir):
@@ -105,6 +108,19 @@ def appended_comments(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def numbered_comments(spark, sf_dir):
+    """Two batches of comments, the second numbered behind the first."""
+    fx = Fixtures(spark, sf_dir)
+    path = work_path(spark, "numbered-comments")
+    order = ["productCode", "email", "comment"]
+    appends.append_numbered(fx.comments, "comments", path, "commentNumber", order)
+    later = fx.table("conversations").select(
+        F.col("conv_id").alias("productCode"), F.concat("role", F.lit("@example.com")).alias("email"), F.col("text").alias("comment")
+    )
+    appends.append_numbered(later, "comments", path, "commentNumber", order)
+    return spark.read.parquet(path)
+
+
 def appended_postings(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     path = work_path(spark, "postings")
@@ -136,7 +152,7 @@ def _log_folder(spark, sf_dir) -> str:
     day = F.date_format("orderDate", "yyyy-MM-dd HH:mm:ss")
     attempt = F.format_string(
         "INFO  %s,120   45ms CustomerLogin          ButtonLogOn_Click  - User %s attempted to log in with password %s",
-        day, "email", "secret",
+        day, "email", F.concat("secret", F.lit(" attempted to log in with password "), "email"),
     )
     other = F.format_string("DEBUG %s,121   46ms Orders                 Page_Load          - rows %s", day, "attempt")
     requests.select(F.explode(F.array(attempt, other)).alias("value")).write.text(path)
@@ -243,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         delimited_roundtrip, rebuild_report, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
-        appended_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, json_objects,
+        appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, json_objects,
         json_documents, json_sink, lockout_stream, last_activity_stream, online_stream, online_exact_stream,
         comment_intake,
     )
@@ -258,22 +274,24 @@ _TRIMMED = r"regexp_replace(comment, '^[\t\n\x0B\f\r\x{85}\p{Z}]+|[\t\n\x0B\f\r\
 ORACLES = {
     "delimited_roundtrip": with_views('''
         SELECT * REPLACE (CAST("orderNumber" AS INTEGER) AS "orderNumber", CAST("customerNumber" AS INTEGER) AS "customerNumber"),
-               CAST(NULL AS VARCHAR) AS comments FROM orders_v''', "orders_v"),
-    "rebuild_report": """
+               CASE WHEN status <> 'F' THEN ' \\ "status" is ' || status || ' ' END AS comments FROM orders_v''', "orders_v"),
+    "rebuild_report": f"""
+        WITH c AS (SELECT regexp_matches(text, '[|\\r\\n]') OR text = 'NULL' AS refused FROM documents)
         SELECT 'Orders' AS table_name, 'loaded' AS status, (SELECT count(*) FROM orders) AS rows_loaded,
-               (SELECT count(*) FROM nation) AS rows_rejected
-        UNION ALL SELECT 'CustomerLogin', 'loaded', (SELECT count(*) FROM customer), 0
-        UNION ALL SELECT 'Comments', 'loaded', (SELECT count(*) FROM documents), 0
-        UNION ALL SELECT name, 'missing', 0, 0 FROM (VALUES """ + ", ".join(
-            f"('{t}')" for t in TABLES if t not in ("Orders", "CustomerLogin", "Comments")) + ") AS m(name)",
+               (SELECT count(*) FROM nation) AS rows_rejected, 0 AS rows_refused
+        UNION ALL SELECT 'CustomerLogin', 'loaded', (SELECT count(*) FROM customer), 0, 0
+        UNION ALL SELECT 'Comments', 'loaded', (SELECT count(*) FROM c WHERE NOT refused), 0, (SELECT count(*) FROM c WHERE refused)
+        UNION ALL SELECT 'Offices', 'loaded', 0, 0, 0
+        UNION ALL SELECT name, 'missing', 0, 0, 0 FROM (VALUES """ + ", ".join(
+            f"('{t}')" for t in TABLES if t not in ("Orders", "CustomerLogin", "Comments", "Offices")) + ") AS m(name)",
     "database_source": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("customer", "orders", "lineitem", "part", "supplier")),
-    "xml_roundtrip": """SELECT url AS name, '<b>&"''' || page_id || '@example.com' AS email FROM pages""",
+    "xml_roundtrip": """SELECT html AS name, '<b>&"''' || page_id || '@example.com' AS email FROM pages""",
     "xml_select": with_views("""
         SELECT "customerNumber", "customerName" AS name, city, state FROM customers WHERE state = 'BUILDING'""", "customers"),
     "text_lines": """
-        SELECT CAST(length(line) AS INTEGER) AS line_length, count(*) AS lines
-        FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""",
+        SELECT sha256(line) AS line, CAST(length(line) AS INTEGER) AS line_length, count(*) AS lines
+        FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line""",
     "file_inventory": """
         SELECT name || '.parquet' AS name, '.parquet' AS extension, true AS has_bytes, true AS unknown_type
         FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'),
@@ -281,6 +299,13 @@ ORACLES = {
     "appended_comments": with_views("""
         SELECT "productCode", email, comment FROM comments
         UNION ALL SELECT conv_id, role || '@example.com', text FROM conversations""", "comments"),
+    "numbered_comments": with_views("""
+        SELECT row_number() OVER (ORDER BY "productCode", email, comment) AS "commentNumber", "productCode", email, comment
+        FROM comments
+        UNION ALL
+        SELECT (SELECT count(*) FROM comments) + row_number() OVER (ORDER BY conv_id, role, text), conv_id,
+               role || '@example.com', text
+        FROM conversations""", "comments"),
     "appended_postings": with_views("""
         SELECT "Title", "Email", "Message" FROM postings UNION ALL SELECT "Title", "Email", "Message" FROM postings""",
         "postings"),

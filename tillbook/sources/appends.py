@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tillbook.operators.ordering import number_rows
 from tillbook.streaming.sinks import write_appends
 
 # Columns of each append-only table.
@@ -29,6 +33,24 @@ def append_stream(rows: DataFrame, table: str, path: str, checkpoint: str) -> St
     return write_appends(rows.select(*APPEND_TABLES[table]), path, checkpoint)
 
 
-def numbered(rows: DataFrame, number: str) -> DataFrame:
-    """Give appended rows a unique number, not consecutive."""
-    return rows.withColumn(number, F.monotonically_increasing_id())
+def numbered(rows: DataFrame, number: str, order: Sequence[str], after: int = 0) -> DataFrame:
+    """Number rows from ``after`` + 1 in ``order``, without sorting them in one task."""
+    told = rows.withColumn("_tie", F.monotonically_increasing_id())
+    placed = number_rows(told, [], [*order, "_tie"])
+    return placed.withColumn(number, F.col("row_no") + after).drop("row_no", "total", "_tie")
+
+
+def append_numbered(rows: DataFrame, table: str, path: str, number: str, order: Sequence[str]) -> None:
+    """Append a batch whose numbers follow those already stored.
+
+    One writer at a time, as for any key that counts up.
+    """
+    columns = APPEND_TABLES[table]
+    try:
+        stored = rows.sparkSession.read.parquet(path)
+        last = stored.agg(F.max(number)).first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = 0
+    numbered(rows.select(*columns), number, order, last).select(number, *columns).write.mode("append").parquet(path)

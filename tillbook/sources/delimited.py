@@ -41,23 +41,39 @@ def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame | No
         raise
 
 
-def _present(spark: SparkSession, folder: str, tables: dict[str, Table]) -> set[str]:
-    """Which of the declared files exist, as a file or a folder of parts.
+def representable(df: DataFrame) -> Column:
+    """Whether every text of a row can be told again from the file.
 
-    At most one name per declared table reaches the driver.
+    The format has neither quotes nor escapes: a bar or a line end inside a
+    text, or a text that equals the word for NULL, cannot be written. An empty
+    field reads as NULL, so an empty text cannot either.
     """
-    known = [t.file for t in tables.values()]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    steps = F.split("path", "/")
-    names = F.explode(F.array_intersect(steps, F.array(*[F.lit(n) for n in known])))
-    return {row["file"] for row in files.where(F.col("length") >= 0).select(names.alias("file")).distinct().collect()}
+    fits = F.lit(True)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            text = F.col(field.name)
+            fits = fits & (text.isNull() | (~text.rlike(r"[|\r\n\x00]") & ~text.isin("NULL", "")))
+    return fits
 
 
-def write_delimited(df: DataFrame, path: str) -> None:
-    """The same format; NULL becomes the bare word."""
-    df.write.mode("overwrite").option("sep", "|").option("nullValue", "NULL").option("emptyValue", "").option(
-        "quote", ""
-    ).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+def write_delimited(df: DataFrame, path: str, refused: str | None = None) -> int:
+    """The same format; NULL becomes the bare word. Returns the number of refused rows.
+
+    Rows that the format cannot hold go to ``refused`` as Parquet; without such
+    a place they are an error.
+    """
+    counts, fits = Observation(), representable(df)
+    seen = df.observe(counts, F.count(F.when(~fits, 1)).alias("refused"))
+    seen.where(fits).write.mode("overwrite").options(
+        sep="|", nullValue="NULL", emptyValue="", quote="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+    ).csv(path)
+    number = counts.get["refused"]
+    if number and refused is None:
+        raise ValueError(f"{number} rows hold a bar, a line end or the word for NULL")
+    if number:
+        df.where(~fits).write.mode("overwrite").parquet(refused)
+    return number
 
 
 def rebuild(spark: SparkSession, folder: str, target: str, tables: dict[str, Table] = TABLES) -> DataFrame:
@@ -67,15 +83,14 @@ def rebuild(spark: SparkSession, folder: str, target: str, tables: dict[str, Tab
     parse go to ``target/rejected/<table>``; a missing file is reported and
     leaves an empty table.
     """
-    present = _present(spark, folder, tables)
     report = []
     for name, table in tables.items():
-        if table.file not in present:
+        frame = read_table(spark, folder, table)
+        if frame is None:
             # A rebuilt store has every table; this one is empty.
             spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(f"{target}/{name}")
             report.append((name, "missing", 0, 0))
             continue
-        frame = read_delimited(spark, f"{folder}/{table.file}", table.schema)
         counts = Observation()
         bad = F.col(BAD).isNotNull()
         seen = frame.observe(counts, F.count(F.when(~bad, 1)).alias("good"), F.count(F.when(bad, 1)).alias("bad"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE = r"^(\w+)\s+(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3})\s+(\d+)ms\s+(\S+)\s+(\S+)\s+- (.*)$"
-ATTEMPT = r"^User (.*) attempted to log in with password"
+# The first such phrase ends the name: a later one is part of the password.
+ATTEMPT = r"^User (.*?) attempted to log in with password"
 
 
 def login_attempts(lines: DataFrame, column: str = "value") -> DataFrame:

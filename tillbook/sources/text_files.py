@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +29,19 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Name, path, size, extension and content type of the files below a path.
 
-    Only metadata is read; the bytes of the files are not. Spark's file readers
-    pass over empty files, so those are not listed.
+    Only metadata is read; the bytes of the files are not. Spark's readers make
+    no row of an empty file, so the names in the file index that have none are
+    added with size 0.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # The index writes file:/// where a row's path has file:/.
+    every = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in listed.inputFiles()], "path string")
+    files = listed.select("path", "length")
+    files = files.unionByName(every.join(files, "path", "left_anti").withColumn("length", F.lit(0).cast("bigint")))
     name = F.element_at(F.split("path", "/"), -1)
     types = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return files.select("path", "length", "modificationTime").select(
+    return files.select(
         name.alias("name"),
         "path",
         F.col("length").alias("size"),
