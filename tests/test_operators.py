@@ -259,6 +259,40 @@ def test_unique_addresses_equal_one_request_at_a_time(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("unique", [False, True])
+def test_requests_without_a_place_are_rejected(spark, unique):
+    """They neither win nor keep the rounds from ending."""
+    rows = [
+        (1, None, "a", "secret-1", "a@x", None, None), (None, 0, "b", "secret-1", "b@x", None, None),
+        (7, 0, "c", "secret-1", "c@x", None, None), (7, 0, "d", "secret-1", "d@x", None, None),
+        (8, 0, "c", "secret-1", "c@x", None, None), (9, 0, "c", "secret-1", "e@x", None, None),
+    ]
+    users = spark.createDataFrame([], USER_SCHEMA)
+    got = sorted(
+        ((r.request_id, r.Username, r.status) for r in merges.creation_status(spark.createDataFrame(rows, REQUEST_SCHEMA), users, unique_email=unique).collect()),
+        key=repr,
+    )
+    assert got == sorted(
+        [(1, "a", "UserRejected"), (None, "b", "UserRejected"), (7, "c", "UserRejected"), (7, "d", "UserRejected"), (8, "c", "Success"), (9, "c", "DuplicateUserName")],
+        key=repr,
+    )
+
+
+def test_records_are_those_of_the_named_application(spark):
+    users = spark.createDataFrame([(1, "Ann", "ann", 0), (2, "Ann", "ann", 1)], "UserId bigint, Username string, LoweredUsername string, ApplicationId bigint")
+    keys = spark.createDataFrame([("ANN", 1)], "LoweredUsername string, ApplicationId bigint")
+    assert [r.UserId for r in lookup.user_records(users, keys).collect()] == [2]
+
+
+def test_a_null_is_not_an_absent_row(spark):
+    users = spark.createDataFrame([(0, "ann", None)], "ApplicationId bigint, LoweredUsername string, IsLockedOut boolean")
+    asked = spark.createDataFrame([("Ann", 0), ("Bob", 0)], "Username string, ApplicationId bigint")
+    assert {r.Username: r.status for r in lookup.account_status(asked, users).collect()} == {"Ann": 0, "Bob": 1}
+    logins = spark.createDataFrame([("a@x", None)], "email string, password string")
+    tried = spark.createDataFrame([("a@x", "s"), ("b@x", "s")], "email string, secret string")
+    assert {r.email: r.outcome for r in lookup.login_outcomes(tried, logins).collect()} == {"a@x": "wrong_secret", "b@x": "unknown_email"}
+
+
 def test_merge_update_takes_the_latest_change_and_keeps_keys_unique(spark):
     snapshot = spark.createDataFrame([(i, "old") for i in range(5)], "k bigint, v string")
     changes = spark.createDataFrame(
@@ -338,7 +372,9 @@ def test_inactive_count_is_returned(spark):
 def test_upsert_creates_anonymous_owners_only(spark):
     user_schema = USER_SCHEMA + ", IsAnonymous boolean, CreateDate timestamp_ntz, LastActivityDate timestamp_ntz"
     users = spark.createDataFrame([(1, "Ann", "ann", 0, "", "", False, DAY, DAY)], user_schema)
-    profiles = spark.createDataFrame([(1, "old", DAY), (7, "kept", DAY)], "UserId bigint, PropertyNames string, LastUpdatedDate timestamp_ntz")
+    profiles = spark.createDataFrame(
+        [(1, "old", b"1", DAY), (7, "kept", b"7", DAY)], "UserId bigint, PropertyNames string, blob binary, LastUpdatedDate timestamp_ntz"
+    )
     later = DAY + dt.timedelta(3)
     changes = spark.createDataFrame(
         [("ANN", 0, True, "early", DAY), ("ann", 0, True, "new", later), ("guest", 0, False, "g", later), ("lost", 0, True, "l", later)],
@@ -348,7 +384,9 @@ def test_upsert_creates_anonymous_owners_only(spark):
     assert {r.UserId: (r.IsAnonymous, r.LastActivityDate) for r in next_users.collect()} == {
         "1": (False, later), "anonymous:0:guest": (True, later)
     }
-    assert {r.UserId: r.PropertyNames for r in next_profiles.collect()} == {"1": "new", "7": "kept", "anonymous:0:guest": "g"}
+    assert {r.UserId: (r.PropertyNames, r.blob) for r in next_profiles.collect()} == {
+        "1": ("new", b"1"), "7": ("kept", b"7"), "anonymous:0:guest": ("g", None)
+    }
 
 
 def test_cascade_is_optional(spark):

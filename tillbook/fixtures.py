@@ -246,15 +246,11 @@ class Fixtures:
 
     @cached_property
     def users_in_roles(self) -> DataFrame:
-        """A user holds the role of an event type produced at least 13 times."""
-        return (
-            self.events.groupBy("user_id", "event_type")
-            .count()
-            .where(F.col("count") >= 13)
-            .select(
-                F.col("user_id").alias("UserId"),
-                F.concat(F.col("event_type"), F.lit("@"), F.col("user_id") % 2).alias("RoleId"),
-            )
+        """A user holds the roles of the types of their first and their last event."""
+        when = F.struct("ts", "event_id")
+        ends = self.events.groupBy("user_id").agg(F.min_by("event_type", when).alias("a"), F.max_by("event_type", when).alias("b"))
+        return ends.select("user_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("kind")).select(
+            F.col("user_id").alias("UserId"), F.concat(F.col("kind"), F.lit("@"), F.col("user_id") % 2).alias("RoleId")
         )
 
     @cached_property

@@ -136,18 +136,18 @@ def login_outcomes(attempts: DataFrame, logins: DataFrame) -> DataFrame:
     The stored value is decoded and both sides are trimmed and lowered. A
     stored value that does not decode cannot match.
     """
-    known = logins.select("email", F.col("password").alias("_stored"))
+    known = logins.select("email", F.col("password").alias("_stored"), F.lit(True).alias("_hit"))
     decoded = decoded_base64(F.col("_stored"))
     matches = F.lower(F.trim("secret")) == F.lower(F.trim(decoded))
     return (
         attempts.join(known, "email", "left")
         .withColumn(
             "outcome",
-            F.when(F.col("_stored").isNull(), "unknown_email")
+            F.when(F.col("_hit").isNull(), "unknown_email")
             .when(F.coalesce(matches, F.lit(False)), "ok")
             .otherwise("wrong_secret"),
         )
-        .drop("_stored", "secret")
+        .drop("_stored", "_hit", "secret")
     )
 
 
@@ -203,12 +203,15 @@ def as_fields(table: DataFrame, key: str) -> DataFrame:
 def user_records(users: DataFrame, keys: DataFrame | None = None, key: str = "LoweredUsername") -> DataFrame:
     """User rows as shown: NULL texts empty, rows with a blank name left out.
 
-    ``keys`` restricts to names, ids or addresses; names and addresses are
-    compared on the lowered columns.
+    ``keys`` restricts to names, ids or addresses. Names and addresses are those
+    of an application, so their keys carry its ApplicationId; they are compared
+    on the lowered columns.
     """
     if keys is not None:
-        wanted = F.lower(F.col(key)) if key.startswith("Lowered") else F.col(key)
-        users = users.join(keys.select(wanted.alias(key)).distinct(), key, "left_semi")
+        lowered = key.startswith("Lowered")
+        tenant = ["ApplicationId"] if lowered or "ApplicationId" in keys.columns else []
+        wanted = F.lower(F.col(key)) if lowered else F.col(key)
+        users = users.join(keys.select(*tenant, wanted.alias(key)).distinct(), [*tenant, key], "left_semi")
     texts = [c for c in ("Email", "PasswordQuestion", "Comment") if c in users.columns]
     return users.where(F.col("Username") != "").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in texts})
 
@@ -229,13 +232,13 @@ def status_text(status: Column) -> Column:
 
 
 def account_status(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Status 0 found, 1 missing, 99 locked for each requested name."""
-    known = users.select("ApplicationId", "LoweredUsername", F.col("IsLockedOut").alias("_locked"))
-    status = F.when(F.col("_locked").isNull(), 1).when(F.col("_locked"), 99).otherwise(0)
+    """Status 0 found, 1 missing, 99 locked for each requested name; a NULL flag is not locked."""
+    known = users.select("ApplicationId", "LoweredUsername", F.col("IsLockedOut").alias("_locked"), F.lit(True).alias("_hit"))
+    status = F.when(F.col("_hit").isNull(), 1).when(F.col("_locked"), 99).otherwise(0)
     return (
         requests.withColumn("LoweredUsername", F.lower("Username"))
         .join(known, ["ApplicationId", "LoweredUsername"], "left")
         .withColumn("status", status)
         .withColumn("message", status_text(F.col("status")))
-        .drop("LoweredUsername", "_locked")
+        .drop("LoweredUsername", "_locked", "_hit")
     )

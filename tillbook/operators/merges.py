@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.credentials import policy_error, salted_digest
 from tillbook.functions.text import parameter_error, trimmed
-from tillbook.session import written
+from tillbook.session import work_path, written
 
 # Largest sizes of the stored texts.
 MAX_NAME, MAX_PASSWORD, MAX_ANSWER, MAX_EMAIL, MAX_QUESTION = 256, 128, 128, 256, 256
@@ -71,10 +71,9 @@ def _sequence(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def affected_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """How many rows fewer a table has after a change, as one row."""
-    removed = before.agg(F.count("*")).scalar() - after.agg(F.count("*")).scalar()
-    return before.sparkSession.range(1).select(removed.alias("affected"))
+def affected_rows(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many rows of a table have a key in ``gone``, as one row."""
+    return table.join(gone.select(*keys), list(keys), "left_semi").agg(F.count("*").alias("affected"))
 
 
 def named_id(*parts: Column) -> Column:
@@ -90,6 +89,11 @@ def _requested(names: DataFrame) -> DataFrame:
     return names.select("ApplicationId", F.lower(trimmed(F.col("Username"))).alias("LoweredUsername")).distinct()
 
 
+def named_users(users: DataFrame, names: DataFrame) -> DataFrame:
+    """The users that (ApplicationId, Username) rows name."""
+    return users.join(_requested(names), ["ApplicationId", "LoweredUsername"], "left_semi")
+
+
 def delete_users(users: DataFrame, names: DataFrame, related: Sequence[DataFrame] = ()) -> list[DataFrame]:
     """Tables without the named users; ``related`` ones lose their rows too."""
     asked = _requested(names)
@@ -121,6 +125,9 @@ def creation_status(
 ) -> DataFrame:
     """Status of each request to create a user, in the order they arrive.
 
+    A request without an application or a place in the order, or one that
+    shares its place with another, is rejected: nobody could say who was first.
+
     Requests carry ApplicationId, Username, Password, Email, Question and
     Answer. The first acceptable request of a name wins; with ``unique_email``
     the first of an address must win too. The password is not returned.
@@ -152,6 +159,14 @@ def creation_status(
         .withColumn("_order", _sequence(order))
         .drop("Password", "Question", "Answer")
     )
+    shared = requests.groupBy(*order).count().where("count > 1").select(*order, F.lit(True).alias("_shared"))
+    placed = F.lit(True)
+    for o in order:
+        placed = placed & c(o).isNotNull()
+    checked = checked.join(shared, list(order), "left").withColumn(
+        "_status",
+        F.when(c("ApplicationId").isNull() | ~placed | c("_shared").isNotNull(), "UserRejected").otherwise(c("_status")),
+    ).drop("_shared")
     names = users.select("ApplicationId", c("LoweredUsername").alias("_name")).distinct().withColumn("_taken", F.lit(True))
     marked = checked.join(names, ["ApplicationId", "_name"], "left")
     taken = F.when(c("_taken"), "DuplicateUserName")
@@ -212,25 +227,38 @@ def _first_wins_by_name(marked: DataFrame) -> DataFrame:
 def _first_wins_by_both(marked: DataFrame) -> DataFrame:
     """Names and addresses both unique: settle requests round by round.
 
-    A request first in line for its name and its address wins; everyone behind
-    a winner leaves the line and the rest try again. The winners are those of
+    Whoever shares neither name nor address with another waiting request wins at
+    once. Of the others a request first in line for both wins, everyone behind
+    a winner leaves the line, and the rest try again. The winners are those of
     taking the requests one at a time. The number of rounds is the longest run
-    of requests each waiting for another, a handful in practice.
+    of requests each waiting for another; a round reads only those still waiting.
     """
     name, mail = ["ApplicationId", "_name"], ["ApplicationId", "_email"]
-    waiting = written(marked.where(F.col("_status").isNull()).select(*name, "_email", "_order"), "waiting")
-    winners: DataFrame | None = None
-    while not waiting.isEmpty():
-        by_name = waiting.groupBy(*name).agg(F.min("_order").alias("_by_name"))
-        by_mail = waiting.groupBy(*mail).agg(F.min("_order").alias("_by_mail"))
+    spark = marked.sparkSession
+    folder = work_path(spark, "winners")
+    opened = written(marked.where(F.col("_status").isNull()).select(*name, "_email", "_order"), "waiting")
+
+    def first_in_line(rows: DataFrame) -> DataFrame:
+        """Rows with the first in line for their name and address, and whether anyone else waits."""
+        by_name = rows.groupBy(*name).agg(F.min("_order").alias("_by_name"), F.count("*").alias("_names"))
+        by_mail = rows.groupBy(*mail).agg(F.min("_order").alias("_by_mail"), F.count("*").alias("_mails"))
+        return rows.join(by_name, name).join(by_mail, mail)
+
+    columns = [*name, "_email", "_order"]
+    lined = written(first_in_line(opened), "lines")
+    alone = (F.col("_names") == 1) & (F.col("_mails") == 1)
+    lined.where(alone).select(*columns).write.parquet(folder)
+    waiting = written(lined.where(~alone).select(*columns), "waiting")
+    left = waiting.count()
+    while left:
         leads = (F.col("_order") == F.col("_by_name")) & (F.col("_order") == F.col("_by_mail"))
-        won = written(
-            waiting.join(by_name, name).join(by_mail, mail).where(leads).select(*name, "_email", "_order"), "winners"
-        )
-        winners = won if winners is None else winners.unionByName(won)
+        won = written(first_in_line(waiting).where(leads).select(*columns), "won")
+        won.write.mode("append").parquet(folder)
         waiting = written(waiting.join(won, name, "left_anti").join(won, mail, "left_anti"), "waiting")
-    if winners is None:
-        return marked
+        before, left = left, waiting.count()
+        if left == before:
+            raise RuntimeError(f"{left} requests wait for each other; their order is not unique")
+    winners = spark.read.schema(opened.schema).parquet(folder)
     # A taken name does not hide that an earlier winner of the batch holds the address.
     by_name_only = F.col("_status").isNull() | (F.col("_status") == "DuplicateUserName")
     outcome = (
@@ -251,8 +279,14 @@ def _first_wins_by_both(marked: DataFrame) -> DataFrame:
 
 
 def creation_status_of_roles(requests: DataFrame, roles: DataFrame, order: Sequence[str] = ("request_id",)) -> DataFrame:
-    """Status of each request to create a role: the first of a new name wins."""
-    error = F.when(F.col("RoleName").contains(","), "comma").when(
+    """Status of each request to create a role: the first of a new name wins.
+
+    A request without an application or a place in the order is invalid.
+    """
+    unplaced = F.col("ApplicationId").isNull()
+    for o in order:
+        unplaced = unplaced | F.col(o).isNull()
+    error = F.when(unplaced, "invalid").when(F.col("RoleName").contains(","), "comma").when(
         parameter_error(F.col("RoleName"), max_size=MAX_NAME).isNotNull(), "invalid"
     )
     marked = (
@@ -388,7 +422,7 @@ def upsert_profiles(
     """(next users, next profiles) after saving profile changes.
 
     Changes carry ApplicationId, Username, IsAuthenticated, the ``stored``
-    columns and ChangeDate. A signed-in owner without a user row is skipped; an
+    columns and ChangeDate; other columns of the profiles are kept. A signed-in owner without a user row is skipped; an
     anonymous one gets a row. Owners of a saved profile become active then.
     """
     keys = ["ApplicationId", "LoweredUsername"]
@@ -416,8 +450,12 @@ def upsert_profiles(
         F.col("ChangeDate").alias("CreateDate"), F.col("ChangeDate").alias("LastActivityDate"),
     )
     next_users = kept.unionByName(created)
+    changed = [*stored, "LastUpdatedDate"]
     new = saved.select("UserId", F.struct(*stored, F.col("ChangeDate").alias("LastUpdatedDate")).alias("_new"))
-    columns = [*stored, "LastUpdatedDate"]
+    columns = [c for c in profiles.columns if c != "UserId"]
     old = profiles.select(F.col("UserId").cast("string").alias("UserId"), F.struct(*columns).alias("_old"))
-    merged = old.join(new, "UserId", "full").withColumn("_row", F.coalesce("_new", "_old"))
-    return next_users, merged.select("UserId", *[F.col(f"_row.{c}").alias(c) for c in columns])
+    merged = old.join(new, "UserId", "full")
+    # Columns that a change does not carry stay as they are.
+    value = {c: F.col(f"_old.{c}") for c in columns}
+    value |= {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")) for c in columns if c in changed}
+    return next_users, merged.select("UserId", *[value[c].alias(c) for c in columns])

@@ -58,7 +58,9 @@ def user_records(spark, sf_dir):
 def user_records_by_name(spark, sf_dir):
     """Records of the users each order's customer number names."""
     fx = Fixtures(spark, sf_dir)
-    keys = fx.orders.select(F.concat(F.lit("USER_"), F.col("customerNumber")).alias("LoweredUsername"))
+    keys = fx.orders.select(
+        (F.col("orderNumber") % 2).alias("ApplicationId"), F.concat(F.lit("USER_"), F.col("customerNumber")).alias("LoweredUsername")
+    )
     return lookup.user_records(fx.users, keys).select("UserId", "Username", "Email", "LastActivityDate")
 
 
@@ -81,7 +83,7 @@ def account_status(spark, sf_dir):
     locked = lockout.lockout_state(fx.attempts, MAX_FAILURES, WINDOW_MINUTES).select(
         F.col("user_id").alias("UserId"), "is_locked_out"
     )
-    users = fx.users.join(locked, "UserId", "left").withColumn("IsLockedOut", F.coalesce("is_locked_out", F.lit(False)))
+    users = fx.users.join(locked, "UserId", "left").withColumnRenamed("is_locked_out", "IsLockedOut")
     requests = fx.customers.select(
         F.concat(F.lit("USER_"), F.col("customerNumber")).alias("Username"),
         (F.col("customerNumber") % 2).alias("ApplicationId"),
@@ -144,12 +146,11 @@ def membership_check(spark, sf_dir):
 
 
 def role_exists(spark, sf_dir):
-    """Role of each order priority and event type: only the latter exist."""
+    """Roles of order priorities and event types in three applications: only the latter exist, in two of them."""
     fx = Fixtures(spark, sf_dir)
-    names = fx.table("orders").select(F.lower("o_orderpriority").alias("LoweredRoleName")).union(
-        fx.events.select("event_type")
-    )
-    return directory.existing(names.distinct(), fx.roles, ["LoweredRoleName"], "role_exists")
+    names = fx.table("orders").select(F.lower("o_orderpriority").alias("LoweredRoleName"), (F.col("o_orderkey") % 3).alias("ApplicationId"))
+    names = names.union(fx.events.select("event_type", F.col("user_id") % 3))
+    return directory.existing(names.distinct(), fx.roles, ["ApplicationId", "LoweredRoleName"], "role_exists")
 
 
 def profile_exists(spark, sf_dir):
@@ -371,10 +372,12 @@ def _creation_requests(fx: Fixtures):
         F.when(F.col("c_nationkey") != 5, login_email(F.col("c_name"))).alias("Email"),
         F.lit(None).cast("string").alias("Question"),
         F.when(F.col("c_nationkey") == 7, F.lit(" ")).alias("Answer"),
-        (F.col("c_custkey") % 2).alias("ApplicationId"),
+        F.when(F.col("c_nationkey") != 9, F.col("c_custkey") % 2).alias("ApplicationId"),
     )
+    # Some have no place in the order, some share one.
+    place = F.col("s_suppkey") + 1_000_000_000
     suppliers = fx.table("supplier").select(
-        (F.col("s_suppkey") + 1_000_000_000).alias("request_id"),
+        F.when(F.col("s_nationkey") < 20, F.when(F.col("s_nationkey") < 5, 1_000_000_000).otherwise(place)).alias("request_id"),
         F.concat(F.lit("USER_"), F.col("s_suppkey") * 3),
         F.lit("secret-word"),
         F.concat(F.lit("Customer."), F.lpad((F.col("s_suppkey") * 2).cast("string"), 9, "0"), F.lit("@example.com")),
@@ -390,10 +393,11 @@ CREATION_REQUESTS_SQL = """
            CASE WHEN c_nationkey = 3 THEN 'a,b' || c_custkey ELSE ' User_' || c_custkey END AS "Username",
            CASE WHEN c_nationkey < 18 THEN c_mktsegment || '!' ELSE c_mktsegment END AS "Password",
            CASE WHEN c_nationkey <> 5 THEN lower(replace(c_name, '#', '.')) || '@example.com' END AS "Email",
-           CASE WHEN c_nationkey = 7 THEN ' ' END AS "Answer", c_custkey % 2 AS "ApplicationId"
+           CASE WHEN c_nationkey = 7 THEN ' ' END AS "Answer",
+           CASE WHEN c_nationkey <> 9 THEN c_custkey % 2 END AS "ApplicationId"
     FROM customer
     UNION ALL
-    SELECT s_suppkey + 1000000000, 'USER_' || s_suppkey * 3, 'secret-word',
+    SELECT CASE WHEN s_nationkey < 5 THEN 1000000000 WHEN s_nationkey < 20 THEN s_suppkey + 1000000000 END, 'USER_' || s_suppkey * 3, 'secret-word',
            'Customer.' || lpad(CAST(s_suppkey * 2 AS VARCHAR), 9, '0') || '@example.com', NULL, s_suppkey % 2
     FROM supplier"""
 
@@ -444,15 +448,14 @@ def roles_after_creation(spark, sf_dir):
 def deleted_counts(spark, sf_dir):
     """Rows each kind of deletion removes."""
     fx = Fixtures(spark, sf_dir)
-    names = _anonymous_names(fx)
-    users, held, profiles = merges.delete_users(fx.users, names, [fx.users_in_roles, fx.profiles])
-    idle = merges.delete_inactive_profiles(fx.profiles, fx.users, moment(CUTOFF))
+    gone = merges.named_users(fx.users, _anonymous_names(fx)).select("UserId")
+    idle = fx.users.where(F.col("LastActivityDate") <= moment(CUTOFF)).select("UserId")
     counts = [
-        merges.affected_rows(before, after).select(F.lit(label).alias("change"), "affected")
-        for label, before, after in (
-            ("users", fx.users, users),
-            ("memberships", fx.users_in_roles, held),
-            ("profiles", fx.profiles, profiles),
+        merges.affected_rows(table, keys, ["UserId"]).select(F.lit(label).alias("change"), "affected")
+        for label, table, keys in (
+            ("users", fx.users, gone),
+            ("memberships", fx.users_in_roles, gone),
+            ("profiles", fx.profiles, gone),
             ("inactive profiles", fx.profiles, idle),
         )
     ]
@@ -475,6 +478,7 @@ def _profile_changes(fx: Fixtures):
         F.lit(True).alias("IsAuthenticated"),
         F.lit("note:S:0:5:").alias("PropertyNames"),
         F.lpad((F.col("event_id") % 100000).cast("string"), 5, "0").alias("PropertyValuesString"),
+        F.encode(F.reverse(F.col("event_id").cast("string")), "UTF-8").alias("PropertyValuesBinary"),
         F.col("ts").alias("ChangeDate"),
     )
     guests = fx.table("orders").select(
@@ -483,6 +487,7 @@ def _profile_changes(fx: Fixtures):
         F.col("o_orderstatus") == "P",
         F.lit("order:S:0:9:"),
         F.lpad(F.col("o_orderkey").cast("string"), 9, "0"),
+        F.lit(None).cast("binary"),
         F.col("o_orderdate"),
     )
     return clicks.union(guests)
@@ -494,20 +499,20 @@ PROFILE_CHANGES_SQL = """
     FROM (
         SELECT 'USER_' || user_id AS "Username", user_id % 2 AS "ApplicationId", true AS auth,
                'note:S:0:5:' AS "PropertyNames", lpad(CAST(event_id % 100000 AS VARCHAR), 5, '0') AS "PropertyValuesString",
-               ts AS "ChangeDate"
+               hex(encode(reverse(CAST(event_id AS VARCHAR)))) AS blob, ts AS "ChangeDate"
         FROM events WHERE event_type = 'click'
         UNION ALL
         SELECT 'Guest_' || o_custkey, o_custkey % 2, o_orderstatus = 'P', 'order:S:0:9:',
-               lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), o_orderdate
+               lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), NULL, o_orderdate
         FROM orders)"""
 
 
 def upsert_profiles(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     _, profiles = merges.upsert_profiles(
-        fx.users, fx.profiles, _profile_changes(fx), ["PropertyNames", "PropertyValuesString"]
+        fx.users, fx.profiles, _profile_changes(fx), ["PropertyNames", "PropertyValuesString", "PropertyValuesBinary"]
     )
-    return profiles
+    return profiles.withColumn("PropertyValuesBinary", F.hex("PropertyValuesBinary"))
 
 
 def users_after_upsert(spark, sf_dir):
@@ -585,7 +590,8 @@ _GRANTED = """
     LEFT JOIN users_in_roles m ON m."UserId" = u."UserId" AND m."RoleId" = r."RoleId" """
 _CHECKED = """
     SELECT *, lower(trim("Username")) AS name,
-           CASE WHEN trim("Answer") = '' THEN 'InvalidAnswer'
+           CASE WHEN request_id IS NULL OR "ApplicationId" IS NULL OR count(*) OVER (PARTITION BY request_id) > 1 THEN 'UserRejected'
+                WHEN trim("Answer") = '' THEN 'InvalidAnswer'
                 WHEN contains("Username", ',') THEN 'InvalidUserName'
                 WHEN {email} THEN 'InvalidEmail'
                 WHEN length("Password") < 7 OR NOT regexp_matches("Password", '[^A-Za-z0-9]') THEN 'InvalidPassword'
@@ -606,7 +612,7 @@ ORACLES = {
     "user_records": with_views("""SELECT * REPLACE (coalesce("Email", '') AS "Email") FROM users""", "users"),
     "user_records_by_name": with_views("""
         SELECT "UserId", "Username", coalesce("Email", '') AS "Email", "LastActivityDate" FROM users
-        WHERE "LoweredUsername" IN (SELECT 'user_' || o_custkey FROM orders)""", "users"),
+        WHERE ("ApplicationId", "LoweredUsername") IN (SELECT (o_orderkey % 2, 'user_' || o_custkey) FROM orders)""", "users"),
     "user_records_by_id": with_views("""
         SELECT "UserId", "Username", coalesce("Email", '') AS "Email" FROM users
         WHERE "UserId" IN (SELECT o_custkey FROM orders)""", "users"),
@@ -661,8 +667,10 @@ ORACLES = {
                     AS is_member FROM pairs p""",
         *MEMBER_VIEWS, extra={"members": MEMBERS_SQL, "pairs": ASKED_PAIRS_SQL}),
     "role_exists": with_views("""
-        SELECT name AS "LoweredRoleName", name IN (SELECT "LoweredRoleName" FROM roles) AS role_exists
-        FROM (SELECT lower(o_orderpriority) AS name FROM orders UNION SELECT event_type FROM events)""", "roles"),
+        SELECT name AS "LoweredRoleName", app AS "ApplicationId",
+               (app, name) IN (SELECT ("ApplicationId", "LoweredRoleName") FROM roles) AS role_exists
+        FROM (SELECT lower(o_orderpriority) AS name, o_orderkey % 3 AS app FROM orders
+              UNION SELECT event_type, user_id % 3 FROM events)""", "roles"),
     "profile_exists": with_views("""
         SELECT "UserId", "Username", "UserId" IN (SELECT "UserId" FROM profiles) AS profile_exists FROM users""",
         "users", "profiles"),
@@ -824,10 +832,10 @@ ORACLES = {
         SELECT DISTINCT source AS "ApplicationName" FROM documents WHERE source NOT IN ('storefront', 'backoffice')""",
     "upsert_profiles": with_views("""
         SELECT coalesce(CAST(u."UserId" AS VARCHAR), 'anonymous:' || "ApplicationId" || ':' || name) AS "UserId",
-               "PropertyNames", "PropertyValuesString", "ChangeDate" AS "LastUpdatedDate"
+               "PropertyNames", "PropertyValuesString", blob AS "PropertyValuesBinary", "ChangeDate" AS "LastUpdatedDate"
         FROM saved u
         UNION ALL
-        SELECT CAST("UserId" AS VARCHAR), "PropertyNames", "PropertyValuesString", "LastUpdatedDate" FROM profiles
+        SELECT CAST("UserId" AS VARCHAR), "PropertyNames", "PropertyValuesString", '', "LastUpdatedDate" FROM profiles
         WHERE "UserId" NOT IN (SELECT "UserId" FROM saved WHERE "UserId" IS NOT NULL)""",
         "users", "profiles", extra={"changes": PROFILE_CHANGES_SQL, "saved": """
             SELECT c.*, lower(c."Username") AS name, u."UserId" FROM changes c

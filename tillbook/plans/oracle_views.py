@@ -80,8 +80,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                event_type AS "LoweredRoleName", CAST(app AS BIGINT) AS "ApplicationId"
         FROM (SELECT DISTINCT event_type FROM events), (VALUES (0), (1)) AS a(app)"""),
     "users_in_roles": ((), """
-        SELECT user_id AS "UserId", event_type || '@' || (user_id % 2) AS "RoleId"
-        FROM events GROUP BY user_id, event_type HAVING count(*) >= 13"""),
+        SELECT DISTINCT user_id AS "UserId", kind || '@' || (user_id % 2) AS "RoleId"
+        FROM (SELECT user_id, unnest([arg_min(event_type, (ts, event_id)), arg_max(event_type, (ts, event_id))]) AS kind
+              FROM events GROUP BY user_id)"""),
     "profile_maps": ((), """
         SELECT user_id AS "UserId", json_extract_string(props, '$.k') AS k, event_type AS kind, ts AS "LastUpdatedDate"
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
