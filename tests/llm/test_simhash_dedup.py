@@ -80,10 +80,13 @@ def test_small_trees_lose_no_link(spark):
         codes.add(code)
     signed = sorted(c - (1 << 64) if c >> 63 else c for c in codes)
     expected = {(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 2}
-    frame = spark.createDataFrame([(c,) for c in signed], "fp long")
+    # The second space holds another half of them: spaces never mix.
+    frame = spark.createDataFrame([(0, c) for c in signed] + [(3, c) for c in signed[::2]], "space int, fp long")
+    half = {c % (1 << 64) for c in signed[::2]}
     for size in (7, 1024):
         found = S.fingerprint_links(frame, tree_size=size).collect()
-        assert {(r.a % (1 << 64), r.b % (1 << 64)) for r in found} == expected
+        assert {(r.a % (1 << 64), r.b % (1 << 64)) for r in found if r.space == 0} == expected
+        assert {(r.a % (1 << 64), r.b % (1 << 64)) for r in found if r.space == 3} == {(a, b) for a, b in expected if {a, b} <= half}
 
 
 def test_tree_follows_only_edges_within_the_radius():
@@ -111,6 +114,28 @@ def test_one_document_of_each_group_stays(odd, frame):
     assert S.deduplicate(frame([])).count() == 0
 
 
+def test_more_fingerprints_find_more_copies_and_join_nothing_else(frame):
+    rows = near_copies(60)
+    plain = {i: [S.text_fingerprints(t, 8)] for i, t in rows}
+    root = {i: i for i in plain}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in plain:
+        for b in plain:
+            if b < a and any((x ^ y).bit_count() <= 2 for x, y in zip(plain[a][0], plain[b][0], strict=True)):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    found = {r.doc_id: r.component_id for r in S.near_duplicates(frame(rows), count=8).collect()}
+    assert found == {i: find(i) for i in plain}
+    assert all((i - 1000) // 4 == (c - 1000) // 4 for i, c in found.items()), "only copies of one text are joined"
+    # One or no word changed: nearly all are found.
+    light = [found[i] != i for i in found if (i - 1000) % 4 == 1]
+    assert sum(light) >= 0.95 * len(light)
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     found = sorted((tuple(r) for r in QUERIES["op5_simhash_bktree"](spark, sf_dir).collect()), key=repr)

@@ -43,38 +43,63 @@ TREE_SIZE = 1024
 # Shingles counted at a time, so that a very long text needs no more memory.
 SLICE = 1 << 16
 MASK = (1 << 64) - 1
+LOWEST = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of the text's shingles as an unsigned number."""
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits, by sums of byte lanes that cannot overflow."""
+    counts = np.empty((8, 8), np.int64)
+    blocks = np.arange(0, len(hashes), 255)
+    for bit in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(bit)) & LOWEST, blocks)
+        counts[:, bit] = lanes.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+    return counts.ravel()
+
+
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes for fingerprint ``number``; those of the first are as they are."""
+    if not number:
+        return hashes
+    mixed = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & MASK)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def text_fingerprints(text: str | None, count: int = 1) -> list[int]:
+    """SimHashes of the text's shingles as unsigned numbers, independent of each other."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * count
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends.tolist()
-    count = len(words) - SHINGLE + 1
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for low in range(0, count, SLICE):
-        high = min(count, low + SLICE)
-        pairs = zip(starts[low:high], ends[low + SHINGLE - 1 : high + SHINGLE - 1], strict=True)
+    starts, ends = (ends - lengths).tolist(), ends.tolist()
+    width = min(SHINGLE, len(words))
+    total = len(words) - width + 1
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((count, 64), np.int64)
+    for low in range(0, total, SLICE):
+        high = min(total, low + SLICE)
+        pairs = zip(starts[low:high], ends[low + width - 1 : high + width - 1], strict=True)
         hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
+        for number in range(count):
+            ones[number] += _bit_counts(_mixed(hashes, number))
+    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+
+
+def fingerprint(text: str | None) -> int:
+    return text_fingerprints(text)[0]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, count: int = 1) -> DataFrame:
+    """doc_id, the fingerprint as a signed 64-bit number (``fp``) and further ones (``more``)."""
 
     def run(columns: dict[str, list]) -> dict[str, list]:
-        found = [fingerprint(t) for t in columns["text"]]
-        return {"doc_id": columns["doc_id"], "fp": [f - (1 << 64) if f >> 63 else f for f in found]}
+        found = [[f - (1 << 64) if f >> 63 else f for f in text_fingerprints(t, count)] for t in columns["text"]]
+        return {"doc_id": columns["doc_id"], "fp": [f[0] for f in found], "more": [f[1:] for f in found]}
 
-    return map_lists(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_lists(rows, run, "doc_id long, fp long, more array<long>")
 
 
 class BkTree:
@@ -128,10 +153,11 @@ def shard_keys(fp: str = "fp") -> Column:
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Pairs (a < b) of distinct fingerprints (column ``fp``) at most ``radius`` bits apart."""
+    """Pairs (a < b) of distinct fingerprints (columns ``space``, ``fp``) of one space at most ``radius`` bits apart."""
     if radius > BLOCKS - 2:
         raise ValueError("the shards find pairs of at most two differing bits")
-    keyed = distinct.select("fp", F.explode(shard_keys()).alias("key")).select("fp", "key.pair", "key.bits")
+    keyed = distinct.select("fp", "space", F.explode(shard_keys()).alias("key"))
+    keyed = keyed.select("fp", F.expr("space * 8 + key.pair").alias("pair"), "key.bits")
     sizes = written(keyed.groupBy("pair", "bits").count().where("count >= 2"), "shards")
     trees = F.expr(f"cast(ceil(count / {tree_size}) as int)")
     placed = keyed.join(sizes, ["pair", "bits"]).withColumn("trees", trees)
@@ -143,52 +169,73 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tree_size: int
     rows = placed.select("fp", "pair", "bits", F.explode(meetings).alias("m")).select("fp", "pair", "bits", "m.*")
     ship(distinct.sparkSession)
     dealt = rows.repartition("pair", "bits", "q", "t").sortWithinPartitions("pair", "bits", "q", "t", F.desc("member"))
-    return dealt.mapInArrow(_search(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_search(radius), "space int, a long, b long").distinct()
 
 
 def _search(radius: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("space", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def own_pairs(members: list[int]) -> Iterator[tuple[int, int]]:
+    def own_pairs(members: list[int], space: int) -> Iterator[tuple[int, int, int]]:
         tree = BkTree(members) if len(members) > 1 else None
         for value in members if tree else ():
             for other in tree.within(value, radius):
                 if value < other:
-                    yield value, other
+                    yield space, value, other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, members, tree = None, [], None
         for batch in batches:
-            pairs: list[tuple[int, int]] = []
+            pairs: list[tuple[int, int, int]] = []
             columns = [batch.column(n).to_pylist() for n in ("fp", "pair", "bits", "q", "t", "member")]
             for fp, pair, bits, q, t, member in zip(*columns, strict=True):
                 key, value = (pair, bits, q, t), fp & MASK
                 if key != current:
                     if current and current[2] == current[3]:
-                        pairs += own_pairs(members)
+                        pairs += own_pairs(members, current[0] // 8)
                     current, members, tree = key, [], None
                 if member:
                     members.append(value)
                 else:
                     tree = tree or BkTree(members)
-                    pairs += [(min(value, o), max(value, o)) for o in tree.within(value, radius)]
+                    pairs += [(pair // 8, min(value, o), max(value, o)) for o in tree.within(value, radius)]
             yield _signed(pairs, schema)
         if current and current[2] == current[3]:
-            yield _signed(list(own_pairs(members)), schema)
+            yield _signed(list(own_pairs(members, current[0] // 8)), schema)
 
     return run
 
 
-def _signed(pairs: list[tuple[int, int]], schema: pa.Schema) -> pa.RecordBatch:
-    values = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(values[:, 0]), pa.array(values[:, 1])], schema=schema)
+def _signed(pairs: list[tuple[int, int, int]], schema: pa.Schema) -> pa.RecordBatch:
+    values = np.array(pairs, np.uint64).reshape(-1, 3).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(values[:, i].astype(np.int32 if not i else np.int64)) for i in range(3)], schema=schema)
+
 
+def node_links(found: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """Pairs (a, b) of first fingerprints whose documents are linked by any of their fingerprints.
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    Documents with one first fingerprint are one node. A further fingerprint
+    links the nodes that hold it to the smallest of them, and that node to those
+    of the fingerprints near it.
+    """
+    first = found.select("fp").distinct().select(F.lit(0).alias("space"), "fp", F.col("fp").alias("node"))
+    others = found.select("fp", F.posexplode("more").alias("at", "value")).select(
+        F.expr("at + 1").alias("space"), F.col("value").alias("fp"), F.col("fp").alias("node")
+    )
+    held = written(first.unionByName(others.distinct()), "held")
+    values = written(held.groupBy("space", "fp").agg(F.min("node").alias("holder")), "values")
+    same = held.join(values, ["space", "fp"]).where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"))
+    links = written(fingerprint_links(values, radius, tree_size), "links")
+    for side in ("a", "b"):
+        holders = values.select("space", F.col("fp").alias(side), F.col("holder").alias(f"_{side}"))
+        links = links.join(holders, ["space", side])
+    return same.union(links.select("_a", "_b"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, count: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (hexadecimal), component_id."""
-    found = written(fingerprints(docs), "fingerprints")
+    found = written(fingerprints(docs, count), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = written(components(written(fingerprint_links(distinct, radius, tree_size), "links")), "roots")
+    roots = written(components(node_links(found, radius, tree_size)), "roots")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     # Written, so that the join below can split a fingerprint that many documents share.
@@ -197,8 +244,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE
     return found.join(by_fp, "fp").select("doc_id", code, "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with all its columns."""
-    groups = near_duplicates(docs, radius, tree_size)
+def deduplicate(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, count: int = 1) -> DataFrame:
+    """One document of each group, that with the smallest doc_id, with all its columns.
+
+    An edit moves each of ``count`` independent fingerprints by a number of bits
+    that varies, and one that stays within the radius is enough. So more of them
+    find more copies, while texts that have little in common stay apart in all.
+    """
+    groups = near_duplicates(docs, radius, tree_size, count)
     drop = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop_id"))
     return docs.join(written(drop, "drop"), F.col("doc_id").eqNullSafe(F.col("_drop_id")), "left_anti").select(*docs.columns)
