@@ -121,10 +121,19 @@ def test_pattern_join_finds_what_like_finds(spark, seed):
     ]
 
 
-def test_more_patterns_than_fit_inline_use_the_join(spark):
-    table = spark.createDataFrame([(f"name{i}",) for i in range(100)], "t string")
-    found = search.pattern_rows(table, "t", [f"name{i}" for i in range(search.MAX_INLINE_PATTERNS + 5)])
-    assert found.count() == search.MAX_INLINE_PATTERNS + 5
+def test_a_search_on_stored_lower_case_reaches_the_scan(spark, tmp_path):
+    path = f"{tmp_path}/users"
+    spark.createDataFrame([("ann",), ("bob",)], "LoweredUsername string").write.parquet(path)
+    found = spark.read.parquet(path).where(search.like("LoweredUsername", "AN%"))
+    assert "StringStartsWith(LoweredUsername,an)" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r[0] for r in found.collect()] == ["ann"]
+
+
+def test_pieces_travel_without_the_text(spark):
+    table = spark.createDataFrame([(f"customer {i}", "wide") for i in range(50)], "t string, other string")
+    patterns = spark.createDataFrame([("%mer 1%",), ("%",)], "pattern string")
+    joined = search.pattern_join(table, "t", patterns)
+    assert joined.columns == ["t", "other", "pattern"] and joined.count() == 61
 
 
 def test_prefixes_are_literal_and_ignore_case(spark):

@@ -91,7 +91,9 @@ def attach_on_short_key(
     missing: Column,
 ) -> DataFrame:
     """Look up by the first ``width`` characters of each key."""
-    side = table.select(F.col(table_key).cast("string").alias("_short"), column)
+    # No longer key can match, so the side is what fits, and is measured as such.
+    short = F.col(table_key).cast("string")
+    side = table.where(F.length(short) <= width).select(short.alias("_short"), column)
     return (
         keys.withColumn("_short", F.substring(F.col(key).cast("string"), 1, width))
         .join(side, "_short", "left")

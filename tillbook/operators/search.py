@@ -11,13 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A caller's own list of patterns up to this long is tested inside one scan;
-# a longer one goes through the join on text pieces.
-MAX_INLINE_PATTERNS = 64
+from tillbook.session import written
+
+
+def lowered(column: str) -> Column:
+    """The text in lower case; columns named so are stored that way, and a test of them reaches the scan."""
+    return F.col(column) if column.startswith("Lowered") else F.lower(F.col(column))
 
 
 def starts_with(column: str, prefix: str) -> Column:
-    return F.lower(F.col(column)).startswith(prefix.lower())
+    return lowered(column).startswith(prefix.lower())
 
 
 def by_name_prefix(people: DataFrame, prefix: str) -> DataFrame:
@@ -37,7 +40,7 @@ def like_pattern(pattern: str) -> str:
 
 
 def like(column: str, pattern: str) -> Column:
-    return F.lower(F.col(column)).like(like_pattern(pattern))
+    return lowered(column).like(like_pattern(pattern))
 
 
 def prefix_join(texts: DataFrame, column: str, prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:
@@ -49,10 +52,8 @@ def prefix_join(texts: DataFrame, column: str, prefixes: DataFrame, prefix: str
     """
     wanted = prefixes.select(prefix).distinct().withColumn("_cut", F.lower(prefix))
     lengths = wanted.select(F.length("_cut").alias("n")).agg(F.collect_set("n")).scalar()
-    lowered = F.lower(F.col(column))
-    cuts = F.transform(
-        F.filter("_lengths", lambda n: n <= F.length(lowered)), lambda n: F.substring(lowered, F.lit(1), n)
-    )
+    text = lowered(column)
+    cuts = F.transform(F.filter("_lengths", lambda n: n <= F.length(text)), lambda n: F.substring(text, F.lit(1), n))
     return (
         texts.withColumn("_lengths", lengths)
         .withColumn("_cut", F.explode(cuts))
@@ -62,11 +63,11 @@ def prefix_join(texts: DataFrame, column: str, prefixes: DataFrame, prefix: str
 
 
 def pattern_rows(table: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
-    """All (pattern, row) pairs for a caller's list of patterns."""
+    """All (pattern, row) pairs for patterns written in the program, tested inside one scan.
+
+    Patterns that are data are a table: see ``pattern_join``.
+    """
     distinct = sorted(set(patterns))
-    if len(distinct) > MAX_INLINE_PATTERNS:
-        keys = table.sparkSession.createDataFrame([(p,) for p in distinct], "pattern string")
-        return pattern_join(table, column, keys)
     hits = F.array_compact(F.array(*[F.when(like(column, p), F.lit(p)) for p in distinct]))
     return table.withColumn("pattern", F.explode(hits))
 
@@ -83,52 +84,44 @@ def pattern_join(table: DataFrame, column: str, patterns: DataFrame, pattern: st
     """All (pattern, row) pairs for a table of patterns of any size.
 
     Each pattern is joined through one literal piece of up to three characters
-    every match must contain: the one fewest texts hold. Only rows sharing it
-    are tested against the whole pattern. Patterns without any literal join
-    every row, which is what they ask for up to their length.
+    every match must contain: the one fewest texts hold. Pieces travel with the
+    number of their row only, and only those that some pattern has; the rows
+    that share an anchor are fetched once and tested against the whole pattern.
+    A pattern without any literal asks for rows by their length and is tested
+    in the scan.
     """
-    lowered = F.lower(F.col(column))
-    wanted = patterns.select(pattern).distinct().withColumn("_like", F.lower(pattern))
-    literals = F.filter(F.split("_like", "[%_]+"), lambda t: F.length(t) > 0)
+    # Written, so that a row keeps its number.
+    rows = written(table.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    text = lowered(column)
+    escaped = F.replace(F.lower(pattern), F.lit("\\"), F.lit("\\\\"))
+    wanted = patterns.select(pattern).distinct().withColumn("_like", escaped)
+    literals = F.filter(F.split(F.lower(pattern), "[%_]+"), lambda t: F.length(t) > 0)
     size = F.least(F.coalesce(F.array_max(F.transform(literals, lambda t: F.length(t))), F.lit(0)), F.lit(3))
     sized = wanted.withColumn("_size", size).withColumn("_literals", literals)
 
-    sizes = sized.agg(F.collect_set("_size")).scalar()
-    texts = (
-        table.withColumn("_sizes", sizes)
-        .withColumn(
-            "_piece",
-            F.explode(
-                F.flatten(
-                    F.transform("_sizes", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(_pieces(lowered, n)))
-                )
-            ),
-        )
-        .drop("_sizes")
+    held = sized.where("_size > 0")
+    sizes = held.agg(F.collect_set("_size")).scalar()
+    pieces = rows.withColumn("_sizes", sizes).select(
+        "_row", F.explode(F.flatten(F.transform("_sizes", lambda n: _pieces(text, n)))).alias("_piece")
     )
-    candidates = sized.withColumn(
-        "_piece",
-        F.explode(
-            F.when(F.col("_size") == 0, F.array(F.lit(""))).otherwise(
-                F.flatten(F.transform("_literals", lambda t: _pieces(t, F.col("_size"))))
-            )
-        ),
-    ).select(pattern, "_like", "_piece")
-    holders = texts.join(candidates.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(
-        F.count("*").alias("_holders")
+    candidates = held.select(
+        pattern, "_like", F.explode(F.flatten(F.transform("_literals", lambda t: _pieces(t, F.col("_size"))))).alias("_piece")
     )
+    shared = written(pieces.join(candidates.select("_piece").distinct(), "_piece", "left_semi"), "pieces")
+    holders = shared.groupBy("_piece").agg(F.count("*").alias("_holders"))
     anchors = (
         candidates.join(holders, "_piece", "left")
         .groupBy(pattern, "_like")
         .agg(F.min_by("_piece", F.struct(F.coalesce("_holders", F.lit(0)), "_piece")).alias("_piece"))
     )
-    escaped = F.replace(F.col("_like"), F.lit("\\"), F.lit("\\\\"))
-    return (
-        texts.withColumn("_text", lowered)
-        .join(anchors.withColumn("_like", escaped), "_piece")
-        .where(F.expr("_text LIKE _like"))
-        .drop("_piece", "_text", "_like")
-    )
+    pairs = shared.join(anchors, "_piece").select("_row", pattern, "_like")
+    tested = rows.withColumn("_text", text).join(pairs, "_row").where(F.expr("_text LIKE _like"))
+    found = tested.select(*table.columns, pattern)
+    # Patterns of wildcards alone differ by their length and by having a percent sign.
+    bare = sized.where("_size = 0").agg(F.collect_list(F.struct(F.col(pattern).alias("p"), F.col("_like").alias("l")))).scalar()
+    every = rows.withColumn("_text", text).withColumn("_bare", bare).withColumn("_bare", F.expr("filter(_bare, b -> _text LIKE b.l)"))
+    open_ones = every.select(*table.columns, F.explode("_bare.p").alias(pattern))
+    return found.unionByName(open_ones)
 
 
 def pattern_counts(matches: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tillbook.plans.quality import _ESCAPED
 from tillbook.schemas import TABLES
 from tillbook.session import work_path, written
 from tillbook.sources import appends, database, delimited, json_out, logs, text_files, xml
+from tillbook.operators import activity as batch_activity
 from tillbook.streaming import activity, intake, lockout, sinks
 
 
@@ -199,7 +200,7 @@ def lockout_stream(spark, sf_dir):
     path, out = work_path(spark, "attempt-stream"), work_path(spark, "lockout-updates")
     attempts.write.parquet(path)
     clock = attempts.groupBy().agg(
-        F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"),
+        F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("bigint").alias("event_id"),
         (F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts"), F.lit(True).alias("ok"),
         F.lit("password").alias("counter"),
     )
@@ -207,7 +208,7 @@ def lockout_stream(spark, sf_dir):
     stream = spark.readStream.schema(attempts.schema).parquet(path)
     updates = lockout.lockout_updates(stream, directory.MAX_FAILURES, directory.WINDOW_MINUTES, "1 hour")
     sinks.write_appends(updates, out, work_path(spark, "lockout-checkpoint")).awaitTermination()
-    return lockout.current_state(spark.read.parquet(out)).where(F.col("user_id") >= 0)
+    return lockout.current_state(spark.read.parquet(out))
 
 
 def _event_stream(spark, sf_dir):
@@ -223,45 +224,69 @@ def last_activity_stream(spark, sf_dir):
     return sinks.latest_updates(spark, out, ["user_id"])
 
 
+def _closed_events(spark, sf_dir):
+    """The events and, a day behind the last, a row without user that only moves the clock."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts")
+    path = work_path(spark, "clock")
+    later = (F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts")
+    events.agg(F.lit(None).cast("bigint").alias("user_id"), later).write.parquet(path)
+    return _event_stream(spark, sf_dir).select("user_id", "ts").union(spark.readStream.schema(events.schema).parquet(path))
+
+
 def online_stream(spark, sf_dir):
-    """Windows complete by the end of the stream, distinct users estimated."""
-    out = work_path(spark, "online")
-    counts = activity.online_over_time(_event_stream(spark, sf_dir), "6 hours", "2 hours", "1 hour")
+    """Estimates of all windows beside the exact counts: within three times the stated error of each."""
+    out, error = work_path(spark, "online"), 0.02
+    counts = activity.online_over_time(_closed_events(spark, sf_dir), "6 hours", "2 hours", "1 hour", error)
     sinks.write_appends(counts, out, work_path(spark, "online-checkpoint")).awaitTermination()
-    return spark.read.parquet(out)
+    exact = batch_activity.online_over_time(spark.read.parquet(f"{sf_dir}/events.parquet"), "6 hours", "2 hours")
+    both = exact.join(spark.read.parquet(out).withColumnRenamed("users_online", "estimate"), ["window_start", "window_end"], "full")
+    near = F.abs(F.col("estimate") - F.col("users_online")) <= F.greatest(F.lit(1.0), 3 * error * F.col("users_online"))
+    return both.select("window_start", "window_end", "users_online", F.coalesce(near, F.lit(False)).alias("within_error"))
 
 
 def online_exact_stream(spark, sf_dir):
     """The same windows with exact counts."""
     out = work_path(spark, "online")
-    counts = activity.exact_online_over_time(_event_stream(spark, sf_dir), "6 hours", "2 hours", "1 hour")
+    counts = activity.exact_online_over_time(_closed_events(spark, sf_dir), "6 hours", "2 hours", "1 hour")
     sinks.write_appends(counts, out, work_path(spark, "online-checkpoint")).awaitTermination()
     return spark.read.parquet(out)
 
 
-def comment_intake(spark, sf_dir):
+def _delivered_comments(spark, sf_dir):
     """All comments delivered twice, with some that break a rule."""
     fx = Fixtures(spark, sf_dir)
-    path, out = work_path(spark, "comment-stream"), work_path(spark, "accepted")
+    path = work_path(spark, "comment-stream")
     arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("commentNumber"))
     comments = fx.comments.withColumn("arrived", arrived).withColumn(
         "email", F.when(F.col("comment").contains("!"), F.concat("email", F.lit(",x"))).otherwise(F.col("email"))
     )
     comments.write.parquet(path)
     comments.write.mode("append").parquet(path)
-    stream = spark.readStream.schema(comments.schema).parquet(path)
-    accepted = intake.accepted(stream, "commentNumber", "arrived", "30 days").drop("arrived")
+    return spark.readStream.schema(comments.schema).parquet(path)
+
+
+def comment_intake(spark, sf_dir):
+    out = work_path(spark, "accepted")
+    accepted = intake.accepted(_delivered_comments(spark, sf_dir), "commentNumber", "arrived", "30 days").drop("arrived")
     sinks.write_appends(accepted, out, work_path(spark, "intake-checkpoint")).awaitTermination()
     return spark.read.parquet(out)
 
 
+def comment_intake_rejected(spark, sf_dir):
+    """What the intake turns away, each delivery with the rule it breaks."""
+    out = work_path(spark, "rejected")
+    rejected = intake.rejected(_delivered_comments(spark, sf_dir)).drop("arrived")
+    sinks.write_appends(rejected, out, work_path(spark, "rejected-checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         delimited_roundtrip, rebuild_report, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
         appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, json_objects,
         json_documents, json_sink, lockout_stream, last_activity_stream, online_stream, online_exact_stream,
-        comment_intake,
+        comment_intake, comment_intake_rejected,
     )
 }
 
@@ -321,9 +346,13 @@ ORACLES = {
     "json_sink": with_views('SELECT "customerNumber", state, "creditLimit" FROM customers', "customers"),
     "lockout_stream": directory.LOCKOUT_SQL,
     "last_activity_stream": directory.ORACLES["last_activity"],
-    "online_exact_stream": f"""
-        SELECT * FROM ({directory.ORACLES["online_over_time"]})
-        WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    "online_exact_stream": directory.ORACLES["online_over_time"],
+    "online_stream": f"""SELECT *, true AS within_error FROM ({directory.ORACLES["online_over_time"]})""",
+    "comment_intake_rejected": with_views(f"""
+        SELECT "commentNumber", "productCode", CASE WHEN contains(comment, '!') THEN email || ',x' ELSE email END AS email,
+               CASE WHEN contains(comment, '!') THEN 'comma' ELSE 'empty' END AS error
+        FROM comments, (VALUES (1), (2)) AS deliveries(d)
+        WHERE contains(comment, '!') OR length({_TRIMMED}) = 0""", "comments"),
     "comment_intake": with_views(f"""
         SELECT "commentNumber", "productCode", email, {_ESCAPED.format(_TRIMMED)} AS comment FROM comments
         WHERE NOT contains(comment, '!') AND length({_TRIMMED}) > 0""", "comments"),

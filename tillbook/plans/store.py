@@ -174,7 +174,7 @@ def order_list_formatted(spark, sf_dir):
 
 
 def customer_unpivot(spark, sf_dir):
-    return lookup.as_fields(Fixtures(spark, sf_dir).customers.drop("creditLimit"), "customerNumber")
+    return lookup.as_fields(Fixtures(spark, sf_dir).customers.withColumn("creditLimit", F.col("creditLimit").cast("decimal(12,2)")), "customerNumber")
 
 
 def product_comments_nested(spark, sf_dir):
@@ -279,6 +279,13 @@ def pattern_table_matches(spark, sf_dir):
     return search.pattern_join(fx.customers.select("customerNumber", "customerName"), "customerName", _pattern_table(fx))
 
 
+def pattern_table_counts(spark, sf_dir):
+    """Matching customers of every pattern of a table, none included."""
+    fx = Fixtures(spark, sf_dir)
+    patterns = _pattern_table(fx).union(fx.table("nation").select(F.concat(F.lit("%!"), "n_name")))
+    return search.pattern_counts(search.pattern_join(fx.customers.select("customerName"), "customerName", patterns), patterns)
+
+
 def pattern_counts(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     patterns = spark.createDataFrame([(p,) for p in NAME_PATTERNS], "pattern string")
@@ -294,7 +301,7 @@ QUERIES = {
         customer_emails, truncated_key_emails, truncated_number_emails, login_checks, login_outcomes,
         order_list_formatted, customer_unpivot, product_comments_nested, requested_product_details,
         category_products_nested, name_prefix_search, email_prefix_search, email_prefix_matches, autocomplete_docs,
-        pattern_matches, pattern_table_matches, pattern_counts,
+        pattern_matches, pattern_table_matches, pattern_table_counts, pattern_counts,
     )
 }
 
@@ -370,8 +377,10 @@ ORACLES = {
         SELECT "orderNumber", status, strftime("requiredDate", '%m/%d/%Y') AS "requiredDate",
                strftime("shippedDate", '%m/%d/%Y') AS "shippedDate" FROM orders_v""", "orders_v"),
     "customer_unpivot": with_views(" UNION ALL ".join(
-        f'SELECT "customerNumber", \'{c}\' AS field, CAST("{c}" AS VARCHAR) AS value FROM customers'
-        for c in ("customerName", "logoFileName", "contactLastName", "contactFirstName", "city", "state", "country")),
+        f'SELECT "customerNumber", \'{c}\' AS field, CAST({v} AS VARCHAR) AS value FROM customers'
+        for c, v in (*((c, f'"{c}"') for c in ("customerName", "logoFileName", "contactLastName", "contactFirstName", "city",
+                                             "state", "country")),
+                     ("creditLimit", 'CAST("creditLimit" AS DECIMAL(12, 2))'))),
         "customers"),
     "product_comments_nested": with_views(chunked_sql(
         """SELECT p."productCode", p."productName", c.* EXCLUDE ("productCode")
@@ -415,6 +424,11 @@ ORACLES = {
     "pattern_table_matches": with_views("""
         SELECT "customerNumber", "customerName", pattern FROM customers, patterns
         WHERE lower("customerName") LIKE lower(pattern)""", "customers", extra={"patterns": PATTERN_TABLE_SQL}),
+    "pattern_table_counts": with_views("""
+        SELECT pattern, count("customerName") AS matches
+        FROM (SELECT pattern FROM patterns UNION SELECT '%!' || n_name FROM nation) AS p
+        LEFT JOIN customers ON lower("customerName") LIKE lower(pattern) GROUP BY pattern""",
+        "customers", extra={"patterns": PATTERN_TABLE_SQL}),
     "pattern_counts": with_views(f"""
         SELECT pattern, count("customerName") AS matches FROM (VALUES {_PATTERNS}) AS p(pattern)
         LEFT JOIN customers ON lower("customerName") LIKE lower(pattern) GROUP BY pattern""", "customers"),
