@@ -154,3 +154,16 @@ def test_stream_keeps_nothing_for_a_locked_account_and_drops_late_attempts(spark
     assert 3 not in got
     # The locked account was written once and not touched again.
     assert spark.read.parquet(out).where("user_id = 1").count() == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_stored_state_and_later_attempts_equal_the_whole_history(spark, seed):
+    """Locked accounts stay, untouched ones are kept, and a hot account spans blocks in both halves."""
+    rng = random.Random(seed)
+    users = [1] * 300 + [rng.randrange(2, 30) for _ in range(200)]
+    rows = [(u, rng.randrange(400), rng.random() < 0.1, rng.choice(["password", "passwordAnswer"])) for u in users]
+    frame = attempts(spark, rows)
+    cut = F.lit(START + dt.timedelta(minutes=200)).cast("timestamp_ntz")
+    first = lockout.lockout_state(frame.where(F.col("ts") < cut), 3, MINUTES, blocks=6)
+    both = lockout.lockout_state(frame.where(F.col("ts") >= cut), 3, MINUTES, blocks=6, accounts=first)
+    assert results(both) == results(lockout.lockout_state(frame, 3, MINUTES))

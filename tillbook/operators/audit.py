@@ -14,7 +14,8 @@ from tillbook.schemas import Table
 
 def repeated_keys(df: DataFrame, table: Table) -> DataFrame:
     """Key values held by several rows; counting combines before the shuffle."""
-    key = F.concat_ws("|", *table.key)
+    # A part without a value shows as one, or (a, NULL) would read as the key a.
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in table.key])
     return (
         df.groupBy(*table.key)
         .agg(F.count("*").alias("n"))

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tillbook.functions import lockout as rules
 from tillbook.session import written
 
+# State fields and the columns they have in a result.
+STORED = {
+    "locked": "is_locked_out", "locked_at": "last_lockout", "password_count": "password_count",
+    "password_start": "password_window_start", "answer_count": "answer_count", "answer_start": "answer_window_start",
+}
+
 
 def _runs(attempts: DataFrame, blocks: int | None = None) -> DataFrame:
     """Each account's attempts as sorted arrays, one per block of the table.
@@ -86,15 +92,20 @@ def _after_block(state: Column, block: Column, limit: int, window: Column) -> Co
     return F.when(locks, locked).otherwise(F.coalesce(block["tail"], open_end))
 
 
-def _deciding_blocks(summaries: DataFrame, limit: int, window: Column) -> DataFrame:
+def _carried(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Add ``carried``: the account's stored state, else a clean one."""
+    if stored is None:
+        return rows.withColumn("carried", rules.clean_state())
+    return rows.join(stored, "user_id", "left").withColumn("carried", F.coalesce("_stored", rules.clean_state())).drop("_stored")
+
+
+def _deciding_blocks(summaries: DataFrame, stored: DataFrame | None, limit: int, window: Column) -> DataFrame:
     """For accounts in several blocks: the block that decides, and the state
     carried into it: the block of the lock, else the last one."""
     summary = F.struct("block", "tail", "password_failures", "password", "answer_failures", "answer")
-    ordered = summaries.groupBy("user_id").agg(F.sort_array(F.collect_list(summary)).alias("blocks"))
+    ordered = _carried(summaries.groupBy("user_id").agg(F.sort_array(F.collect_list(summary)).alias("blocks")), stored)
     # Until a block locks, each step remembers the state it started from.
-    start = F.struct(
-        F.lit(-1).alias("block"), rules.clean_state().alias("carried"), rules.clean_state().alias("state")
-    ).cast(f"struct<block:int,carried:{rules.STATE},state:{rules.STATE}>")
+    start = F.struct(F.lit(-1).alias("block"), F.col("carried"), F.col("carried").alias("state")).cast(f"struct<block:int,carried:{rules.STATE},state:{rules.STATE}>")
 
     def step(s: Column, b: Column) -> Column:
         return F.when(s["state"]["locked"], s).otherwise(
@@ -111,9 +122,13 @@ def _deciding_blocks(summaries: DataFrame, limit: int, window: Column) -> DataFr
 
 
 def lockout_state(
-    attempts: DataFrame, max_failures: int = 50, window_minutes: int = 10, blocks: int | None = None
+    attempts: DataFrame,
+    max_failures: int = 50,
+    window_minutes: int = 10,
+    blocks: int | None = None,
+    accounts: DataFrame | None = None,
 ) -> DataFrame:
-    """Final lockout state of every account with an attempt.
+    """Final lockout state of every account with an attempt or a stored state.
 
     ``attempts`` has user_id, event_id, ts, ok and counter. Most accounts lie
     in one block and are folded there. Of the others there are fewer than
@@ -121,30 +136,30 @@ def lockout_state(
     summaries are walked in order, and only the deciding block of each is
     folded again. ``blocks`` sets the number of blocks; the session's shuffle
     partitions decide otherwise.
+
+    ``accounts`` is an earlier result of this function, or of unlocking it, and
+    ``attempts`` then those made since; the history is not folded again.
     """
     window = F.make_dt_interval(mins=F.lit(window_minutes))
+    stored = None
+    if accounts is not None:
+        # A locked account ignores every attempt.
+        attempts = attempts.join(accounts.where("is_locked_out").select("user_id"), "user_id", "left_anti")
+        stored = accounts.select("user_id", F.struct(*[F.col(c).alias(f) for f, c in STORED.items()]).cast(rules.STATE).alias("_stored"))
     runs = _runs(attempts, blocks)
     # Fewer rows than blocks, written first: joins with it are planned on its size.
     several = written(
         runs.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("user_id"), "split-accounts"
     )
-    whole = runs.join(several, "user_id", "left_anti").withColumn("carried", rules.clean_state())
+    whole = _carried(runs.join(several, "user_id", "left_anti"), stored)
     split = runs.join(several, "user_id", "left_semi")
-    deciding = _deciding_blocks(_summarised(split, max_failures, window), max_failures, window)
+    deciding = _deciding_blocks(_summarised(split, max_failures, window), stored, max_failures, window)
     last = split.join(deciding, ["user_id", "block"])
     state = rules.fold(F.col("carried"), F.col("events"), max_failures, window)
     columns = ["user_id", "events", "carried"]
-    return (
-        whole.select(*columns)
-        .unionByName(last.select(*columns))
-        .select("user_id", state.alias("s"))
-        .select(
-            "user_id",
-            F.col("s.locked").alias("is_locked_out"),
-            F.col("s.locked_at").alias("last_lockout"),
-            F.col("s.password_count").alias("password_count"),
-            F.col("s.password_start").alias("password_window_start"),
-            F.col("s.answer_count").alias("answer_count"),
-            F.col("s.answer_start").alias("answer_window_start"),
-        )
-    )
+    folded = whole.select(*columns).unionByName(last.select(*columns)).select("user_id", state.alias("s"))
+    found = folded.select("user_id", *[F.col(f"s.{f}").alias(c) for f, c in STORED.items()])
+    if accounts is None:
+        return found
+    unchanged = accounts.join(runs.select("user_id").distinct(), "user_id", "left_anti")
+    return found.unionByName(unchanged.select(*found.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillbook.fixtures import Fixtures, login_email
 from tillbook.operators import activity, directory, lockout, lookup, merges, ordering
 from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, chunked_sql, with_views
+from tillbook.session import written
 
 AS_OF = "2024-01-31 00:00:00"
 CUTOFF = "2024-01-30 10:00:00"
@@ -206,6 +207,14 @@ def lockout_state(spark, sf_dir):
 # --- changes --------------------------------------------------------------
 
 
+def lockout_continued(spark, sf_dir):
+    """The first half of the attempts, stored, and the second half folded onto it."""
+    attempts = Fixtures(spark, sf_dir).attempts
+    middle = moment("2024-01-16 00:00:00")
+    first = written(lockout.lockout_state(attempts.where(F.col("ts") < middle), MAX_FAILURES, WINDOW_MINUTES), "accounts")
+    return lockout.lockout_state(attempts.where(F.col("ts") >= middle), MAX_FAILURES, WINDOW_MINUTES, accounts=first)
+
+
 def grant_result(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return merges.grant_roles(_grant_pairs(fx), fx.users, fx.roles, fx.users_in_roles).select(
@@ -530,7 +539,7 @@ QUERIES = {
         user_names_by_email, account_status, users_page, users_single_page, users_all_pages, events_all_pages,
         application_roles, roles_per_user, users_per_role, role_members_like, membership_check, role_exists,
         profile_exists, all_profiles, profiles_inactive, profiles_by_name, inactive_profiles_by_name,
-        inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state,
+        inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued,
         grant_result, memberships_after_grant, grant_whole_requests, revoke_result, memberships_after_revoke,
         merge_update, secret_update, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
         memberships_after_role_delete, delete_profiles, delete_inactive_profiles, create_users_status,
@@ -707,6 +716,7 @@ ORACLES = {
               FROM (SELECT user_id, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') AS b FROM events))
         GROUP BY w""",
     "lockout_state": LOCKOUT_SQL,
+    "lockout_continued": LOCKOUT_SQL,
     "grant_result": with_views('SELECT "ApplicationId", "Username", "RoleName", status FROM granted', *MEMBER_VIEWS,
                                extra={"pairs": GRANT_PAIRS_SQL, "granted": _GRANTED}),
     "memberships_after_grant": with_views("""

@@ -75,8 +75,10 @@ def protected_join(spark, sf_dir):
     """Two protected tables still join on the digest."""
     fx = Fixtures(spark, sf_dir)
     left = fx.logins.select(credentials.protect(F.col("email"), "sha256").alias("email_key"), "question_id")
-    right = fx.comments.select(credentials.protect(F.col("email"), "sha256").alias("email_key"), "commentNumber")
-    return left.join(right, "email_key").groupBy("question_id").agg(F.count("*").alias("comments"))
+    # Comments are counted by address before the join, and only the addresses are protected.
+    counted = fx.comments.groupBy("email").agg(F.count("*").alias("n"))
+    right = counted.select(credentials.protect(F.col("email"), "sha256").alias("email_key"), "n")
+    return left.join(right, "email_key").groupBy("question_id").agg(F.sum("n").alias("comments"))
 
 
 def aes_round_trip(spark, sf_dir):
