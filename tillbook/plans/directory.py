@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillbook.fixtures import Fixtures, login_email
-from tillbook.operators import activity, directory, lockout, lookup, merges, ordering
-from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, chunked_sql, with_views
+from tillbook.functions.credentials import salted_digest
+from tillbook.operators import activity, directory, lockout, lookup, merges, ordering, sign_in
+from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, VIEWS, chunked_sql, with_views
 from tillbook.session import written
 
 AS_OF = "2024-01-31 00:00:00"
@@ -215,6 +216,27 @@ def lockout_continued(spark, sf_dir):
     return lockout.lockout_state(attempts.where(F.col("ts") >= middle), MAX_FAILURES, WINDOW_MINUTES, accounts=first)
 
 
+def validated_logins(spark, sf_dir):
+    """Every attempt with a secret of its own; one user in eleven is not approved, one in thirteen attempts unknown."""
+    fx = Fixtures(spark, sf_dir)
+    salt = F.base64(F.unhex(F.md5(F.col("Username").cast("binary"))))
+    users = fx.users.select(
+        "UserId", "LoweredUsername", "ApplicationId", "LastActivityDate", salt.alias("PasswordSalt"),
+        salted_digest(F.concat(F.lit("Pw-"), "UserId"), salt).alias("Password"),
+        salted_digest(F.concat(F.lit("answer "), "UserId"), salt).alias("PasswordAnswer"),
+        F.when(F.col("UserId") % 3 != 0, F.col("UserId") % 11 != 0).alias("IsApproved"),
+        F.lit(None).cast("boolean").alias("IsLockedOut"),
+    )
+    right = F.when(F.col("counter") == "password", F.concat(F.lit("Pw-"), "user_id")).otherwise(F.concat(F.lit("ANSWER "), "user_id"))
+    tried = fx.attempts.select(
+        "event_id", "ts", "counter", (F.col("user_id") % 2).alias("ApplicationId"),
+        F.concat(F.when(F.col("event_id") % 13 == 0, "GUEST_").otherwise("USER_"), "user_id").alias("Username"),
+        F.when(F.col("ok"), right).otherwise(F.lower(F.concat(right, F.lit("!")))).alias("Secret"),
+    )
+    outcomes, _ = sign_in.validated_logins(tried, users, MAX_FAILURES, WINDOW_MINUTES)
+    return outcomes.select("event_id", "UserId", "outcome")
+
+
 def grant_result(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return merges.grant_roles(_grant_pairs(fx), fx.users, fx.roles, fx.users_in_roles).select(
@@ -539,7 +561,7 @@ QUERIES = {
         user_names_by_email, account_status, users_page, users_single_page, users_all_pages, events_all_pages,
         application_roles, roles_per_user, users_per_role, role_members_like, membership_check, role_exists,
         profile_exists, all_profiles, profiles_inactive, profiles_by_name, inactive_profiles_by_name,
-        inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued,
+        inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued, validated_logins,
         grant_result, memberships_after_grant, grant_whole_requests, revoke_result, memberships_after_revoke,
         merge_update, secret_update, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
         memberships_after_role_delete, delete_profiles, delete_inactive_profiles, create_users_status,
@@ -717,6 +739,17 @@ ORACLES = {
         GROUP BY w""",
     "lockout_state": LOCKOUT_SQL,
     "lockout_continued": LOCKOUT_SQL,
+    "validated_logins": with_views("""
+        SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN a.user_id END AS "UserId",
+               CASE WHEN event_id % 13 = 0 THEN 'unknown_user'
+                    WHEN a.user_id % 3 <> 0 AND a.user_id % 11 = 0 THEN 'not_approved'
+                    WHEN l.is_locked_out AND a.ts > l.last_lockout THEN 'locked_out'
+                    WHEN a.ok THEN 'valid' ELSE 'wrong_secret' END AS outcome
+        FROM all_attempts a LEFT JOIN lockout l ON l.user_id = a.user_id""",
+        recursive=True, extra={
+            "all_attempts": VIEWS["attempts"][1],
+            "attempts": "SELECT * FROM all_attempts WHERE event_id % 13 <> 0 AND NOT (user_id % 3 <> 0 AND user_id % 11 = 0)",
+            **LOCKOUT_CTES}),
     "grant_result": with_views('SELECT "ApplicationId", "Username", "RoleName", status FROM granted', *MEMBER_VIEWS,
                                extra={"pairs": GRANT_PAIRS_SQL, "granted": _GRANTED}),
     "memberships_after_grant": with_views("""
