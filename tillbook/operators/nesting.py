@@ -74,7 +74,8 @@ def nest(
     """
     own = children.where(F.col(key).isNotNull()).select(key, *item)
     chunks = collect_in_chunks(own, key, item, name, max_bytes)
-    childless = parents.join(own.select(key).distinct(), key, "left_anti").select(
+    having = own.select(key).distinct().withColumn("_has", F.lit(True))
+    childless = parents.join(having, key, "left").where(F.col("_has").isNull()).select(
         *parents.columns,
         F.lit(0).cast("bigint").alias("chunk"),
         F.lit(0).cast("bigint").alias("total"),
