@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,8 +27,8 @@ def test_any_cut_gives_the_library_s_ids(text, size):
         left = max(0, low - model.longest - 1)
         chunks.append(S.Chunk(model, whole[left : high + model.longest], low - left, high - left, number == count - 1))
     path = S.states_between([c.matrix() for c in chunks], S.START, S.STOP)
-    ids = [i for c, a, b in zip(chunks, path, path[1:]) for i in c.backtrace(a, b)]
-    assert ids == model.lib.encode(text)
+    ids = np.concatenate([c.backtrace(a, b) for c, a, b in zip(chunks, path, path[1:])])
+    assert ids.tolist() == model.lib.encode(text)
     assert model.decode(ids) == whole
 
 
@@ -54,6 +55,12 @@ def test_odd_rows(frame, chunk):
     rows = ODD + [(50, "thething" * 500), (51, "日本語" * 300), (50, "thething" * 500)]
     encoded = S.encode(frame(rows), PATH, chunk)
     check(rows, encoded)
+    joined = {}
+    for r in sorted(encoded.collect(), key=lambda r: (r.row, r.chunk)):
+        joined[r.row] = joined.get(r.row, b"") + bytes(r.ids)
+    library = S.pieces(PATH).lib
+    expected = sorted(np.array(library.encode(t or ""), "<i4").tobytes() for _, t in rows)
+    assert sorted(joined.values()) == expected
     assert S.summary(S.encode(frame([]), PATH, chunk)).count() == 0
 
 

@@ -43,7 +43,7 @@ def op8_weak_supervision(spark, sf_dir):
 
 
 def op9_sentencepiece_scan(spark, sf_dir):
-    encoded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    encoded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
     return sentencepiece_scan.summary(encoded)
 
 

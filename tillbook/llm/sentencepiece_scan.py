@@ -24,9 +24,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +58,13 @@ class Pieces:
         self.text = {i: p for p, i in self.id.items()}
         self.score = {p: self.lib.get_score(i) for p, i in self.id.items()}
         self.byte = {int(self.lib.id_to_piece(i)[1:-1], 16): i for i in numbers if self.lib.is_byte(i)}
-        self.byte_value = {i: b for b, i in self.byte.items()}
+        self.spelled = [self.text.get(i, "").encode("utf-8") for i in numbers]
+        for value, i in self.byte.items():
+            self.spelled[i] = bytes([value])
         self.longest = max(map(len, self.id))
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece reaches over the start of a word")
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.allowed: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -90,22 +92,20 @@ class Pieces:
             return [own]
         return [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte else [self.lib.unk_id()]
 
-    def run_ids(self, words: list[str]) -> list[int]:
-        """Ids of whole words, each with the spaces in front of it."""
-        missing = list({w for w in words if w not in self.words})
+    def run_ids(self, text: str) -> bytes:
+        """Ids of a run of whole words, as little-endian 32-bit numbers."""
+        words = text.split(SPACE)[1:] if SPACE * 2 not in text else [w[1:] for w in split_words(text)]
+        missing = list(set(words).difference(self.words))
         if len(self.words) + len(missing) > MEMORY_WORDS:
             self.words, missing = {}, list(set(words))
-        # The library puts one space in front of what it encodes.
-        self.words.update(zip(missing, self.lib.encode([w[1:].replace(SPACE, " ") for w in missing]), strict=True))
-        out: list[int] = []
-        for w in words:
-            out += self.words[w]
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+        # The library puts the one space in front that the key leaves out.
+        found = self.lib.encode([w.replace(SPACE, " ") for w in missing])
+        self.words.update(zip(missing, [np.array(ids, "<i4").tobytes() for ids in found], strict=True))
+        return b"".join(map(self.words.__getitem__, words))
+
+    def decode(self, ids: np.ndarray) -> str:
         """The normalised text of ids."""
-        data = b"".join(bytes([self.byte_value[i]]) if i in self.byte_value else self.text[i].encode() for i in ids)
-        return data.decode("utf-8", "surrogatepass")
+        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
 
 
 @cache
@@ -215,18 +215,19 @@ class Chunk:
         meets = [s for s, (at, p) in sides.items() if at == first or at < first and first in self.walk(at, p, first)]
         return {s: dict(right) for s in meets} if right else {}
 
-    def backtrace(self, entry: State, leave: State) -> list[int]:
+    def backtrace(self, entry: State, leave: State) -> np.ndarray:
         """Ids of the pieces that begin in this chunk."""
         at = self.low + entry[0]
         before = None if entry == START else self.model.text.get(entry[1]) or chr(-10 - entry[1])
         if not self.starts:
-            return [i for p in self.exits(at, before)[leave] for i in self.model.ids(p)]
+            return self.ids(self.exits(at, before)[leave])
         first, last = self.starts
-        head = self.path(self.walk(at, before, first), first) if at < first else []
-        found = [i for p in head for i in self.model.ids(p)]
-        if last > first:
-            found += self.model.run_ids(split_words(self.text[first:last]))
-        return found + [i for p in self.exits(last, None)[leave] for i in self.model.ids(p)]
+        head = self.ids(self.path(self.walk(at, before, first), first)) if at < first else self.ids([])
+        words = np.frombuffer(self.model.run_ids(self.text[first:last]), "<i4") if last > first else self.ids([])
+        return np.concatenate([head, words, self.ids(self.exits(last, None)[leave])])
+
+    def ids(self, parts: list[str]) -> np.ndarray:
+        return np.array([i for p in parts for i in self.model.ids(p)], "<i4")
 
 
 def multiply(left: Matrix, right: Matrix) -> Matrix:
@@ -306,52 +307,69 @@ def _matrices(chunks: DataFrame, path: str) -> DataFrame:
 
 
 def _boundaries(matrices: DataFrame) -> DataFrame:
-    """Both boundary states of every chunk: row, chunk, e0, e1, l0, l1."""
+    """Both boundary states of every chunk: row, chunk, e0, e1, l0, l1.
 
-    def combine(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = [_unpack(c) for c in frame.sort_values("chunk")["cells"]]
-        total = ordered[0]
-        for matrix in ordered[1:]:
-            total = multiply(total, matrix)
-        return pd.DataFrame({"row": frame["row"].iloc[:1].to_list(), "block": frame["block"].iloc[:1].to_list(), "cells": [_pack(total)]})
+    Matrices meet in arrays of at most ``BLOCK`` chunks, and then of a
+    document's blocks.
+    """
+    ends = "array<struct<at:long,e0:long,e1:long,l0:long,l1:long>>"
 
-    def across(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block")
-        path = states_between([_unpack(c) for c in frame["cells"]], START, STOP)
-        ends = [(*a, *b) for a, b in zip(path, path[1:])]
-        return pd.DataFrame({"row": frame["row"], "block": frame["block"], **dict(zip(("e0", "e1", "l0", "l1"), zip(*ends)))})
+    def total(columns: dict[str, list]) -> dict[str, list]:
+        found = [reduce(multiply, [_unpack(p["cells"]) for p in parts]) for parts in columns["parts"]]
+        return {**{n: columns[n] for n in ("row", "block")}, "cells": [_pack(m) for m in found]}
 
-    def within(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, ends = left.sort_values("chunk"), right.iloc[0]
-        path = states_between([_unpack(c) for c in left["cells"]], (int(ends["e0"]), int(ends["e1"])), (int(ends["l0"]), int(ends["l1"])))
-        found = [(*a, *b) for a, b in zip(path, path[1:])]
-        return pd.DataFrame({"row": left["row"], "chunk": left["chunk"], **dict(zip(("e0", "e1", "l0", "l1"), zip(*found)))})
+    def states(parts: list[dict], entry: State, leave: State) -> list[dict]:
+        path = states_between([_unpack(p["cells"]) for p in parts], entry, leave)
+        return [{"at": p["at"], "e0": a[0], "e1": a[1], "l0": b[0], "l1": b[1]} for p, a, b in zip(parts, path, path[1:])]
 
-    ends = "e0 long, e1 long, l0 long, l1 long"
-    blocks = matrices.groupBy("row", "block").applyInPandas(combine, f"row long, block long, cells {CELLS}")
-    outer = blocks.groupBy("row").applyInPandas(across, f"row long, block long, {ends}")
-    return matrices.groupBy("row", "block").cogroup(outer.groupBy("row", "block")).applyInPandas(within, f"row long, chunk long, {ends}")
+    def across(columns: dict[str, list]) -> dict[str, list]:
+        return {"row": columns["row"], "ends": [states(p, START, STOP) for p in columns["parts"]]}
 
+    def within(columns: dict[str, list]) -> dict[str, list]:
+        sides = zip(*(columns[n] for n in ("e0", "e1", "l0", "l1")), strict=True)
+        return {"row": columns["row"], "ends": [states(p, s[:2], s[2:]) for p, s in zip(columns["parts"], sides, strict=True)]}
 
-ENCODED = "row long, doc_id long, chunk long, chunks long, ids array<int>, decoded boolean"
+    def gathered(frame: DataFrame, keys: list[str], at: str) -> DataFrame:
+        return frame.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "cells"))).alias("parts"))
 
+    def flat(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select("row", F.explode("ends").alias("e")).select("row", F.col("e.at").alias(name), "e.e0", "e.e1", "e.l0", "e.l1")
 
-def _backtraced(chunks: DataFrame, path: str) -> DataFrame:
-    def run(columns: dict[str, list]) -> dict[str, list]:
-        model = pieces(path)
-        ids, same = [], []
-        names = ("text", "low", "high", "chunk", "chunks", "e0", "e1", "l0", "l1")
-        for text, low, high, number, chunks, e0, e1, l0, l1 in zip(*(columns[n] for n in names), strict=True):
-            found = Chunk(model, text, low, high, number == chunks - 1).backtrace((e0, e1), (l0, l1)) if text else []
-            ids.append(found)
-            same.append(model.decode(found) == text[low + e0 : high + l0])
-        return {**{n: columns[n] for n in ("row", "doc_id", "chunk", "chunks")}, "ids": ids, "decoded": same}
+    blocks = gathered(matrices, ["row", "block"], "chunk")
+    whole = gathered(map_lists(blocks, total, f"row long, block long, cells {CELLS}"), ["row"], "block")
+    outer = flat(map_lists(whole, across, f"row long, ends {ends}"), "block")
+    return flat(map_lists(blocks.join(outer, ["row", "block"]), within, f"row long, ends {ends}"), "chunk")
 
-    return map_lists(chunks, run, ENCODED)
 
+ENCODED = "row long, doc_id long, chunk long, chunks long, n long, s long, w long, decoded boolean"
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """Ids by document and chunk: row, doc_id, chunk, chunks, ids, decoded (the ids give the text back)."""
+
+def _backtraced(chunks: DataFrame, path: str, keep_ids: bool) -> DataFrame:
+    def run(columns: dict[str, list]) -> dict[str, list]:
+        model, out = pieces(path), defaultdict(list)
+        names = ("text", "low", "high", "chunk", "chunks", "e0", "e1", "l0", "l1")
+        for text, low, high, number, chunks, e0, e1, l0, l1 in zip(*(columns[n] for n in names), strict=True):
+            one = Chunk(model, text, low, high, number == chunks - 1) if text else None
+            ids = one.backtrace((e0, e1), (l0, l1)) if one else np.array([], "<i4")
+            wide = ids.astype(np.int64)
+            out["n"].append(len(ids))
+            out["s"].append(int(wide.sum()))
+            out["w"].append(int(wide @ np.arange(1, len(ids) + 1)))
+            out["decoded"].append(model.decode(ids) == text[low + e0 : high + l0])
+            if keep_ids:
+                out["ids"].append(ids.tobytes())
+        return {**{n: columns[n] for n in ("row", "doc_id", "chunk", "chunks")}, **{n: out[n] for n in ("n", "s", "w", "decoded", "ids")}}
+
+    return map_lists(chunks, run, ENCODED + ", ids binary" * keep_ids)
+
+
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: bool = True) -> DataFrame:
+    """Ids by document and chunk.
+
+    Columns: row, doc_id, chunk, chunks, n (number of ids), s (their sum), w
+    (their sum times their places from 1), decoded (whether the ids give the
+    text back) and ids, as little-endian 32-bit numbers, unless left out.
+    """
     ship(docs.sparkSession)
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
@@ -365,26 +383,21 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     alone = small.unionByName(giant.where("chunks = 1"))
     for name, value in (("e0", START[0]), ("e1", START[1]), ("l0", STOP[0]), ("l1", STOP[1])):
         alone = alone.withColumn(name, F.lit(value).cast("long"))
-    return _backtraced(alone, path).unionByName(_backtraced(known.select(*alone.columns), path))
+    return _backtraced(alone, path, keep_ids).unionByName(_backtraced(known.select(*alone.columns), path, keep_ids))
 
 
 def summary(encoded: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, id_sum, id_place_sum (ids times places from 1), n_chunks, decoded."""
-    one = encoded.select(
-        "row", "doc_id", "chunk", "chunks", "decoded",
-        F.size("ids").cast("long").alias("n"),
-        F.expr("aggregate(ids, 0L, (s, i) -> s + i)").alias("s"),
-        F.expr("aggregate(ids, struct(0L AS k, 0L AS w), (a, i) -> struct(a.k + 1 AS k, a.w + (a.k + 1) * i AS w)).w").alias("w"),
-    )
-    whole = one.where("chunks = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("s").alias("id_sum"), F.col("w").alias("id_place_sum"), F.col("chunks").alias("n_chunks"), "decoded")
+    names = {"n": "n_tokens", "s": "id_sum", "w": "id_place_sum", "chunks": "n_chunks"}
+    whole = encoded.where("chunks = 1").select("doc_id", "n", "s", "w", "chunks", "decoded")
     # A window over the few numbers of a document's chunks places them.
-    placed = one.where("chunks > 1").withColumn("before", F.expr("sum(n) OVER (PARTITION BY row ORDER BY chunk) - n"))
+    placed = encoded.where("chunks > 1").withColumn("before", F.expr("sum(n) OVER (PARTITION BY row ORDER BY chunk) - n"))
     many = placed.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
-        F.sum("n").alias("n_tokens"),
-        F.sum("s").alias("id_sum"),
-        F.sum(F.col("w") + F.col("before") * F.col("s")).alias("id_place_sum"),
-        F.first("chunks").alias("n_chunks"),
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.sum(F.col("w") + F.col("before") * F.col("s")).alias("w"),
+        F.first("chunks").alias("chunks"),
         F.bool_and("decoded").alias("decoded"),
     )
-    return whole.unionByName(many.drop("row"))
+    return whole.unionByName(many.drop("row")).withColumnsRenamed(names)
