@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tillbook.llm import tokens
 from tillbook.llm.batches import map_lists, text_or_empty
+from tillbook.session import written
 
 LIMIT = 1024
 CACHE = "digest binary, version string, n_tokens long"
@@ -68,10 +69,11 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     """One row per document: doc_id, n_bytes, n_tokens, over_limit; the cache folder grows by the misses."""
     spark, version = docs.sparkSession, tokenizer_version(path)
     text = text_or_empty()
-    content = text.cast("binary")
-    digest = F.unhex(F.sha2(content, 256)).alias("digest")
-    keyed = docs.select("doc_id", text.alias("content"), digest, F.octet_length(text).cast("long").alias("n_bytes"))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+    keyed = docs.select("doc_id", text.alias("content"), digest)
     encode(missing_texts(keyed, read_cache(spark, cache, version)), path).write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache, version)
-    counted = keyed.select("doc_id", "n_bytes", "digest").join(stored, "digest")
+    narrow = written(docs.select("doc_id", digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
+    # Written, so that a digest on many rows can be split in the last join.
+    stored = written(read_cache(spark, cache, version).join(narrow.select("digest").distinct(), "digest", "left_semi"), "counts")
+    counted = narrow.join(stored, "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
