@@ -388,16 +388,15 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: bool = True
 
 def summary(encoded: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, id_sum, id_place_sum (ids times places from 1), n_chunks, decoded."""
-    names = {"n": "n_tokens", "s": "id_sum", "w": "id_place_sum", "chunks": "n_chunks"}
-    whole = encoded.where("chunks = 1").select("doc_id", "n", "s", "w", "chunks", "decoded")
-    # A window over the few numbers of a document's chunks places them.
-    placed = encoded.where("chunks > 1").withColumn("before", F.expr("sum(n) OVER (PARTITION BY row ORDER BY chunk) - n"))
-    many = placed.groupBy("row").agg(
+    # One use of ``encoded``, or every text would be encoded twice. The window runs over the few numbers of
+    # a document's chunks.
+    placed = encoded.withColumn("before", F.expr("sum(n) OVER (PARTITION BY row ORDER BY chunk) - n"))
+    whole = placed.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
-        F.sum("n").alias("n"),
-        F.sum("s").alias("s"),
-        F.sum(F.col("w") + F.col("before") * F.col("s")).alias("w"),
-        F.first("chunks").alias("chunks"),
+        F.sum("n").alias("n_tokens"),
+        F.sum("s").alias("id_sum"),
+        F.sum(F.col("w") + F.col("before") * F.col("s")).alias("id_place_sum"),
+        F.first("chunks").alias("n_chunks"),
         F.bool_and("decoded").alias("decoded"),
     )
-    return whole.unionByName(many.drop("row")).withColumnsRenamed(names)
+    return whole.drop("row")
