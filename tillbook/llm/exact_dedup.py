@@ -9,7 +9,7 @@ broadcast whatever the number of documents.
 
 Rules for odd input: a null text is empty, all empty texts are one group. A
 null doc_id sorts before every number. Rows repeated with one doc_id share its
-fate. Columns besides doc_id and text are carried, whatever their names. An
+fate, unless ``deduplicate`` is asked for one row of each text. Columns besides doc_id and text are carried, whatever their names. An
 empty table gives an empty result.
 """
 
@@ -100,8 +100,12 @@ def exact_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return shared.unionByName(alone).select("doc_id", "keep_id", "group_size", kept, "text_sha256")
 
 
-def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents that stay, with all their columns; unrepeated ones are not shuffled."""
+def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS, by_row: bool = False) -> DataFrame:
+    """The documents that stay, with all their columns; unrepeated ones are not shuffled.
+
+    With ``by_row`` exactly one row of each text stays, also where rows share
+    the doc_id that stays, null included: the longest, or one of those.
+    """
     digests, words, bits = _passes(docs, max_bits)
     groups = written(_groups(split_by_filter(digests, words, bits, "text_sha256")[1]), "groups")
     marked = docs.withColumn("_bloom_sha", text_digest(text_or_empty()))
@@ -109,4 +113,13 @@ def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     side = groups.select(F.col("text_sha256").alias("_group_sha"), F.col("keep_id").alias("_group_keep"))
     dropped = (F.col("_bloom_sha") == F.col("_group_sha")) & ~F.col("doc_id").eqNullSafe(F.col("_group_keep"))
     stay = maybe.join(side, dropped, "left_anti")
+    if by_row:
+        shared = digests.join(groups, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256")
+        most = shared.agg(F.max("n_points").alias("_most"), F.count("*").alias("rows")).where("rows >= 2")
+        shared = written(most.select(F.col("text_sha256").alias("_shared_sha"), "_most"), "shared")
+        if not shared.isEmpty():
+            same = F.col("_bloom_sha") == F.col("_shared_sha")
+            longest = same & (F.char_length(text_or_empty()) == F.col("_most"))
+            one = stay.join(shared, longest, "left_semi").dropDuplicates(["_bloom_sha"])
+            stay = stay.join(shared, same, "left_anti").union(one)
     return once.select(*docs.columns).union(stay.select(*docs.columns))

@@ -14,8 +14,8 @@ an address is looked for backwards from each ``@`` and a dotted number starts
 only where a run of digits does.
 
 Rules for odd input: a null text is empty and has no spans. Documents are
-judged row by row, so a doc_id on several rows gives as many result rows; a
-null doc_id is a value like any other. Extra columns are ignored by ``find``
+judged row by row, so a doc_id on several rows gives as many result rows, each
+with the spans of its own text; a null doc_id is a value like any other. Extra columns are ignored by ``find``
 and carried by ``mask``. An empty table gives an empty result.
 """
 
@@ -26,10 +26,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.batches import BATCH_ROWS, map_lists, ship
+from tillbook.llm.rows import text_key
 from tillbook.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -136,7 +137,7 @@ def _number(value: str) -> int:
 
 
 SCANNED = (
-    "doc_id long, spans array<struct<kind:string,start:int,stop:int>>, base string,"
+    "doc_id long, {key}, spans array<struct<kind:string,start:int,stop:int>>, base string,"
     " found array<struct<start:int,stop:int,instance:long,known:boolean,patterns:array<long>>>"
 )
 
@@ -156,13 +157,14 @@ def _scan(texts: list[str | None]) -> dict[str, list]:
     return {"spans": spans, "base": base, "found": found}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and candidates of every document, without its text."""
+def scan(docs: DataFrame, key: Column) -> DataFrame:
+    """Base spans and candidates of every document, without its text but with what its spans go by (``key``)."""
 
     def run(columns: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": columns["doc_id"], **_scan(columns["text"])}
+        return {"doc_id": columns["doc_id"], "key": columns["key"], **_scan(columns["text"])}
 
-    return map_lists(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCANNED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
+    return map_lists(rows, run, SCANNED.replace("{key}", f"key {rows.schema['key'].dataType.simpleString()}"))
 
 
 def _edges(scanned: DataFrame) -> DataFrame:
@@ -199,23 +201,24 @@ def confident_patterns(
 
 
 def _discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The added spans by doc_id, in order."""
-    one = scanned.select("doc_id", F.explode("found").alias("c")).where("NOT c.known")
-    placed = one.select("doc_id", "c.start", "c.stop", F.explode("c.patterns").alias("pattern"))
-    spans = placed.join(patterns, "pattern", "left_semi").select("doc_id", "start", "stop").distinct()
+    """The added spans by key, in order."""
+    one = scanned.select("key", F.explode("found").alias("c")).where("NOT c.known")
+    placed = one.select("key", "c.start", "c.stop", F.explode("c.patterns").alias("pattern"))
+    spans = placed.join(patterns, "pattern", "left_semi").select("key", "start", "stop").distinct()
     span = F.struct(F.lit(FOUND).alias("kind"), "start", "stop")
-    return spans.groupBy("doc_id").agg(F.collect_list(span).alias("more"))
+    return spans.groupBy("key").agg(F.collect_list(span).alias("more"))
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    scanned = written(scan(docs), "scan")
+def _found(docs: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    scanned = written(scan(docs, key), "scan")
     return scanned, written(_discovered(scanned, confident_patterns(_edges(scanned))), "discovered")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: counts by kind, digest of the base spans, all spans, n_id."""
-    scanned, more = _found(docs)
-    both = scanned.join(more.withColumnRenamed("doc_id", "_more_id"), F.col("doc_id").eqNullSafe(F.col("_more_id")), "left")
+    # Rows are numbered in the written scan.
+    scanned, more = _found(docs, F.monotonically_increasing_id())
+    both = scanned.join(more, "key", "left")
     # Sorted by start, then kind as listed.
     order = F.expr(f"""transform(array_sort(transform(concat(spans, coalesce(more, array())),
         s -> struct(s.start AS start, array_position(array({', '.join(f"'{k}'" for k in (*KINDS, FOUND))}), s.kind) AS rank, s AS s))),
@@ -246,8 +249,9 @@ def mask(docs: DataFrame) -> DataFrame:
     A null text stays null. Only documents with added spans are joined to them;
     the base spans are found again in the scan that masks them.
     """
-    more = _found(docs)[1].select(F.col("doc_id").alias("_more_id"), F.col("more").alias("_more"))
-    both = docs.join(more, F.col("doc_id").cast("long").eqNullSafe(F.col("_more_id")), "left").select(*docs.columns, "_more")
+    # Rows are read again, so the spans go by the text that they are places of.
+    more = _found(docs, text_key())[1].select(F.col("key").alias("_more_key"), F.col("more").alias("_more"))
+    both = docs.join(more, text_key() == F.col("_more_key"), "left").select(*docs.columns, "_more")
     place, own = docs.columns.index("text"), len(docs.columns)
     ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -22,11 +22,12 @@ def _is(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def one_row_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+def one_row_each(docs: DataFrame, grouped: DataFrame, repeats: bool = False) -> DataFrame:
     """The documents without all rows but one of each group of ``grouped`` (doc_id, text_key, group).
 
     The row with the smallest doc_id stays, a null one last, then that with the
-    smallest text_key. Documents in no group stay as they are.
+    smallest text_key; with ``repeats`` its equals in both stay with it. Documents in
+    no group stay as they are.
     """
     kinds = written(grouped.groupBy("doc_id", "text_key", "group").agg(F.count("*").alias("rows")), "kinds")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
@@ -38,7 +39,7 @@ def one_row_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("_own_id", F.col("doc_id").cast("long"))
     # One row of those that are equal in id and text; mostly there are none.
     again = marked.where("stays AND rows > 1")
-    if again.isEmpty():
+    if repeats or again.isEmpty():
         return keyed.join(marked.where("NOT stays"), same, "left_anti").select(*docs.columns)
     alone = keyed.join(marked.where("NOT stays OR rows > 1"), same, "left_anti")
     one = keyed.join(again, same, "left_semi").dropDuplicates(["_own_id", "_text_key"])

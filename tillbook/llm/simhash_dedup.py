@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tillbook.llm.batches import map_lists, ship
 from tillbook.llm.components import components
+from tillbook.llm.rows import one_row_each, text_key
 from tillbook.session import written
 
 SHINGLE = 3
@@ -91,15 +92,16 @@ def fingerprint(text: str | None) -> int:
     return text_fingerprints(text)[0]
 
 
-def fingerprints(docs: DataFrame, count: int = 1) -> DataFrame:
-    """doc_id, the fingerprint as a signed 64-bit number (``fp``) and further ones (``more``)."""
+def fingerprints(docs: DataFrame, count: int = 1, keyed: bool = False) -> DataFrame:
+    """doc_id, the fingerprint as a signed 64-bit number (``fp``), further ones (``more``) and, if ``keyed``, text_key."""
+    keys = ["text_key"] if keyed else []
 
     def run(columns: dict[str, list]) -> dict[str, list]:
         found = [[f - (1 << 64) if f >> 63 else f for f in text_fingerprints(t, count)] for t in columns["text"]]
-        return {"doc_id": columns["doc_id"], "fp": [f[0] for f in found], "more": [f[1:] for f in found]}
+        return {"doc_id": columns["doc_id"], "fp": [f[0] for f in found], "more": [f[1:] for f in found]} | {k: columns[k] for k in keys}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_lists(rows, run, "doc_id long, fp long, more array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[text_key().alias(k) for k in keys])
+    return map_lists(rows, run, "doc_id long, fp long, more array<long>" + ", text_key binary" * keyed)
 
 
 class BkTree:
@@ -231,12 +233,17 @@ def node_links(found: DataFrame, radius: int, tree_size: int) -> DataFrame:
     return same.union(links.select("_a", "_b"))
 
 
+def _roots(found: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """Every first fingerprint with its smallest doc_id (``first_id``) and the root of its component."""
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = written(components(node_links(found, radius, tree_size)), "roots")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, count: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (hexadecimal), component_id."""
     found = written(fingerprints(docs, count), "fingerprints")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = written(components(node_links(found, radius, tree_size)), "roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _roots(found, radius, tree_size)
     smallest = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     # Written, so that the join below can split a fingerprint that many documents share.
     by_fp = written(named.join(smallest, "root").select("fp", "component_id"), "named")
@@ -250,7 +257,9 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZ
     An edit moves each of ``count`` independent fingerprints by a number of bits
     that varies, and one that stays within the radius is enough. So more of them
     find more copies, while texts that have little in common stay apart in all.
+    Rows are dropped by id and text, so a null or shared id takes no other text
+    with it; rows equal in both are one document.
     """
-    groups = near_duplicates(docs, radius, tree_size, count)
-    drop = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop_id"))
-    return docs.join(written(drop, "drop"), F.col("doc_id").eqNullSafe(F.col("_drop_id")), "left_anti").select(*docs.columns)
+    found = written(fingerprints(docs, count, keyed=True), "fingerprints")
+    roots = written(_roots(found, radius, tree_size).select("fp", F.col("root").alias("group")), "named")
+    return one_row_each(docs, found.join(roots, "fp").select("doc_id", "text_key", "group"), repeats=True)
