@@ -50,6 +50,12 @@ def test_linear_in_long_runs():
         pii.candidates(run * 20_000, [])
 
 
+def test_a_number_of_thousands_of_zeros():
+    zeros = "0" * 5000
+    text = f"1.2.3.{zeros}7 1.2.3.{zeros}777 1.2.3.{zeros}"
+    assert pii.base_spans(text) == [("ip", 0, 5007), ("ip", 10018, 10018 + 5006)]
+
+
 def check(rows, found):
     by_id = {r.doc_id: r for r in found}
     assert len(found) == len(rows)

@@ -79,7 +79,9 @@ def base_spans(text: str) -> list[Span]:
     """Base spans by start, then by kind; offsets count code points."""
     found: list[Span] = list(_emails(text)) if "@" in text else []
     for match in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.group().split(".")):
+        # int() refuses more than 4300 digits, leading zeros included.
+        parts = [p.lstrip("0") or "0" for p in match.group().split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found.append(("ip", *match.span()))
     for match in CARD.finditer(text):
         digits = DIGITS.sub("", match.group())
