@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tillbook.llm import exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, sentencepiece_scan, simhash_dedup, token_counts, warc
+from tillbook.llm import (
+    exact_dedup, language_id, lexical_search, packing, pii, quality_classifier, quality_rules, sentencepiece_scan,
+    simhash_dedup, token_counts, warc,
+)
 from tillbook.llm.batches import table
 from tillbook.llm.tokens import tokenizer_path
 from tillbook.session import work_path
@@ -51,6 +54,10 @@ def op10_bloom_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_reversed_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_random_indexing_quality": op1_random_indexing_quality,
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
@@ -62,6 +69,7 @@ QUERIES = {
     "op8_weak_supervision": op8_weak_supervision,
     "op9_sentencepiece_scan": op9_sentencepiece_scan,
     "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
+    "op11_reversed_search": op11_reversed_search,
 }
 
 ORACLES = {
@@ -80,4 +88,23 @@ ORACLES = {
         g AS (SELECT text_sha256, arg_min(doc_id, (-n, doc_id)) AS keep_id, count(*) AS group_size FROM h GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM h JOIN g USING (text_sha256)
     """,
+    "op11_reversed_search": r"""
+        WITH d AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+        i AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        c AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+        q AS (SELECT item_id, t, count(*) AS times FROM i GROUP BY ALL),
+        s AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY 1),
+        a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM s),
+        w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, a WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+        m AS (SELECT doc_id, 25 + (75 * n * docs) // l AS m FROM s, a),
+        r AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM q JOIN w USING (t) JOIN c USING (t) JOIN m USING (doc_id) GROUP BY 1, 2 HAVING score > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM r QUALIFY rank <= 10
+    """,
 }
