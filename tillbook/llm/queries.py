@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillbook.llm import (
-    exact_dedup, language_id, lexical_search, packing, pii, quality_classifier, quality_rules, sentencepiece_scan,
+    exact_dedup, hard_negatives, language_id, lexical_search, packing, pii, quality_classifier, quality_rules, sentencepiece_scan,
     simhash_dedup, token_counts, warc,
 )
 from tillbook.llm.batches import table
@@ -58,6 +60,12 @@ def op11_reversed_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_threshold_negatives(spark, sf_dir):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, moved)
+
+
 QUERIES = {
     "op1_random_indexing_quality": op1_random_indexing_quality,
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
@@ -70,6 +78,7 @@ QUERIES = {
     "op9_sentencepiece_scan": op9_sentencepiece_scan,
     "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
     "op11_reversed_search": op11_reversed_search,
+    "op12_threshold_negatives": op12_threshold_negatives,
 }
 
 ORACLES = {
@@ -107,4 +116,23 @@ ORACLES = {
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
         FROM r QUALIFY rank <= 10
     """,
+    "op12_threshold_negatives": """
+        WITH v AS (
+            SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+            FROM v a, v c WHERE a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3
+    """,
 }
