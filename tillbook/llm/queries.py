@@ -119,10 +119,10 @@ ORACLES = {
     "op12_threshold_negatives": """
         WITH v AS (
             SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
-                list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+                [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
             FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL
-                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
         s AS (
             SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
             FROM v a, v c WHERE a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
