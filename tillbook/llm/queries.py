@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillbook.llm import (
-    exact_dedup, hard_negatives, language_id, lexical_search, packing, pii, quality_classifier, quality_rules, sentencepiece_scan,
-    simhash_dedup, token_counts, warc,
+    exact_dedup, hard_negatives, language_id, lexical_search, packing, pii, quality_classifier, quality_rules, repeated_passages,
+    sentencepiece_scan, simhash_dedup, token_counts, warc,
 )
 from tillbook.llm.batches import table
 from tillbook.llm.tokens import tokenizer_path
@@ -66,6 +66,15 @@ def op12_threshold_negatives(spark, sf_dir):
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, moved)
 
 
+def op13_prefix_doubling(spark, sf_dir):
+    found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
+    total = F.aggregate("removed", F.lit(0).cast("long"), lambda n, run: n + run["size"])
+    return found.select(
+        "doc_id", "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_random_indexing_quality": op1_random_indexing_quality,
     "op2_bootstrapped_pii": op2_bootstrapped_pii,
@@ -79,6 +88,7 @@ QUERIES = {
     "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
     "op11_reversed_search": op11_reversed_search,
     "op12_threshold_negatives": op12_threshold_negatives,
+    "op13_prefix_doubling": op13_prefix_doubling,
 }
 
 ORACLES = {
