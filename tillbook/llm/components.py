@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.session import written
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, written: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """Node and root of every node that occurs in ``links`` (columns ``a``, ``b``).
 
     Rounds of large and small stars: every node passes its smallest neighbour on
     to its larger, then to its smaller neighbours, until all links are stars.
     The number of rounds grows with the logarithm of the longest path. Each
-    round is written, so lost executors never replay earlier rounds.
+    round is written, so lost executors never replay earlier rounds. A link with a
+    null end, or of a node with itself, counts for nothing; repeated links count
+    once; a table without links has no nodes.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     mark = _mark(edges)

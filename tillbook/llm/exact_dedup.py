@@ -4,70 +4,36 @@ The first pass hashes every text to two cells of a fixed bit array and counts
 rows by cell. Cells hit at least twice are the filter: a text whose two cells
 are not both in it occurs once and passes straight through. Only the other rows
 are shuffled by their digest, so a false positive costs a shuffled row, never a
-wrong result. The filter has a bounded size (``max_bits``), so it may be
-broadcast whatever the number of documents.
+wrong result. The filter has 16 bits for each row. Up to ``max_bits`` it is
+broadcast; a larger one is joined, by its words, to rows of a digest and two
+numbers. Texts themselves are read where they lie: rows that go are told by a
+second filter, of those rows, and only what passes it is joined.
 
 Rules for odd input: a null text is empty, all empty texts are one group. A
 null doc_id sorts before every number. Rows repeated with one doc_id share its
-fate, unless ``deduplicate`` is asked for one row of each text. Columns besides doc_id and text are carried, whatever their names. An
-empty table gives an empty result.
+fate, unless ``deduplicate`` is asked for one row of each text. Columns besides
+doc_id and text are carried, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.batches import text_or_empty
+from tillbook.llm.bloom import MAX_BITS, repeated_cells, split_by_filter, wanted_bits
+from tillbook.llm.rows import without
 from tillbook.session import written
 
-HASHES = 2
-BITS_PER_ROW = 16
-# 2**26 bits are at most 2**20 words of 64 bits, about 32 MB as a hashed relation.
-MAX_BITS = 1 << 26
-
-
 def text_digest(text: Column) -> Column:
     """SHA-256 of the text without white space."""
     return F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
 
 
-def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    return min(max_bits, 1 << max(10, math.ceil(math.log2(BITS_PER_ROW * max(rows, 1)))))
-
-
-def _cells(digest: str, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.col(digest), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
-
-
-def repeated_cells(digests: DataFrame, bits: int, digest: str = "text_sha256") -> DataFrame:
-    """The filter as words of 64 cells, a bit set where at least two rows fell."""
-    cells = digests.select(F.explode(F.array(*_cells(digest, bits))).alias("cell"))
-    hit = cells.groupBy("cell").count().where("count >= 2")
-    return hit.groupBy(F.expr("cell div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("mask")
-    )
-
-
-def split_by_filter(frame: DataFrame, words: DataFrame, bits: int, digest: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose digest occurs once, and rows whose digest may occur again."""
-    own = frame.columns
-    for i, cell in enumerate(_cells(digest, bits)):
-        side = F.broadcast(words.select(F.col("word").alias(f"_bloom_word{i}"), F.col("mask").alias(f"_bloom_mask{i}")))
-        frame = frame.withColumn(f"_bloom_cell{i}", cell)
-        frame = frame.join(side, F.expr(f"_bloom_cell{i} div 64 = _bloom_word{i}"), "left")
-    tests = [
-        f"coalesce(shiftrightunsigned(_bloom_mask{i}, cast(_bloom_cell{i} % 64 as int)) & 1L, 0L) = 1L" for i in range(HASHES)
-    ]
-    maybe = F.expr(" AND ".join(tests))
-    return frame.where(~maybe).select(*own), frame.where(maybe).select(*own)
-
-
 def _digests(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    return docs.select("doc_id", text_digest(text).alias("text_sha256"), F.char_length(text).cast("long").alias("n_points"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(text).alias("text_sha256"), F.char_length(text).cast("long").alias("n_points"))
 
 
 def _groups(repeated: DataFrame) -> DataFrame:
@@ -77,16 +43,17 @@ def _groups(repeated: DataFrame) -> DataFrame:
     return groups.where("group_size >= 2")
 
 
-def _passes(docs: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame, int]:
+def _passes(docs: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All narrow rows, those whose text occurs once, and those whose text may occur again."""
     digests = written(_digests(docs), "digests")
-    bits = filter_bits(digests.count(), max_bits)
-    return digests, written(repeated_cells(digests, bits), "filter"), bits
+    bits = wanted_bits(digests.count())
+    words = written(repeated_cells(digests, bits, "text_sha256"), "filter")
+    return digests, *split_by_filter(digests, words, bits, "text_sha256", max_bits)
 
 
 def exact_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests, words, bits = _passes(docs, max_bits)
-    once, maybe = split_by_filter(digests, words, bits, "text_sha256")
+    _, once, maybe = _passes(docs, max_bits)
     # Written, so that the hot digests of the left side can be split in the join.
     groups = written(_groups(maybe), "groups")
     shared = maybe.join(groups, "text_sha256", "left").select(
@@ -101,25 +68,19 @@ def exact_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS, by_row: bool = False) -> DataFrame:
-    """The documents that stay, with all their columns; unrepeated ones are not shuffled.
+    """The documents that stay, with all their columns; those that surely stay are not shuffled.
 
     With ``by_row`` exactly one row of each text stays, also where rows share
     the doc_id that stays, null included: the longest, or one of those.
     """
-    digests, words, bits = _passes(docs, max_bits)
-    groups = written(_groups(split_by_filter(digests, words, bits, "text_sha256")[1]), "groups")
-    marked = docs.withColumn("_bloom_sha", text_digest(text_or_empty()))
-    once, maybe = split_by_filter(marked, words, bits, "_bloom_sha")
-    side = groups.select(F.col("text_sha256").alias("_group_sha"), F.col("keep_id").alias("_group_keep"))
-    dropped = (F.col("_bloom_sha") == F.col("_group_sha")) & ~F.col("doc_id").eqNullSafe(F.col("_group_keep"))
-    stay = maybe.join(side, dropped, "left_anti")
+    maybe = _passes(docs, max_bits)[2]
+    groups = written(_groups(maybe), "groups")
+    names = ["doc_id", "text_sha256", "n_points"]
+    kinds = written(maybe.groupBy(*names).agg(F.count("*").alias("rows")).join(groups, "text_sha256"), "kinds")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     if by_row:
-        shared = digests.join(groups, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256")
-        most = shared.agg(F.max("n_points").alias("_most"), F.count("*").alias("rows")).where("rows >= 2")
-        shared = written(most.select(F.col("text_sha256").alias("_shared_sha"), "_most"), "shared")
-        if not shared.isEmpty():
-            same = F.col("_bloom_sha") == F.col("_shared_sha")
-            longest = same & (F.char_length(text_or_empty()) == F.col("_most"))
-            one = stay.join(shared, longest, "left_semi").dropDuplicates(["_bloom_sha"])
-            stay = stay.join(shared, same, "left_anti").union(one)
-    return once.select(*docs.columns).union(stay.select(*docs.columns))
+        most = kinds.where(stays).groupBy("text_sha256").agg(F.max("n_points").alias("most"))
+        kinds, stays = kinds.join(most, "text_sha256"), stays & (F.col("n_points") == F.col("most"))
+    text = text_or_empty()
+    own = dict(zip(names, (F.col("doc_id").cast("long"), text_digest(text), F.char_length(text).cast("long")), strict=True))
+    return without(docs, kinds.withColumn("stays", stays), own, repeats=not by_row)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.batches import BATCH_ROWS, map_lists, ship
-from tillbook.llm.rows import text_key
+from tillbook.llm.rows import near_keys, text_key, whole
 from tillbook.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -252,9 +252,11 @@ def mask(docs: DataFrame) -> DataFrame:
     the base spans are found again in the scan that masks them.
     """
     # Rows are read again, so the spans go by the text that they are places of.
-    more = _found(docs, text_key())[1].select(F.col("key").alias("_more_key"), F.col("more").alias("_more"))
-    both = docs.join(more, text_key() == F.col("_more_key"), "left").select(*docs.columns, "_more")
-    place, own = docs.columns.index("text"), len(docs.columns)
+    more = _found(docs, text_key())[1].select(F.col("key").alias("text_key"), "more")
+    alone, others = near_keys(whole(docs, {"text_key": text_key()}), more, "text_key")
+    none = F.lit(None).cast(more.schema["more"].dataType).alias("more")
+    both = alone.select("row", none).union(others.join(more, "text_key", "left").select("row", "more"))
+    place, docs_columns = docs.columns.index("text"), docs.columns
     ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -265,10 +267,10 @@ def mask(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = zip(batch.column(place).to_pylist(), batch.column(own).to_pylist(), strict=True)
-            columns = batch.columns[:own]
-            columns[place] = pa.array([new_text(*t) for t in texts], batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:own])
+            columns = batch.column("row").flatten()
+            texts = zip(columns[place].to_pylist(), batch.column("more").to_pylist(), strict=True)
+            columns[place] = pa.array([new_text(*t) for t in texts], columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
     done = both.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

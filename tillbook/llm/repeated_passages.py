@@ -45,7 +45,7 @@ from tillbook.session import written
 LENGTH = 100
 FIRST = 32
 # Bytes ranked at once; places in them fit 24 bits.
-BUFFER = 1 << 22
+BUFFER = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 SEED = 42
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillbook.llm.batches import map_lists, ship
-from tillbook.llm.exact_dedup import filter_bits, repeated_cells, split_by_filter
+from tillbook.llm.bloom import filter_bits, repeated_cells, split_by_filter
 from tillbook.session import written
 
 MIN_REVISIT = 1000
