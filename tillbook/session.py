@@ -76,3 +76,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written copies that one job needs only until its result is written; they go together."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.count = spark, work_path(spark, label), 0
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove the copies; nothing that is still to be computed may read them."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
