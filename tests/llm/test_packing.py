@@ -68,3 +68,46 @@ def test_too_long_a_piece_is_an_error():
 def test_best_fit_takes_the_tightest_place():
     sequence, offset = packing.best_fit(np.array([7, 6, 4, 3]), packing.Capacity(10, 10, 100))
     assert sequence.tolist() == [0, 1, 1, 0] and offset.tolist() == [0, 0, 6, 7]
+
+
+def test_large_ids_beside_a_null_one(spark, frame):
+    """An id beyond a double's reach stays what it is, in the operator and in the pipeline's last stage."""
+    import corpus_pipeline
+
+    rows = [((1 << 60) + 1, "one two"), ((1 << 60) + 3, "three"), (None, "four"), (None, None), (-(1 << 62) - 1, "five " * 3000)]
+    for found in (packing.packed(frame(rows), PATH), corpus_pipeline.pack(spark, frame(rows), "")):
+        check(rows, found.collect())
+
+
+def plain_fit(lengths, capacity, rule, weights):
+    """Best fit piece by piece over a list of open sequences, straight from the rule."""
+    full, scale = capacity.vector(), [w / c**2 for w, c in zip(weights, capacity.vector(), strict=True)]
+    left, places = [], []
+    for length in lengths:
+        need = (length, 1, length**2)
+        best = None
+        for at, now in enumerate(left):
+            if all(a >= b for a, b in zip(now, need, strict=True)):
+                by = [(a - b) ** 2 if rule == "norm" else a * b for a, b in zip(now, need, strict=True)]
+                cost = sum(s * x for s, x in zip(scale, by, strict=True))
+                if best is None or cost < best[0] * (1 - 1e-12):
+                    best = cost, at
+        if best is None:
+            left.append(list(full))
+            best = 0, len(left) - 1
+        places.append((best[1], full[0] - left[best[1]][0]))
+        left[best[1]] = [a - b for a, b in zip(left[best[1]], need, strict=True)]
+    return places, len(left)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_choices_equal_a_plain_best_fit(rule):
+    """Under three binding capacities; sequences of equal cost may change places."""
+    random = np.random.default_rng(8)
+    lengths = np.sort(random.integers(1, 400, 120))[::-1]
+    capacity = packing.Capacity(1000, 6, 300_000)
+    sequence, offset = packing.best_fit(lengths, capacity, rule)
+    places, count = plain_fit(lengths.tolist(), capacity, rule, packing.WEIGHTS)
+    loads = lambda names: sorted(sorted(int(n) for n, s in zip(lengths, names, strict=True) if s == own) for own in set(names))
+    assert loads([p for p, _ in places]) == loads(sequence.tolist())
+    assert len(set(sequence.tolist())) == count

@@ -25,7 +25,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,15 +126,18 @@ def pack(cut: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", gr
     dealt = part.withColumn("group", F.expr(f"cast(pmod(xxhash64(monotonically_increasing_id()), {groups}) as int)"))
     ship(cut.sparkSession)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
-        sequence, offset = best_fit(rows["length"].to_numpy(), capacity, rule)
-        named = rows.assign(sequence_id=rows["group"].astype("int64") * (1 << 32) + sequence, offset=offset)
-        return named.drop(columns="group")
+    # Arrow and not pandas, where a null among the ids would turn them all into doubles.
+    def run(rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *((n, "ascending") for n in ("doc_id", "piece", "ids_crc32"))]
+        rows = rows.sort_by(order)
+        sequence, offset = best_fit(rows.column("length").to_numpy(), capacity, rule)
+        names = rows.column("group").to_numpy().astype(np.int64) * (1 << 32) + sequence
+        packed = rows.drop_columns("group")
+        return packed.append_column("sequence_id", pa.array(names)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     alone = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return dealt.groupBy("group").applyInPandas(run, schema).union(alone)
+    return dealt.groupBy("group").applyInArrow(run, schema).union(alone)
 
 
 def packed(docs: DataFrame, path: str, capacity: Capacity = Capacity(), rule: str = "norm", group: int = GROUP) -> DataFrame:
