@@ -55,3 +55,10 @@ def test_masks_hold_what_the_counts_say(frame):
         bits = (model.masks[number // L.PLANE] >> np.int64(number % L.PLANE)) & 1
         assert np.array_equal(bits == 1, (share[number] >= L.LEAST_SHARE) & (share[number] >= L.RELATIVE_SHARE * best))
     assert model.predict(rows[3][1])[0] == langs[3]
+
+
+def test_numbers_that_patterns_take_for_letters_are_none(spark, frame):
+    rows = [(1, "\u00bd \u00b2"), (2, "\u2460"), (3, "\u2167"), (4, "12 34 _ !"), (5, None), (6, "the \u00bd"), (8, "the words"), (9, "the words")]
+    found = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(frame(rows, ["en"] * len(rows))).collect()}
+    assert all(found[i] == ("und", 0.0) for i in (1, 2, 3, 4, 5))
+    assert found[6][0] == found[8][0] == "en"

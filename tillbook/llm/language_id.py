@@ -47,9 +47,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def cells_of(text: str | None) -> tuple[np.ndarray, ...] | None:
     """Cells of the n-grams of the text's words, one array per hash; None without a letter."""
-    words = WORD.findall((text or "").lower())
-    if not words:
+    # Numbers such as a half or a Roman eight are parts of words for a pattern, but no letters.
+    if not any(map(str.isalpha, text or "")):
         return None
+    words = WORD.findall(text.lower())
     codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     inner = codes != 32
     found = []
