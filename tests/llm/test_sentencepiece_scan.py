@@ -29,7 +29,7 @@ def test_any_cut_gives_the_library_s_ids(text, size):
     path = S.states_between([c.matrix() for c in chunks], S.START, S.STOP)
     ids = np.concatenate([c.backtrace(a, b) for c, a, b in zip(chunks, path, path[1:])])
     assert ids.tolist() == model.lib.encode(text)
-    assert model.decode(ids) == whole
+    assert model.spell(ids) == whole.encode()
 
 
 def test_product_is_associative():
@@ -72,3 +72,26 @@ def test_query(spark, sf_dir):
     for i, t in rows:
         ids = library.encode(t or "")
         assert (found[i].n_tokens, found[i].id_sum) == (len(ids), sum(ids)) and found[i].decoded
+
+
+def test_decode_gives_the_texts_of_the_library(frame):
+    """Chunks of a few characters, so that one character's bytes lie in two of them."""
+    texts = ["plain words here", "  two  spaces ", "日本語 \U0001F44D \u00e9 x" * 9, "a" * 300, "", None, "\n tab\t", "\U00010348" * 20, "one"]
+    docs = frame(list(enumerate(texts)))
+    lib = S.pieces(PATH).lib
+    for chunk in (7, S.CHUNK):
+        found = {r.doc_id: r.text for r in S.decode(S.encode(docs, PATH, chunk)).collect()}
+        assert found == {i: lib.decode(lib.encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_words_in_one_call_are_those_of_single_calls():
+    model = S.pieces(PATH)
+    words = ["alpha", "beta", "\u00bd", "\u65e5\u672c", "x" * 50, "\U0001F44D", "..", "a-b"]
+    assert model.encoded(words) == [np.array(model.lib.encode(w), "<i4").tobytes() for w in words]
+
+
+def test_a_long_normalised_text_of_a_short_one_is_one_chunk(spark, frame, monkeypatch):
+    """Texts are parted by their own length, so what the normaliser adds makes no second chunk."""
+    found = S.encode(frame([(1, "a b " * 4), (2, "a b " * 5), (3, "abcdefg" * 40)]), PATH, 17).collect()
+    assert {(r.doc_id, r.chunks) for r in found} == {(1, 1), (2, 2), (3, 17)}
+    assert len({r.row for r in found}) == 3

@@ -61,6 +61,10 @@ class Pieces:
         self.spelled = [self.text.get(i, "").encode("utf-8") for i in numbers]
         for value, i in self.byte.items():
             self.spelled[i] = bytes([value])
+        self.opens = np.array([self.text.get(i, "").startswith(SPACE) for i in numbers])
+        self.lengths = np.array([len(s) for s in self.spelled])
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.longest = max(map(len, self.id))
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece reaches over the start of a word")
@@ -98,14 +102,30 @@ class Pieces:
         missing = list(set(words).difference(self.words))
         if len(self.words) + len(missing) > MEMORY_WORDS:
             self.words, missing = {}, list(set(words))
-        # The library puts the one space in front that the key leaves out.
-        found = self.lib.encode([w.replace(SPACE, " ") for w in missing])
-        self.words.update(zip(missing, [np.array(ids, "<i4").tobytes() for ids in found], strict=True))
+        self.words.update(zip(missing, self.encoded(missing), strict=True))
         return b"".join(map(self.words.__getitem__, words))
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The normalised text of ids."""
-        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of words; the library puts the one space in front that a word leaves out.
+
+        They go to the library in one text, cut again where a piece begins with a
+        space: no piece reaches over the start of a word, and each has one there.
+        """
+        if not words:
+            return []
+        if "" not in words and not any(SPACE in w for w in words):
+            ids = np.array(self.lib.encode(" ".join(words)), "<i4")
+            starts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            if len(starts) == len(words) + 1:
+                data = ids.tobytes()
+                return [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+        return [np.array(ids, "<i4").tobytes() for ids in self.lib.encode([w.replace(SPACE, " ") for w in words])]
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, marks of spaces as they are."""
+        held = self.lengths[ids]
+        within = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        return self.bytes[np.repeat(self.places[ids], held) + within].tobytes()
 
 
 @cache
@@ -355,7 +375,7 @@ def _backtraced(chunks: DataFrame, path: str, keep_ids: bool) -> DataFrame:
             out["n"].append(len(ids))
             out["s"].append(int(wide.sum()))
             out["w"].append(int(wide @ np.arange(1, len(ids) + 1)))
-            out["decoded"].append(model.decode(ids) == text[low + e0 : high + l0])
+            out["decoded"].append(model.spell(ids) == text[low + e0 : high + l0].encode("utf-8", "surrogatepass"))
             if keep_ids:
                 out["ids"].append(ids.tobytes())
         return {**{n: columns[n] for n in ("row", "doc_id", "chunk", "chunks")}, **{n: out[n] for n in ("n", "s", "w", "decoded", "ids")}}
@@ -368,14 +388,16 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: bool = True
 
     Columns: row, doc_id, chunk, chunks, n (number of ids), s (their sum), w
     (their sum times their places from 1), decoded (whether the ids give the
-    text back) and ids, as little-endian 32-bit numbers, unless left out.
+    text back) and, unless left out, ids, as little-endian 32-bit numbers, with
+    the path of the model that spells them.
     """
     ship(docs.sparkSession)
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    # One more character than the text: the space put in front. A normaliser that lengthens texts only makes more chunks.
-    small, giant = (cut(numbered.where(f"char_length(text) {sign} {chunk}"), path, chunk) for sign in ("<", ">="))
+    # A short text is one chunk whatever the normaliser makes of it. Rows of either kind have numbers of their own.
+    small = cut(numbered.where(f"char_length(text) < {chunk}"), path, 1 << 40)
+    giant = cut(numbered.where(f"char_length(text) >= {chunk}").withColumn("row", -1 - F.col("row")), path, chunk)
     giant = written(giant.repartition("row", "chunk"), "chunks")
     inner = written(_matrices(giant.where("chunks > 1"), path), "matrices")
     ends = written(_boundaries(inner), "boundaries")
@@ -383,7 +405,30 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: bool = True
     alone = small.unionByName(giant.where("chunks = 1"))
     for name, value in (("e0", START[0]), ("e1", START[1]), ("l0", STOP[0]), ("l1", STOP[1])):
         alone = alone.withColumn(name, F.lit(value).cast("long"))
-    return _backtraced(alone, path, keep_ids).unionByName(_backtraced(known.select(*alone.columns), path, keep_ids))
+    found = _backtraced(alone, path, keep_ids).unionByName(_backtraced(known.select(*alone.columns), path, keep_ids))
+    return found.withColumn("path", F.lit(path)) if keep_ids else found
+
+
+def decode(encoded: DataFrame) -> DataFrame:
+    """Texts of encoded documents (columns of ``encode`` with ids): row, doc_id and text as the library decodes them.
+
+    Chunks are spelled by themselves, so a character's bytes may lie in two of
+    them; a document's bytes meet in order and are read as one text. Bytes that
+    are no UTF-8 become replacement characters. A document without ids is empty.
+    """
+    path = F.col("path")
+
+    def run(columns: dict[str, list]) -> dict[str, list]:
+        spelled = [pieces(p).spell(np.frombuffer(ids, "<i4")) for p, ids in zip(columns["path"], columns["ids"], strict=True)]
+        return {**{n: columns[n] for n in ("row", "doc_id", "chunk")}, "spelled": spelled}
+
+    parts = map_lists(encoded.select("row", "doc_id", "chunk", path, "ids"), run, "row long, doc_id long, chunk long, spelled binary")
+    whole = parts.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "spelled"))).alias("parts")
+    )
+    text = F.decode(F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["spelled"])), "utf-8")
+    # The mark in front stands for no space of the text.
+    return whole.select("row", "doc_id", F.regexp_replace(F.regexp_replace(text, f"^{SPACE}", ""), SPACE, " ").alias("text"))
 
 
 def summary(encoded: DataFrame) -> DataFrame:
