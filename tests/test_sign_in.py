@@ -47,3 +47,14 @@ def test_a_stored_lock_turns_the_next_batch_away(spark):
     later = spark.createDataFrame([(9, START + dt.timedelta(days=1), 0, "dee", "Right-1", "password")], schema)
     outcomes, _ = sign_in.validated_logins(later, accounts(spark), 2, 60, accounts=state)
     assert outcomes.first().outcome == "locked_out"
+
+
+def test_attempts_at_one_time_go_in_the_order_of_their_numbers(spark):
+    """The third failure locks; the right secret at the same time comes too late and leaves no date."""
+    schema = "event_id bigint, ts timestamp_ntz, ApplicationId int, Username string, Secret string, counter string"
+    tries = [(i, START, 0, "dee", "no", "password") for i in range(1, 5)] + [(5, START, 0, "dee", "Right-1", "password")]
+    users = accounts(spark)
+    outcomes, state = sign_in.validated_logins(spark.createDataFrame(tries[::-1], schema), users, max_failures=2, window_minutes=60)
+    assert [r.outcome for r in outcomes.orderBy("event_id").collect()] == ["wrong_secret"] * 3 + ["locked_out"] * 2
+    assert state.columns == ["user_id", "is_locked_out", "last_lockout", "password_count", "password_window_start", "answer_count", "answer_window_start"]
+    assert {r.UserId: r.LastLoginDate for r in sign_in.after_logins(users, outcomes).collect()}[4] is None

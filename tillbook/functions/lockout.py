@@ -19,7 +19,7 @@ COUNTERS = ("password", "passwordAnswer")
 
 STATE = (
     "struct<locked:boolean,locked_at:timestamp_ntz,password_count:int,password_start:timestamp_ntz,"
-    "answer_count:int,answer_start:timestamp_ntz>"
+    "answer_count:int,answer_start:timestamp_ntz,locked_by:bigint>"
 )
 WINDOW = "struct<locks:boolean,count:int,start:timestamp_ntz>"
 
@@ -29,7 +29,7 @@ def clean_state() -> Column:
     return F.struct(
         F.lit(False).alias("locked"), none.alias("locked_at"),
         F.lit(0).alias("password_count"), none.alias("password_start"),
-        F.lit(0).alias("answer_count"), none.alias("answer_start"),
+        F.lit(0).alias("answer_count"), none.alias("answer_start"), F.lit(None).alias("locked_by"),
     ).cast(STATE)
 
 
@@ -57,7 +57,7 @@ def _failure(count: Column, start: Column, ts: Column, limit: int, window: Colum
 
 
 def fold(state: Column, events: Column, limit: int, window: Column) -> Column:
-    """State after events (ts, id, ok, is_password), already in order."""
+    """State after events (ts, event_id, ok, is_password), already in order; ``locked_by`` is the event that locked."""
 
     def step(s: Column, e: Column) -> Column:
         mine = e["is_password"]
@@ -73,6 +73,7 @@ def fold(state: Column, events: Column, limit: int, window: Column) -> Column:
             F.when(mine, start).otherwise(s["password_start"]).alias("password_start"),
             F.when(mine, s["answer_count"]).otherwise(count).alias("answer_count"),
             F.when(mine, s["answer_start"]).otherwise(start).alias("answer_start"),
+            F.when(locks, e["event_id"]).alias("locked_by"),
         ).cast(STATE)
         return F.when(s["locked"], s).when(e["ok"], clean_state()).otherwise(failed)
 

@@ -82,12 +82,12 @@ def _after_block(state: Column, block: Column, limit: int, window: Column) -> Co
     open_end = F.struct(
         F.lit(False).alias("locked"), F.lit(None).cast("timestamp_ntz").alias("locked_at"),
         password["count"].alias("password_count"), password["start"].alias("password_start"),
-        answer["count"].alias("answer_count"), answer["start"].alias("answer_start"),
+        answer["count"].alias("answer_count"), answer["start"].alias("answer_start"), F.lit(None).alias("locked_by"),
     ).cast(rules.STATE)
     locked = F.struct(
         F.lit(True).alias("locked"), F.lit(None).cast("timestamp_ntz").alias("locked_at"),
         F.lit(0).alias("password_count"), F.lit(None).cast("timestamp_ntz").alias("password_start"),
-        F.lit(0).alias("answer_count"), F.lit(None).cast("timestamp_ntz").alias("answer_start"),
+        F.lit(0).alias("answer_count"), F.lit(None).cast("timestamp_ntz").alias("answer_start"), F.lit(None).alias("locked_by"),
     ).cast(rules.STATE)
     return F.when(locks, locked).otherwise(F.coalesce(block["tail"], open_end))
 
@@ -127,6 +127,7 @@ def lockout_state(
     window_minutes: int = 10,
     blocks: int | None = None,
     accounts: DataFrame | None = None,
+    with_event: bool = False,
 ) -> DataFrame:
     """Final lockout state of every account with an attempt or a stored state.
 
@@ -139,13 +140,15 @@ def lockout_state(
 
     ``accounts`` is an earlier result of this function, or of unlocking it, and
     ``attempts`` then those made since; the history is not folded again.
+    ``with_event`` adds ``locked_by``, the event_id of the failure that locked; a
+    lock from ``accounts`` has none.
     """
     window = F.make_dt_interval(mins=F.lit(window_minutes))
     stored = None
     if accounts is not None:
         # A locked account ignores every attempt.
         attempts = attempts.join(accounts.where("is_locked_out").select("user_id"), "user_id", "left_anti")
-        stored = accounts.select("user_id", F.struct(*[F.col(c).alias(f) for f, c in STORED.items()]).cast(rules.STATE).alias("_stored"))
+        stored = accounts.select("user_id", F.struct(*[F.col(c).alias(f) for f, c in STORED.items()], F.lit(None).alias("locked_by")).cast(rules.STATE).alias("_stored"))
     runs = _runs(attempts, blocks)
     # Fewer rows than blocks, written first: joins with it are planned on its size.
     several = written(
@@ -158,8 +161,11 @@ def lockout_state(
     state = rules.fold(F.col("carried"), F.col("events"), max_failures, window)
     columns = ["user_id", "events", "carried"]
     folded = whole.select(*columns).unionByName(last.select(*columns)).select("user_id", state.alias("s"))
-    found = folded.select("user_id", *[F.col(f"s.{f}").alias(c) for f, c in STORED.items()])
+    event = [F.col("s.locked_by")] if with_event else []
+    found = folded.select("user_id", *[F.col(f"s.{f}").alias(c) for f, c in STORED.items()], *event)
     if accounts is None:
         return found
     unchanged = accounts.join(runs.select("user_id").distinct(), "user_id", "left_anti")
+    if with_event:
+        unchanged = unchanged.withColumn("locked_by", F.lit(None).cast("long"))
     return found.unionByName(unchanged.select(*found.columns))

@@ -54,13 +54,16 @@ def validated_logins(
     checked = written(checked_secrets(attempts, users), "checked")
     counted = checked.where(F.col("outcome").isin("valid", "wrong_secret"))
     tried = counted.select(F.col("UserId").alias("user_id"), "event_id", "ts", (F.col("outcome") == "valid").alias("ok"), "counter")
-    state = written(lockout_state(tried, max_failures, window_minutes, accounts=accounts), "states")
-    locked = state.where("is_locked_out").select(F.col("user_id").alias("UserId"), "last_lockout")
-    late = F.col("outcome").isin("valid", "wrong_secret") & (F.col("ts") > F.col("last_lockout"))
+    state = written(lockout_state(tried, max_failures, window_minutes, accounts=accounts, with_event=True), "states")
+    locked = state.where("is_locked_out").select(F.col("user_id").alias("UserId"), "last_lockout", "locked_by")
+    # Attempts go in the order of time, then event_id, as in the fold; a lock from before the batch turns all away.
+    same_time = (F.col("ts") == F.col("last_lockout")) & (F.col("event_id") > F.col("locked_by"))
+    behind = F.col("locked_by").isNull() | (F.col("ts") > F.col("last_lockout")) | same_time
+    late = F.col("outcome").isin("valid", "wrong_secret") & F.col("last_lockout").isNotNull() & behind
     outcomes = checked.join(locked, "UserId", "left").withColumn(
         "outcome", F.when(F.coalesce(late, F.lit(False)), "locked_out").otherwise(F.col("outcome"))
     )
-    return outcomes.drop("last_lockout"), state
+    return outcomes.drop("last_lockout", "locked_by"), state.drop("locked_by")
 
 
 def after_logins(users: DataFrame, outcomes: DataFrame) -> DataFrame:
