@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillbook.fixtures import Fixtures, login_email
 from tillbook.functions.credentials import salted_digest
 from tillbook.operators import activity, directory, lockout, lookup, merges, ordering, sign_in
+from tillbook.operators import credential_changes as changing
 from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, VIEWS, chunked_sql, with_views
 from tillbook.session import written
 
@@ -327,6 +328,37 @@ def secret_update(spark, sf_dir):
     return updated.groupBy("question_id", "changed").agg(F.count("*").alias("logins"))
 
 
+def _changes(fx: Fixtures):
+    """Users with a stored secret, and a request from every event: mostly new secrets, some refused, some for strangers."""
+    salt = F.base64(F.unhex(F.md5(F.col("Username").cast("binary"))))
+    users = fx.users.select(
+        "UserId", "LoweredUsername", "ApplicationId", "Email", "LoweredEmail", salt.alias("PasswordSalt"),
+        salted_digest(F.lit("Secret-0"), salt).alias("Password"), (F.col("UserId") % 17 != 0).alias("IsApproved"),
+        F.lit(None).cast("string").alias("PasswordQuestion"), F.lit(None).cast("string").alias("PasswordAnswer"),
+    )
+    number = F.col("event_id")
+    secret = F.concat(F.lit("Secret-"), F.floor(number / 7) % 3)
+    requests = fx.events.select(
+        number.alias("request_id"), "ts", (F.col("user_id") % 2).alias("ApplicationId"),
+        F.concat(F.when(number % 13 == 0, "GUEST_").otherwise("USER_"), "user_id").alias("Username"),
+        F.when(number % 5 < 3, "password").when(number % 5 == 3, "question").otherwise("email").alias("kind"),
+        F.concat(F.lit("Secret-"), F.floor(number / 5) % 3).alias("OldSecret"),
+        F.when(number % 11 == 0, "short").when(number % 12 == 0, "Nosymbols").otherwise(secret).alias("NewSecret"),
+        F.concat(F.lit("Q"), number).alias("Question"), F.concat(F.lit(" Blue"), number % 4, F.lit(" ")).alias("Answer"),
+        F.concat(F.lit("Mail."), number, F.lit("@Example.com")).alias("Email"),
+    )
+    return users, changing.credential_changes(requests, users)
+
+
+def credential_changes(spark, sf_dir):
+    return _changes(Fixtures(spark, sf_dir))[1].select("request_id", "UserId", "kind", "status")
+
+
+def users_after_credential_changes(spark, sf_dir):
+    users, changed = _changes(Fixtures(spark, sf_dir))
+    return changing.after_changes(users, changed).select("UserId", "Password", "PasswordQuestion", "PasswordAnswer", "Email", "LoweredEmail")
+
+
 def unlock_accounts(spark, sf_dir):
     """State after unlocking the accounts of the signed-up users."""
     fx = Fixtures(spark, sf_dir)
@@ -563,7 +595,7 @@ QUERIES = {
         profile_exists, all_profiles, profiles_inactive, profiles_by_name, inactive_profiles_by_name,
         inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued, validated_logins,
         grant_result, memberships_after_grant, grant_whole_requests, revoke_result, memberships_after_revoke,
-        merge_update, secret_update, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
+        merge_update, secret_update, credential_changes, users_after_credential_changes, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
         memberships_after_role_delete, delete_profiles, delete_inactive_profiles, create_users_status,
         users_after_creation, create_users_unique_email, create_roles_status, roles_after_creation, deleted_counts,
         missing_applications, upsert_profiles, users_after_upsert,
@@ -579,6 +611,38 @@ PROFILE_LIST_SQL = """
     SELECT u."UserId", u."Username", u."LoweredUsername", u."ApplicationId", u."IsAnonymous", u."LastActivityDate",
            p."LastUpdatedDate", CAST(length("PropertyNames") + length("PropertyValuesString") AS INTEGER) AS size
     FROM users u JOIN profiles p ON p."UserId" = u."UserId" """
+
+
+def _digest_sql(secret: str) -> str:
+    """Salted digest of an ASCII text under the salt of ``name``."""
+    wide = f"unhex(regexp_replace(hex({secret}), '(..)', '\\100', 'g'))"
+    return f"to_base64(unhex(sha256(unhex(md5(name)) || {wide})))"
+
+
+CHANGE_CTES = {
+    "asked": f"""
+        SELECT event_id AS request_id, ts, user_id, 'User_' || user_id AS name, event_id % 13 = 0 AS stranger, user_id % 17 = 0 AS barred,
+               CASE WHEN event_id % 5 < 3 THEN 'password' WHEN event_id % 5 = 3 THEN 'question' ELSE 'email' END AS kind,
+               {_digest_sql("'Secret-' || (event_id // 5 % 3)")} AS old,
+               CASE WHEN event_id % 11 = 0 THEN 'too short' WHEN event_id % 12 = 0 THEN 'too few symbols' END AS refused,
+               {_digest_sql("'Secret-' || (event_id // 7 % 3)")} AS new,
+               {_digest_sql("'blue' || (event_id % 4)")} AS answer
+        FROM events""",
+    "checked": """
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) AS n FROM asked
+        WHERE NOT stranger AND NOT barred AND kind <> 'email'""",
+    "walk": f"""
+        SELECT user_id, CAST(0 AS BIGINT) AS n, {_digest_sql("'Secret-0'")} AS state, false AS hit, CAST(NULL AS BIGINT) AS request_id
+        FROM (SELECT DISTINCT user_id, name FROM asked)
+        UNION ALL
+        SELECT w.user_id, c.n, CASE WHEN c.old = w.state AND c.kind = 'password' AND c.refused IS NULL THEN c.new ELSE w.state END,
+               c.old = w.state, c.request_id
+        FROM walk w JOIN checked c ON c.user_id = w.user_id AND c.n = w.n + 1""",
+    "judged": """
+        SELECT a.*, CASE WHEN stranger THEN 'unknown_user' WHEN barred THEN 'not_approved' WHEN kind = 'email' THEN 'changed'
+                         WHEN NOT w.hit THEN 'wrong_secret' WHEN kind = 'password' AND refused IS NOT NULL THEN refused ELSE 'changed' END AS status
+        FROM asked a LEFT JOIN walk w ON w.request_id = a.request_id""",
+}
 LOCKOUT_CTES = {
     "numbered": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM attempts",
     "walk": f"""
@@ -739,6 +803,18 @@ ORACLES = {
         GROUP BY w""",
     "lockout_state": LOCKOUT_SQL,
     "lockout_continued": LOCKOUT_SQL,
+    "credential_changes": with_views("""
+        SELECT request_id, CASE WHEN NOT stranger THEN user_id END AS "UserId", kind, status FROM judged""", recursive=True, extra=CHANGE_CTES),
+    "users_after_credential_changes": with_views("""
+        SELECT u."UserId", s.state AS "Password", q.question AS "PasswordQuestion", q.answer AS "PasswordAnswer",
+               coalesce(e.email, u."Email") AS "Email", coalesce(lower(e.email), u."LoweredEmail") AS "LoweredEmail"
+        FROM users u
+        JOIN (SELECT user_id, arg_max(state, n) AS state FROM walk GROUP BY 1) s ON s.user_id = u."UserId"
+        LEFT JOIN (SELECT user_id, 'Q' || request_id AS question, answer FROM judged WHERE kind = 'question' AND status = 'changed'
+                   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) = 1) q ON q.user_id = u."UserId"
+        LEFT JOIN (SELECT user_id, 'Mail.' || request_id || '@Example.com' AS email FROM judged WHERE kind = 'email' AND status = 'changed'
+                   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) = 1) e ON e.user_id = u."UserId"
+        """, "users", recursive=True, extra=CHANGE_CTES),
     "validated_logins": with_views("""
         SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN a.user_id END AS "UserId",
                CASE WHEN event_id % 13 = 0 THEN 'unknown_user'
