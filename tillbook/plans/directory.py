@@ -9,7 +9,7 @@ from tillbook.functions.credentials import salted_digest
 from tillbook.operators import activity, directory, lockout, lookup, merges, ordering, sign_in
 from tillbook.operators import credential_changes as changing
 from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, VIEWS, chunked_sql, with_views
-from tillbook.session import written
+from tillbook.session import work_path, written
 
 AS_OF = "2024-01-31 00:00:00"
 CUTOFF = "2024-01-30 10:00:00"
@@ -115,6 +115,15 @@ def events_all_pages(spark, sf_dir):
     return ordering.all_pages(events, ["event_type"], ["ts", "event_id"], 50)
 
 
+def saved_order_page(spark, sf_dir):
+    """The fifth page of each type from an order saved of the earlier events, to which the later ones were appended."""
+    events = Fixtures(spark, sf_dir).events.select("event_type", "ts", "event_id")
+    early = F.col("ts") < moment(CUTOFF)
+    order = ordering.SavedOrder.save(events.where(early), work_path(spark, "event-order"), ["event_type"], ["ts", "event_id"])
+    order.append(events.where(~early))
+    return order.page(4, 50)
+
+
 def application_roles(spark, sf_dir):
     rows = directory.application_roles(Fixtures(spark, sf_dir).roles, SMALL_CHUNK)
     return rows.select("ApplicationId", "chunk", "total", F.array_join("roles", ",").alias("roles"))
@@ -590,7 +599,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         registered_users, users_online, audience_users, tenant_users, user_records, user_records_by_name, user_records_by_id,
-        user_names_by_email, account_status, users_page, users_single_page, users_all_pages, events_all_pages,
+        user_names_by_email, account_status, users_page, users_single_page, users_all_pages, events_all_pages, saved_order_page,
         application_roles, roles_per_user, users_per_role, role_members_like, membership_check, role_exists,
         profile_exists, all_profiles, profiles_inactive, profiles_by_name, inactive_profiles_by_name,
         inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued, validated_logins,
@@ -741,6 +750,11 @@ ORACLES = {
         SELECT *, (row_no - 1) // 50 AS page FROM (
             SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS row_no,
                    count(*) OVER (PARTITION BY event_type) AS total FROM events)""",
+    "saved_order_page": """
+        SELECT * FROM (
+            SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS row_no,
+                   count(*) OVER (PARTITION BY event_type) AS total FROM events)
+        WHERE row_no BETWEEN 201 AND 250""",
     "application_roles": with_views(chunked_sql(
         "SELECT * FROM roles", ["ApplicationId"], ["RoleName"], SMALL_CHUNK,
         """string_agg("RoleName", ',' ORDER BY "RoleName") AS roles"""), "roles"),
