@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
 # Words remembered by one worker, about 200 bytes each; a full memory starts anew.
 MEMORY_WORDS = 1_000_000
 # White space beyond the six ASCII characters, and the marks of special tokens.
@@ -35,6 +35,14 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers; for the few of a word an array is quicker than numpy."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class _Memory(dict):
     """Word to its encoding; missing words are encoded one by one."""
 
@@ -54,7 +62,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         tokenizer = load(path)
-        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.whole = lambda text: packed_ids(tokenizer.encode(text, add_special_tokens=False).ids)
         self.memory = _Memory(self.whole)
 
     def ids(self, text: str) -> bytes:
