@@ -10,7 +10,7 @@ from tillbook.functions import lockout as rules
 from tillbook.operators import lockout
 from tillbook.streaming import lockout as stream_lockout
 from tillbook.streaming import sinks
-from tillbook.session import work_path
+from tillbook.session import work_path, written
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "user_id bigint, event_id bigint, ts timestamp_ntz, ok boolean, counter string"
@@ -167,3 +167,76 @@ def test_a_stored_state_and_later_attempts_equal_the_whole_history(spark, seed):
     first = lockout.lockout_state(frame.where(F.col("ts") < cut), 3, MINUTES, blocks=6)
     both = lockout.lockout_state(frame.where(F.col("ts") >= cut), 3, MINUTES, blocks=6, accounts=first)
     assert results(both) == results(lockout.lockout_state(frame, 3, MINUTES))
+
+
+def walk_with_unlocks(rows, limit, minutes, stored=()):
+    """One event at a time, from stored states."""
+    states = {user: stream_lockout.FRESH if s is None else s for user, s in dict(stored).items()}
+    for user, event, ts, ok, counter in sorted(rows, key=lambda r: (r[2], r[1])):
+        us = (ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+        if counter == "unlock":
+            if user in states:
+                states[user] = stream_lockout.unlocked(states[user])
+        else:
+            before = states.get(user, stream_lockout.FRESH)
+            states[user] = stream_lockout.apply_attempt(before, us, ok, counter == "password", limit, minutes * 60_000_000)
+    moment = lambda us: None if us is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+    return {u: (s[0], moment(s[1]), s[2], moment(s[3]), s[4], moment(s[5])) for u, s in states.items()}
+
+
+def with_unlocks(seed, users, n, span, success):
+    """Attempts and unlocks, several at one time, of accounts without attempts too."""
+    rng = random.Random(seed)
+    rows = random_rows(seed, users, n, span, success)
+    return rows + [
+        (rng.randrange(users + 3), n + i, START + dt.timedelta(minutes=rng.randrange(span)), None, "unlock") for i in range(n // 10)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unlocks_take_effect_in_order(spark, seed):
+    rng = random.Random(seed)
+    limit, span = rng.choice([1, 2, 4]), rng.choice([40, 400, 4000])
+    rows = with_unlocks(seed, 8, 300, span, rng.choice([0.0, 0.1]))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    tried, asked = frame.where("counter <> 'unlock'"), frame.where("counter = 'unlock'")
+    got = lockout.lockout_with_unlocks(tried, asked, limit, 30, blocks=4)
+    assert results(got) == walk_with_unlocks(rows, limit, 30)
+    # The same from a stored first half.
+    cut = START + dt.timedelta(minutes=span // 2)
+    stored = lockout.lockout_with_unlocks(tried.where(F.col("ts") < cut), asked.where(F.col("ts") < cut), limit, 30)
+    got = lockout.lockout_with_unlocks(tried.where(F.col("ts") >= cut), asked.where(F.col("ts") >= cut), limit, 30, accounts=stored)
+    assert results(got) == walk_with_unlocks(rows, limit, 30)
+
+
+def test_unlocks_of_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert lockout.lockout_with_unlocks(none, none).count() == 0
+    asked = spark.createDataFrame([(1, 1, START, None, "unlock"), (None, 2, START, None, "unlock")], SCHEMA)
+    assert lockout.lockout_with_unlocks(none, asked).count() == 0
+
+
+def test_a_stream_from_stored_accounts_with_unlocks_equals_the_batch(spark):
+    rows = with_unlocks(5, 12, 600, 6000, 0.05)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    cut = START + dt.timedelta(minutes=3000)
+    early = frame.where(F.col("ts") < cut)
+    stored = lockout.lockout_with_unlocks(early.where("counter <> 'unlock'"), early.where("counter = 'unlock'"), 3, 60)
+    # An account that the stream never names stays as it was stored.
+    quiet = spark.createDataFrame([(77, 0, START + dt.timedelta(minutes=i), False, "password") for i in range(5)], SCHEMA)
+    stored = written(stored.unionByName(lockout.lockout_state(quiet, 3, 60)), "accounts")
+    path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")
+    later = [r for r in rows if r[2] >= cut]
+    random.Random(3).shuffle(later)
+    clock = [(-1, -1, START + dt.timedelta(days=30), True, "password")]
+    # The second run restarts from the stream's own state, the stored accounts are taken once.
+    for part in (later[:150], later[150:] + clock):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(SCHEMA).parquet(path)
+        updates = stream_lockout.lockout_updates(stream, 3, 60, "10 days", accounts=stored, unlocks=True)
+        sinks.write_appends(updates, out, state).awaitTermination()
+    got = results(stream_lockout.current_state(spark.read.parquet(out), stored).where("user_id >= 0"))
+    want = walk_with_unlocks(rows, 3, 60)
+    want[77] = (True, START + dt.timedelta(minutes=3), 4, START, 0, None)
+    assert got == want
+    assert any(s[0] for s in want.values())

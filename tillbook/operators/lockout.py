@@ -169,3 +169,46 @@ def lockout_state(
     if with_event:
         unchanged = unchanged.withColumn("locked_by", F.lit(None).cast("long"))
     return found.unionByName(unchanged.select(*found.columns))
+
+
+def lockout_with_unlocks(
+    attempts: DataFrame,
+    unlocks: DataFrame,
+    max_failures: int = 50,
+    window_minutes: int = 10,
+    blocks: int | None = None,
+    accounts: DataFrame | None = None,
+) -> DataFrame:
+    """``lockout_state`` where ``unlocks`` (user_id, ts, event_id) take effect in the order of the attempts.
+
+    An unlock clears counters and windows whatever came before, so only the
+    attempts behind the last unlock that still has an attempt behind it are
+    folded. An unlock behind all attempts clears the folded state and leaves
+    the time of the lock. An account without attempt or stored state is not made.
+    """
+    at = F.struct("ts", "event_id")
+    asked = unlocks.where(F.col("user_id").isNotNull()).select("user_id", at.alias("at"))
+    # Maxima combine before the shuffle; one row per account with an unlock is left.
+    last = attempts.join(asked.select("user_id").distinct(), "user_id", "left_semi").groupBy("user_id").agg(F.max(at).alias("last_attempt"))
+    resets = written(
+        asked.join(last, "user_id", "left").groupBy("user_id").agg(
+            F.max(F.when(F.col("at") < F.col("last_attempt"), F.col("at"))).alias("start"),
+            F.bool_or(F.coalesce(F.col("at") >= F.col("last_attempt"), F.lit(True))).alias("cleared"),
+        ),
+        "unlocked-accounts",
+    )
+    starts = resets.where("start IS NOT NULL").select("user_id", "start")
+    behind = attempts.join(starts, "user_id", "left").where(F.col("start").isNull() | (at > F.col("start"))).drop("start")
+    if accounts is not None:
+        accounts = accounts.join(starts, "user_id", "left_anti")
+    state = lockout_state(behind, max_failures, window_minutes, blocks, accounts)
+    cleared = F.coalesce("cleared", F.lit(False))
+    clean = {
+        "is_locked_out": F.lit(False), "password_count": F.lit(0), "answer_count": F.lit(0),
+        "password_window_start": F.lit(None), "answer_window_start": F.lit(None),
+    }
+    return (
+        state.join(resets.select("user_id", "cleared"), "user_id", "left")
+        .withColumns({c: F.when(cleared, v).otherwise(F.col(c)) for c, v in clean.items()})
+        .drop("cleared")
+    )

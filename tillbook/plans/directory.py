@@ -15,6 +15,8 @@ AS_OF = "2024-01-31 00:00:00"
 CUTOFF = "2024-01-30 10:00:00"
 ONLINE_MINUTES = 720
 MAX_FAILURES, WINDOW_MINUTES = 3, 72 * 60
+# Where accounts are unlocked again and again, a second failure locks.
+UNLOCK_FAILURES = 1
 
 
 def moment(text: str):
@@ -226,6 +228,16 @@ def lockout_continued(spark, sf_dir):
     return lockout.lockout_state(attempts.where(F.col("ts") >= middle), MAX_FAILURES, WINDOW_MINUTES, accounts=first)
 
 
+def unlocks(fx: Fixtures):
+    """An administrator unlocks an account at each of its purchases."""
+    return fx.events.where(F.col("event_type") == "purchase").select("user_id", "ts", "event_id")
+
+
+def lockout_unlocked(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return lockout.lockout_with_unlocks(fx.attempts, unlocks(fx), UNLOCK_FAILURES, WINDOW_MINUTES)
+
+
 def validated_logins(spark, sf_dir):
     """Every attempt with a secret of its own; one user in eleven is not approved, one in thirteen attempts unknown."""
     fx = Fixtures(spark, sf_dir)
@@ -602,7 +614,7 @@ QUERIES = {
         user_names_by_email, account_status, users_page, users_single_page, users_all_pages, events_all_pages, saved_order_page,
         application_roles, roles_per_user, users_per_role, role_members_like, membership_check, role_exists,
         profile_exists, all_profiles, profiles_inactive, profiles_by_name, inactive_profiles_by_name,
-        inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued, validated_logins,
+        inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued, lockout_unlocked, validated_logins,
         grant_result, memberships_after_grant, grant_whole_requests, revoke_result, memberships_after_revoke,
         merge_update, secret_update, credential_changes, users_after_credential_changes, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
         memberships_after_role_delete, delete_profiles, delete_inactive_profiles, create_users_status,
@@ -652,36 +664,50 @@ CHANGE_CTES = {
                          WHEN NOT w.hit THEN 'wrong_secret' WHEN kind = 'password' AND refused IS NOT NULL THEN refused ELSE 'changed' END AS status
         FROM asked a LEFT JOIN walk w ON w.request_id = a.request_id""",
 }
-LOCKOUT_CTES = {
-    "numbered": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM attempts",
-    "walk": f"""
+
+
+def lockout_ctes(limit: int, acts: str) -> dict[str, str]:
+    """The rules one act at a time; an act is an attempt or an unlock."""
+    return {
+        "acts": acts,
+        "numbered": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM acts",
+        "walk": f"""
         SELECT user_id, CAST(0 AS BIGINT) AS n, false AS locked, CAST(NULL AS TIMESTAMP) AS locked_at,
                0 AS pc, CAST(NULL AS TIMESTAMP) AS ps, 0 AS ac, CAST(NULL AS TIMESTAMP) AS a_s
         FROM (SELECT DISTINCT user_id FROM attempts)
         UNION ALL
         SELECT user_id, n,
-               CASE WHEN locked THEN true WHEN ok THEN false ELSE locks END,
-               CASE WHEN locked THEN locked_at WHEN NOT ok AND locks THEN ts END,
-               CASE WHEN locked THEN pc WHEN ok THEN 0 WHEN p THEN new_count ELSE pc END,
-               CASE WHEN locked THEN ps WHEN ok THEN NULL WHEN p THEN new_start ELSE ps END,
-               CASE WHEN locked THEN ac WHEN ok THEN 0 WHEN p THEN ac ELSE new_count END,
-               CASE WHEN locked THEN a_s WHEN ok THEN NULL WHEN p THEN a_s ELSE new_start END
+               CASE WHEN u THEN false WHEN locked THEN true WHEN ok THEN false ELSE locks END,
+               CASE WHEN u OR locked THEN locked_at WHEN NOT ok AND locks THEN ts END,
+               CASE WHEN u THEN 0 WHEN locked THEN pc WHEN ok THEN 0 WHEN p THEN new_count ELSE pc END,
+               CASE WHEN u THEN NULL WHEN locked THEN ps WHEN ok THEN NULL WHEN p THEN new_start ELSE ps END,
+               CASE WHEN u THEN 0 WHEN locked THEN ac WHEN ok THEN 0 WHEN p THEN ac ELSE new_count END,
+               CASE WHEN u THEN NULL WHEN locked THEN a_s WHEN ok THEN NULL WHEN p THEN a_s ELSE new_start END
         FROM (
-            SELECT *, NOT fresh AND c >= {MAX_FAILURES} AS locks, CASE WHEN fresh THEN 1 ELSE c + 1 END AS new_count,
+            SELECT *, NOT fresh AND c >= {limit} AS locks, CASE WHEN fresh THEN 1 ELSE c + 1 END AS new_count,
                    CASE WHEN fresh THEN ts ELSE s END AS new_start
             FROM (
                 SELECT *, c = 0 OR ts > s + INTERVAL {WINDOW_MINUTES} MINUTE AS fresh
                 FROM (
                     SELECT w.user_id, e.n, w.locked, w.locked_at, w.pc, w.ps, w.ac, w.a_s, e.ts, e.ok,
-                           e.counter = 'password' AS p,
+                           e.counter = 'password' AS p, e.counter = 'unlock' AS u,
                            CASE WHEN e.counter = 'password' THEN pc ELSE ac END AS c,
                            CASE WHEN e.counter = 'password' THEN ps ELSE a_s END AS s
                     FROM walk w JOIN numbered e ON e.user_id = w.user_id AND e.n = w.n + 1)))""",
-    "lockout": """
+        "lockout": """
         SELECT user_id, locked AS is_locked_out, locked_at AS last_lockout, pc AS password_count,
                ps AS password_window_start, ac AS answer_count, a_s AS answer_window_start
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM walk) WHERE back = 1""",
-}
+    }
+
+
+LOCKOUT_CTES = lockout_ctes(MAX_FAILURES, "SELECT * FROM attempts")
+UNLOCKED_SQL = with_views(
+    "SELECT * FROM lockout", "attempts", recursive=True,
+    extra=lockout_ctes(UNLOCK_FAILURES, """
+        SELECT * FROM attempts UNION ALL
+        SELECT user_id, event_id, ts, NULL, 'unlock' FROM events WHERE event_type = 'purchase'"""),
+)
 LOCKOUT_SQL = with_views("SELECT * FROM lockout", "attempts", recursive=True, extra=LOCKOUT_CTES)
 _GRANTED = """
     SELECT g."ApplicationId", g."Username", g."RoleName", u."UserId", r."RoleId",
@@ -817,6 +843,7 @@ ORACLES = {
         GROUP BY w""",
     "lockout_state": LOCKOUT_SQL,
     "lockout_continued": LOCKOUT_SQL,
+    "lockout_unlocked": UNLOCKED_SQL,
     "credential_changes": with_views("""
         SELECT request_id, CASE WHEN NOT stranger THEN user_id END AS "UserId", kind, status FROM judged""", recursive=True, extra=CHANGE_CTES),
     "users_after_credential_changes": with_views("""

@@ -13,6 +13,7 @@ from tillbook.schemas import TABLES
 from tillbook.session import work_path, written
 from tillbook.sources import appends, database, delimited, json_out, logs, text_files, xml
 from tillbook.operators import activity as batch_activity
+from tillbook.operators import lockout as batch_lockout
 from tillbook.streaming import activity, intake, lockout, sinks
 
 
@@ -194,23 +195,46 @@ def json_sink(spark, sf_dir):
 # --- streams --------------------------------------------------------------
 
 
+def _clock(attempts):
+    """A row without account, a day behind the last attempt, that only moves the clock."""
+    return attempts.groupBy().agg(
+        F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("bigint").alias("event_id"),
+        (F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts"), F.lit(True).alias("ok"),
+        F.lit("password").alias("counter"),
+    )
+
+
 def lockout_stream(spark, sf_dir):
     """The lockout rules over a stream; a last attempt moves the clock on."""
     attempts = Fixtures(spark, sf_dir).attempts
     path, out = work_path(spark, "attempt-stream"), work_path(spark, "lockout-updates")
     attempts.write.parquet(path)
-    clock = attempts.groupBy().agg(
-        F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("bigint").alias("event_id"),
-        (F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts"), F.lit(True).alias("ok"),
-        F.lit("password").alias("counter"),
-    )
-    clock.write.mode("append").parquet(path)
+    _clock(attempts).write.mode("append").parquet(path)
     stream = spark.readStream.schema(attempts.schema).parquet(path)
     updates = lockout.lockout_updates(stream, directory.MAX_FAILURES, directory.WINDOW_MINUTES, "1 hour")
     sinks.write_appends(updates, out, work_path(spark, "lockout-checkpoint")).awaitTermination()
     return lockout.current_state(spark.read.parquet(out))
 
 
+def lockout_stream_unlocked(spark, sf_dir):
+    """Accounts stored in the middle of the month, then a stream of the later attempts and unlocks."""
+    fx, limit, minutes = Fixtures(spark, sf_dir), directory.UNLOCK_FAILURES, directory.WINDOW_MINUTES
+    middle = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    attempts, unlocks = fx.attempts, directory.unlocks(fx)
+    earlier = batch_lockout.lockout_with_unlocks(
+        attempts.where(F.col("ts") < middle), unlocks.where(F.col("ts") < middle), limit, minutes
+    )
+    stored = written(earlier, "accounts")
+    asked = unlocks.withColumns({"ok": F.lit(None).cast("boolean"), "counter": F.lit(lockout.UNLOCK)})
+    path, out = work_path(spark, "attempt-stream"), work_path(spark, "lockout-updates")
+    attempts.unionByName(asked).where(F.col("ts") >= middle).write.parquet(path)
+    _clock(attempts).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(attempts.schema).parquet(path)
+    updates = lockout.lockout_updates(stream, limit, minutes, "1 hour", accounts=stored, unlocks=True)
+    sinks.write_appends(updates, out, work_path(spark, "lockout-checkpoint")).awaitTermination()
+    return lockout.current_state(spark.read.parquet(out), stored)
+
+
 def _event_stream(spark, sf_dir):
     """The event table as a stream; a glob names a single file or a folder."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -285,7 +309,7 @@ QUERIES = {
     for f in (
         delimited_roundtrip, rebuild_report, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
         appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, json_objects,
-        json_documents, json_sink, lockout_stream, last_activity_stream, online_stream, online_exact_stream,
+        json_documents, json_sink, lockout_stream, lockout_stream_unlocked, last_activity_stream, online_stream, online_exact_stream,
         comment_intake, comment_intake_rejected,
     )
 }
@@ -345,6 +369,7 @@ ORACLES = {
     "json_documents": with_views('SELECT "orderNumber", status, "customerNumber" FROM orders_v', "orders_v"),
     "json_sink": with_views('SELECT "customerNumber", state, "creditLimit" FROM customers', "customers"),
     "lockout_stream": directory.LOCKOUT_SQL,
+    "lockout_stream_unlocked": directory.UNLOCKED_SQL,
     "last_activity_stream": directory.ORACLES["last_activity"],
     "online_exact_stream": directory.ORACLES["online_over_time"],
     "online_stream": f"""SELECT *, true AS within_error FROM ({directory.ORACLES["online_over_time"]})""",

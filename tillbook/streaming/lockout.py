@@ -2,7 +2,9 @@
 
 Attempts wait in keyed state until the watermark has passed them and are then
 applied in time order, so the result is that of the batch operator on the same
-attempts, in whatever order they arrive within the allowed delay.
+attempts, in whatever order they arrive within the allowed delay. Unlocks come
+in the same stream and take effect in the same order; a stream may start from
+stored accounts.
 """
 
 from __future__ import annotations
@@ -24,11 +26,19 @@ OUTPUT = (
     "user_id bigint, is_locked_out boolean, last_lockout_us bigint, password_count int, password_start_us bigint, "
     "answer_count int, answer_start_us bigint, applied bigint"
 )
+# An unlock has no counter: is_password is null.
 PENDING = "us bigint, event_id bigint, ok boolean, is_password boolean"
 ACCOUNT = (
     "locked boolean, locked_us bigint, password_count int, password_start bigint, answer_count int, "
     "answer_start bigint, applied bigint"
 )
+UNLOCK = "unlock"
+# The stored columns of an account, in the stream and in the batch operator's result.
+ACCOUNT_COLUMNS = ("is_locked_out", "last_lockout_us", "password_count", "password_start_us", "answer_count", "answer_start_us")
+BATCH_COLUMNS = (
+    "is_locked_out", "last_lockout", "password_count", "password_window_start", "answer_count", "answer_window_start",
+)
+TIMES = ("last_lockout", "password_window_start", "answer_window_start")
 FRESH = (False, None, 0, None, 0, None, 0)
 
 # Ship the processor itself, so that workers need not have this package.
@@ -54,10 +64,21 @@ def apply_attempt(state: tuple, us: int, ok: bool, is_password: bool, limit: int
     return locked, us if locked else None, password, password_start, answer, answer_start, applied + 1
 
 
+def unlocked(state: tuple) -> tuple:
+    """The account after an unlock: both counters and windows are cleared, the time of the lock stays."""
+    return (False, state[1], 0, None, 0, None, state[6] + 1)
+
+
+def _in_order(row: tuple) -> tuple:
+    us, event_id, ok, is_password = row
+    return us, event_id, is_password is None, bool(ok), bool(is_password)
+
+
 class LockoutProcessor(StatefulProcessor):
-    def __init__(self, limit: int, window_minutes: int):
+    def __init__(self, limit: int, window_minutes: int, unlocks: bool = False):
         self.limit = limit
         self.window_us = window_minutes * 60_000_000
+        self.unlocks = unlocks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -66,10 +87,10 @@ class LockoutProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         timers = set()
-        # A locked account ignores whatever comes later, so nothing is kept for it.
-        locked = self.account.exists() and self.account.get()[0]
+        # Without unlocks a locked account ignores whatever comes later, so nothing is kept for it.
+        closed = not self.unlocks and self.account.exists() and self.account.get()[0]
         for batch in rows:
-            if locked:
+            if closed:
                 continue
             values = list(zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["ok"].tolist(), batch["is_password"].tolist()))
             self.pending.appendList(values)
@@ -79,10 +100,15 @@ class LockoutProcessor(StatefulProcessor):
             self.handle.registerTimer(moment)
         return iter(())
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        stored = initialState.astype(object).where(initialState.notna(), None).iloc[0]
+        numbers = [None if stored[c] is None else int(stored[c]) for c in ACCOUNT_COLUMNS[1:]]
+        self.account.update((bool(stored[ACCOUNT_COLUMNS[0]]), *numbers, 0))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = [tuple(row) for row in self.pending.get()] if self.pending.exists() else []
-        ready = sorted(row for row in waiting if row[0] <= passed)
+        ready = sorted((row for row in waiting if row[0] <= passed), key=_in_order)
         if not ready:
             return
         later = [row for row in waiting if row[0] > passed]
@@ -90,9 +116,16 @@ class LockoutProcessor(StatefulProcessor):
             self.pending.put(later)
         else:
             self.pending.clear()
-        state = tuple(self.account.get()) if self.account.exists() else FRESH
+        before = tuple(self.account.get()) if self.account.exists() else None
+        state = before or FRESH
         for us, _, ok, is_password in ready:
-            state = apply_attempt(state, us, ok, is_password, self.limit, self.window_us)
+            if is_password is not None:
+                state = apply_attempt(state, us, ok, is_password, self.limit, self.window_us)
+            elif before or state != FRESH:  # an unlock makes no account
+                state = unlocked(state)
+        # A locked account that saw attempts only is as it was.
+        if state == (before or FRESH):
+            return
         self.account.update(state)
         yield pd.DataFrame([(key[0], *state)], columns=[c.split()[0] for c in OUTPUT.split(", ")], dtype=object)
 
@@ -100,20 +133,44 @@ class LockoutProcessor(StatefulProcessor):
         pass
 
 
-def lockout_updates(attempts: DataFrame, max_failures: int, window_minutes: int, delay: str) -> DataFrame:
+def lockout_updates(
+    attempts: DataFrame,
+    max_failures: int,
+    window_minutes: int,
+    delay: str,
+    accounts: DataFrame | None = None,
+    unlocks: bool = False,
+) -> DataFrame:
     """Stream of account states, one row per account whenever it changes.
 
     ``attempts`` streams user_id, event_id, ts, ok and counter. A row without
     user_id is no attempt, but its time moves the watermark on.
+
+    With ``unlocks`` a row whose counter is ``unlock`` unlocks its account at its
+    place in the order (ts, event_id); an account without a state is not made
+    by it. What a locked account keeps is then bounded by ``delay``: attempts
+    wait for an unlock that may still arrive before them.
+
+    ``accounts`` is a stored result of the batch operator (one row per user_id)
+    from which a new stream starts; a restarted one goes on from its own state.
     """
-    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    known = F.col("counter").isin("password", "passwordAnswer")
-    is_password = F.when(known, F.col("counter") == "password").otherwise(
-        F.raise_error(F.lit("unknown failure counter")).cast("boolean")
-    )
+    spark = attempts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    password = F.col("counter") == "password"
+    is_password = F.when(F.col("counter").isin("password", "passwordAnswer"), password)
+    if unlocks:
+        is_password = is_password.when(F.col("counter") == UNLOCK, F.lit(None).cast("boolean"))
+    is_password = is_password.otherwise(F.raise_error(F.lit("unknown failure counter")).cast("boolean"))
     events = attempts.select(
         "user_id", micros("ts").alias("us"), "event_id", "ok", is_password.alias("is_password")
     )
+    initial = None
+    if accounts is not None:
+        values = [
+            micros(c) if c in TIMES else F.col(c).cast("int" if c.endswith("count") else "boolean")
+            for c in BATCH_COLUMNS
+        ]
+        initial = accounts.select("user_id", *[v.alias(c) for v, c in zip(values, ACCOUNT_COLUMNS)]).groupBy("user_id")
     return (
         events.withColumn("event_time", F.timestamp_micros("us"))
         .withWatermark("event_time", delay)
@@ -121,25 +178,28 @@ def lockout_updates(attempts: DataFrame, max_failures: int, window_minutes: int,
         .where(F.when(F.col("event_time").isNotNull(), F.col("user_id")).isNotNull())
         .groupBy("user_id")
         .transformWithStateInPandas(
-            statefulProcessor=LockoutProcessor(max_failures, window_minutes),
+            statefulProcessor=LockoutProcessor(max_failures, window_minutes, unlocks),
             outputStructType=OUTPUT,
             outputMode="Append",
             timeMode="EventTime",
+            initialState=initial,
         )
     )
 
 
-def current_state(updates: DataFrame) -> DataFrame:
-    """The last state written for each account, in the batch operator's shape."""
+def current_state(updates: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """The last state written for each account, in the batch operator's shape.
+
+    ``accounts`` are those the stream started from; the unchanged ones follow as they were.
+    """
     rest = [c for c in updates.columns if c != "user_id"]
     last = updates.groupBy("user_id").agg(F.max_by(F.struct(*rest), "applied").alias("s"))
     flat = last.select("user_id", "s.*")
-    return flat.select(
+    found = flat.select(
         "user_id",
-        "is_locked_out",
-        wall_clock(F.col("last_lockout_us")).alias("last_lockout"),
-        "password_count",
-        wall_clock(F.col("password_start_us")).alias("password_window_start"),
-        "answer_count",
-        wall_clock(F.col("answer_start_us")).alias("answer_window_start"),
+        *[(wall_clock(F.col(c)) if b in TIMES else F.col(c)).alias(b) for c, b in zip(ACCOUNT_COLUMNS, BATCH_COLUMNS)],
     )
+    if accounts is None:
+        return found
+    same = accounts.join(found.select("user_id"), "user_id", "left_anti")
+    return found.unionByName(same.select(*found.columns))
