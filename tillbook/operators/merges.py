@@ -47,6 +47,12 @@ def merge_update(
     )
 
 
+def replace_rows(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table with ``changes``, one row per key, in place of the rows with their keys; NULL is a key too."""
+    same = [table[k].eqNullSafe(changes[k]) for k in keys]
+    return table.join(changes, same, "left_anti").unionByName(changes.select(*table.columns))
+
+
 def unlock(accounts: DataFrame, names: DataFrame) -> DataFrame:
     """Zero both counters and windows of the named accounts and unlock them."""
     hit = F.coalesce("_hit", F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillbook.fixtures import Fixtures, login_email
 from tillbook.functions.credentials import salted_digest
-from tillbook.operators import activity, directory, lockout, lookup, merges, ordering, sign_in
+from tillbook.operators import activity, directory, lockout, lookup, merges, ordering, sign_in, snapshots
 from tillbook.operators import credential_changes as changing
 from tillbook.plans.oracle_views import CHUNK, SMALL_CHUNK, VIEWS, chunked_sql, with_views
 from tillbook.session import work_path, written
@@ -326,14 +326,32 @@ def merge_update(spark, sf_dir):
     """Users take address and comment from their latest purchase."""
     fx = Fixtures(spark, sf_dir)
     users = fx.users.select("UserId", "Username", "Email").withColumn("Comment", F.lit(None).cast("string"))
-    changes = fx.events.where(F.col("event_type") == "purchase").select(
+    return merges.merge_update(users, _purchases(fx), ["UserId"], ["Email", "Comment"], ["ts", "event_id"])
+
+
+def _purchases(fx: Fixtures):
+    return fx.events.where(F.col("event_type") == "purchase").select(
         F.col("user_id").alias("UserId"),
         F.concat(F.lit("buyer"), F.col("event_id"), F.lit("@example.com")).alias("Email"),
         F.col("props").alias("Comment"),
         "ts",
         "event_id",
     )
-    return merges.merge_update(users, changes, ["UserId"], ["Email", "Comment"], ["ts", "event_id"])
+
+
+def users_after_stored_changes(spark, sf_dir):
+    """A stored table of users: purchases change them, then those long inactive go."""
+    fx = Fixtures(spark, sf_dir)
+    users = fx.users.select("UserId", "Username", "Email", "LastActivityDate").withColumn("Comment", F.lit(None).cast("string"))
+    table = snapshots.BucketedTable.create(users, work_path(spark, "users"), ["UserId"], 32)
+
+    def bought(rows, changes):
+        return merges.merge_update(rows, changes, ["UserId"], ["Email", "Comment"], ["ts", "event_id"])
+
+    table.apply(_purchases(fx), bought)
+    inactive = table.read().where(F.col("LastActivityDate") <= moment(CUTOFF)).select("UserId")
+    table.apply(inactive, lambda rows, gone: rows.join(gone, "UserId", "left_anti"))
+    return table.read()
 
 
 def secret_update(spark, sf_dir):
@@ -616,7 +634,7 @@ QUERIES = {
         profile_exists, all_profiles, profiles_inactive, profiles_by_name, inactive_profiles_by_name,
         inactive_profile_count, profile_sizes, profiles_page, last_activity, online_over_time, lockout_state, lockout_continued, lockout_unlocked, validated_logins,
         grant_result, memberships_after_grant, grant_whole_requests, revoke_result, memberships_after_revoke,
-        merge_update, secret_update, credential_changes, users_after_credential_changes, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
+        merge_update, users_after_stored_changes, secret_update, credential_changes, users_after_credential_changes, unlock_accounts, delete_users_cascade, delete_users_only, delete_roles,
         memberships_after_role_delete, delete_profiles, delete_inactive_profiles, create_users_status,
         users_after_creation, create_users_unique_email, create_roles_status, roles_after_creation, deleted_counts,
         missing_applications, upsert_profiles, users_after_upsert,
@@ -892,6 +910,13 @@ ORACLES = {
         FROM users u LEFT JOIN (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
             FROM events WHERE event_type = 'purchase') e ON e.user_id = u."UserId" AND rn = 1""", "users"),
+    "users_after_stored_changes": with_views(f"""
+        SELECT u."UserId", "Username", coalesce('buyer' || e.event_id || '@example.com', "Email") AS "Email",
+               "LastActivityDate", e.props AS "Comment"
+        FROM users u LEFT JOIN (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+            FROM events WHERE event_type = 'purchase') e ON e.user_id = u."UserId" AND rn = 1
+        WHERE "LastActivityDate" > TIMESTAMP '{CUTOFF}'""", "users"),
     "secret_update": with_views("""
         SELECT question_id, "customerNumber" IN (SELECT o_custkey FROM orders) AS changed, count(*) AS logins
         FROM logins GROUP BY 1, 2""", "logins"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tillbook.fixtures import Fixtures
@@ -14,6 +16,7 @@ from tillbook.session import work_path, written
 from tillbook.sources import appends, database, delimited, json_out, logs, text_files, xml
 from tillbook.operators import activity as batch_activity
 from tillbook.operators import lockout as batch_lockout
+from tillbook.operators import merges, snapshots
 from tillbook.streaming import activity, intake, lockout, sinks
 
 
@@ -248,6 +251,20 @@ def last_activity_stream(spark, sf_dir):
     return sinks.latest_updates(spark, out, ["user_id"])
 
 
+def last_activity_folded(spark, sf_dir):
+    """The events as files of their own, some of them a batch, folded into a stored table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = work_path(spark, "event-files")
+    events.repartitionByRange(6, "ts").write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    updates = activity.last_activity(stream, ["signup"])
+    empty = spark.createDataFrame([], updates.schema)
+    table = snapshots.BucketedTable.create(empty, work_path(spark, "activity"), ["user_id"], 16)
+    merge = partial(merges.replace_rows, keys=["user_id"])
+    sinks.fold_updates(updates, table, merge, work_path(spark, "activity-checkpoint")).awaitTermination()
+    return table.read()
+
+
 def _closed_events(spark, sf_dir):
     """The events and, a day behind the last, a row without user that only moves the clock."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts")
@@ -309,7 +326,7 @@ QUERIES = {
     for f in (
         delimited_roundtrip, rebuild_report, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
         appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, json_objects,
-        json_documents, json_sink, lockout_stream, lockout_stream_unlocked, last_activity_stream, online_stream, online_exact_stream,
+        json_documents, json_sink, lockout_stream, lockout_stream_unlocked, last_activity_stream, last_activity_folded, online_stream, online_exact_stream,
         comment_intake, comment_intake_rejected,
     )
 }
@@ -371,6 +388,7 @@ ORACLES = {
     "lockout_stream": directory.LOCKOUT_SQL,
     "lockout_stream_unlocked": directory.UNLOCKED_SQL,
     "last_activity_stream": directory.ORACLES["last_activity"],
+    "last_activity_folded": directory.ORACLES["last_activity"],
     "online_exact_stream": directory.ORACLES["online_over_time"],
     "online_stream": f"""SELECT *, true AS within_error FROM ({directory.ORACLES["online_over_time"]})""",
     "comment_intake_rejected": with_views(f"""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tillbook.operators.snapshots import BucketedTable, Merge
+
 
 def write_appends(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Final rows only; the file sink's log makes each appear once."""
@@ -35,6 +37,26 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+def fold_updates(stream: DataFrame, table: BucketedTable, merge: Merge, checkpoint: str) -> StreamingQuery:
+    """Merge each batch's changed rows into a stored table under the batch's number.
+
+    The table is the result: reading it costs the same after any number of
+    batches, and a batch repeated after a restart is applied once. The table
+    belongs to this stream, whose numbers it keeps.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        table.apply(batch, merge, batch=number)
+
+    return (
+        stream.writeStream.foreachBatch(save)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last row written for each key."""
     rows = spark.read.parquet(path)
