@@ -185,6 +185,38 @@ def test_comment_intake_checks_escapes_and_drops_repeats(spark):
     assert "comment" not in intake.rejected(frame).columns
 
 
+def test_every_delivery_has_one_outcome(spark):
+    def at(minute):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute, microseconds=7)
+
+    large = 2**60 + 1
+    first = [
+        (1, "p", "a@x", " <b> ", at(0)), (large, "p", "a@x", "x", at(1)), (None, "p", "a@x", "x", at(1)), (3, "p", "a,b@x", "x", at(1)),
+        (4, "p", "a@x", "x", None), (5, "p", "a@x", "twice", at(100)), (5, "p", "a@x", "twice", at(100)),
+    ]
+    second = [
+        (1, "p", "a@x", "late again", at(0)), (large + 2, "p", "a@x", "late and new", at(1)), (5, "p", "a@x", "again", at(95)),
+        (None, "p", "a@x", "x", at(1)), (6, "p", "a@x", "new", at(95)), (7, "p", "a@x", "new", at(1000)),
+    ]
+    # By now key 5 is forgotten.
+    third = [(5, "p", "a@x", "once more", at(1000)), (8, "p", "a,b@x", "", at(0))]
+    path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")
+    for delivery in (first, second, third):
+        spark.createDataFrame(delivery, COMMENT).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(COMMENT).parquet(path)
+        judged = intake.outcomes(stream, "n", "arrived", 600)
+        sinks.write_appends(judged, out, state, "outcome").awaitTermination()
+    got = sorted(((r.n, r.comment, r.error, r.outcome) for r in spark.read.parquet(out).collect()), key=str)
+    assert got == sorted([
+        (1, "&lt;b&gt;", None, "accepted"), (large, "x", None, "accepted"), (None, None, "null", "rejected"), (3, None, "comma", "rejected"),
+        (4, None, "null", "rejected"), (5, "twice", None, "accepted"), (5, "twice", None, "repeat"),
+        (1, "late again", None, "late"), (large + 2, "late and new", None, "late"), (5, "again", None, "repeat"),
+        (None, None, "null", "rejected"), (6, "new", None, "accepted"), (7, "new", None, "accepted"),
+        (5, "once more", None, "accepted"), (8, None, "comma", "rejected"),
+    ], key=str)
+    assert {r.arrived for r in spark.read.parquet(out).where("n = 7").collect()} == {at(1000)}
+
+
 def test_last_activity_stream_over_two_runs(spark):
     schema = "user_id bigint, event_type string, ts timestamp_ntz"
     path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")
@@ -238,3 +270,39 @@ def test_batches_are_numbered_on(spark, folder):
         rows = spark.createDataFrame([(i % 3, "e", f"c{i}") for i in range(50)], "productCode int, email string, comment string")
         appends.append_numbered(rows.repartition(4), "comments", path, "n", ["comment"])
     assert sorted(r.n for r in spark.read.parquet(path).collect()) == list(range(1, 151))
+
+
+def _record(i, name="u", secret="pw"):
+    return f"INFO  2024-01-01 10:{i // 60:02}:{i % 60:02},123  45ms Login   Click - User {name}{i} attempted to log in with password {secret}"
+
+
+def test_log_records_across_lines_splits_and_rolled_files(spark, folder):
+    records = [
+        _record(i, "a\n\nb" if i % 3 == 0 else "u", f"hidden{i}\nhidden again" if i % 4 == 0 else f"hidden{i}") for i in range(300)
+    ]
+    lines = "\n".join(["a line of no record", *records]).split("\n")
+    # Cut in the middle of records; one file has no head at all, numbers are not in the order of texts.
+    cuts = {"app.log.10": lines[:200], "app.log.9": lines[200:201], "app.log.2": lines[201:350], "app.log": lines[350:]}
+    for name, part in cuts.items():
+        (folder / name).write_text("\n".join(part) + "\n")
+    (folder / "other.log").write_text(_record(7) + "\n")
+    (folder / "empty.log").write_text("")
+    name = "spark.sql.files.maxPartitionBytes"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "700")
+    try:
+        found = logs.read_records(spark, str(folder))
+        rows = [r for r in found.collect()]
+        attempts = logs.record_attempts(found).collect()
+    finally:
+        spark.conf.set(name, kept)
+    assert not any("hidden" in str(r) for r in rows)
+    app = sorted((r for r in rows if r.log.endswith("/app.log")), key=lambda r: r.ts)
+    assert [r.message for r in app] == [t.split(" - ", 1)[1].split(" hidden")[0] for t in records]
+    assert len(rows) == 301 and len(attempts) == 301
+    assert sorted(r.email for r in attempts if r.email.startswith("a")) == sorted(f"a\n\nb{i}" for i in range(0, 300, 3))
+
+
+def test_a_log_without_records(spark, folder):
+    (folder / "app.log").write_text("only\nlines\n")
+    assert logs.read_records(spark, str(folder)).count() == 0

@@ -175,6 +175,28 @@ def log_attempts_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def log_records(spark, sf_dir):
+    """Attempts under names of two lines, with passwords of two, in three rolled files that cut records."""
+    fx = Fixtures(spark, sf_dir)
+    path = work_path(spark, "rolled-log")
+    requests = store._login_requests(fx).join(
+        fx.orders.select(F.col("orderNumber").alias("attempt"), "orderDate"), "attempt"
+    )
+    record = F.format_string(
+        "INFO  %s,120   45ms CustomerLogin          ButtonLogOn_Click  - User %s attempted to log in with password %s",
+        F.date_format("orderDate", "yyyy-MM-dd HH:mm:ss"), F.replace("email", F.lit("@"), F.lit("\n@")),
+        F.concat_ws("\n", "secret", "secret"),
+    )
+    lines = requests.select("attempt", F.posexplode(F.split(record, "\n"))).select(
+        (F.col("attempt") * 3 + F.col("pos")).alias("place"), F.col("col").alias("value")
+    )
+    last = lines.agg(F.max("place")).scalar()
+    lines = lines.withColumn("roll", 2 - F.floor(F.col("place") * 3 / (last + 1)))
+    ordered = lines.repartitionByRange(7, "place").sortWithinPartitions("roll", "place")
+    ordered.select("roll", "value").write.partitionBy("roll").text(path)
+    return logs.record_attempts(logs.read_records(spark, path, r"/roll=(\d+)/[^/]*$"))
+
+
 def json_objects(spark, sf_dir):
     products = Fixtures(spark, sf_dir).products
     return json_out.as_objects(products.select("productCode", "productName", "catNumber", "productVendor"))
@@ -293,14 +315,19 @@ def online_exact_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-def _delivered_comments(spark, sf_dir):
-    """All comments delivered twice, with some that break a rule."""
-    fx = Fixtures(spark, sf_dir)
-    path = work_path(spark, "comment-stream")
+def _arriving_comments(spark, sf_dir):
+    """All comments, one a second, with some that break a rule."""
+    comments = Fixtures(spark, sf_dir).comments
     arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("commentNumber"))
-    comments = fx.comments.withColumn("arrived", arrived).withColumn(
+    return comments.withColumn("arrived", arrived).withColumn(
         "email", F.when(F.col("comment").contains("!"), F.concat("email", F.lit(",x"))).otherwise(F.col("email"))
     )
+
+
+def _delivered_comments(spark, sf_dir):
+    """The arriving comments, each delivered twice."""
+    path = work_path(spark, "comment-stream")
+    comments = _arriving_comments(spark, sf_dir)
     comments.write.parquet(path)
     comments.write.mode("append").parquet(path)
     return spark.readStream.schema(comments.schema).parquet(path)
@@ -321,13 +348,26 @@ def comment_intake_rejected(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def comment_intake_outcomes(spark, sf_dir):
+    """All comments delivered, then again beside new ones of the same times; a minute's delay."""
+    comments = _arriving_comments(spark, sf_dir)
+    path, out, state = (work_path(spark, label) for label in ("comment-stream", "outcomes", "outcome-checkpoint"))
+    again = comments.unionByName(comments.withColumn("commentNumber", -F.col("commentNumber") - 1))
+    for delivery in (comments, again):
+        delivery.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(comments.schema).parquet(path)
+        judged = intake.outcomes(stream, "commentNumber", "arrived", 60)
+        sinks.write_appends(judged, out, state, "outcome").awaitTermination()
+    return spark.read.parquet(out).select("commentNumber", "comment", "error", "outcome")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         delimited_roundtrip, rebuild_report, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
-        appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, json_objects,
+        appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, log_records, json_objects,
         json_documents, json_sink, lockout_stream, lockout_stream_unlocked, last_activity_stream, last_activity_folded, online_stream, online_exact_stream,
-        comment_intake, comment_intake_rejected,
+        comment_intake, comment_intake_rejected, comment_intake_outcomes,
     )
 }
 
@@ -380,6 +420,7 @@ ORACLES = {
         "mailing_list", "customers"),
     "log_attempts": _LOG_SQL,
     "log_attempts_stream": _LOG_SQL,
+    "log_records": f"SELECT * REPLACE (replace(email, '@', chr(10) || '@') AS email) FROM ({_LOG_SQL})",
     "json_objects": with_views("""
         SELECT CAST(to_json({'productCode': "productCode", 'productName': "productName", 'catNumber': "catNumber",
                              'productVendor': "productVendor"}) AS VARCHAR) AS object FROM products""", "products"),
@@ -399,4 +440,14 @@ ORACLES = {
     "comment_intake": with_views(f"""
         SELECT "commentNumber", "productCode", email, {_ESCAPED.format(_TRIMMED)} AS comment FROM comments
         WHERE NOT contains(comment, '!') AND length({_TRIMMED}) > 0""", "comments"),
+    "comment_intake_outcomes": with_views(f"""
+        SELECT n AS "commentNumber",
+               CASE outcome WHEN 'accepted' THEN {_ESCAPED.format(_TRIMMED)} WHEN 'rejected' THEN NULL ELSE comment END AS comment,
+               error, outcome
+        FROM (SELECT *, CASE WHEN error IS NOT NULL THEN 'rejected' WHEN turn > 0 AND "commentNumber" < last - 60 THEN 'late'
+                             WHEN turn = 1 THEN 'repeat' ELSE 'accepted' END AS outcome,
+                     CASE WHEN turn = 2 THEN -"commentNumber" - 1 ELSE "commentNumber" END AS n
+              FROM (SELECT *, CASE WHEN contains(comment, '!') THEN 'comma' WHEN length({_TRIMMED}) = 0 THEN 'empty' END AS error,
+                           max("commentNumber") OVER () AS last
+                    FROM comments), (VALUES (0), (1), (2)) AS deliveries(turn))""", "comments"),
 }

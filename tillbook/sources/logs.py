@@ -7,9 +7,11 @@ and is in no column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillbook.session import written
+
 LINE = r"^(\w+)\s+(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3})\s+(\d+)ms\s+(\S+)\s+(\S+)\s+- (.*)$"
 # The first such phrase ends the name: a later one is part of the password.
 ATTEMPT = r"^User (.*?) attempted to log in with password"
@@ -34,3 +36,70 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     """The same rows as the log's files arrive."""
     return login_attempts(spark.readStream.text(path))
+
+
+# --- records of several lines, logs of several files ------------------------
+
+HEAD = r"^\w+\s+\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}\s+\d+ms\s+\S+\s+\S+\s+- "
+# A rolled file's number follows the log's name; the higher, the older.
+ROLLED = r"\.(\d+)(?:\.gz)?$"
+SECRET = r"(?s)^(User .*? attempted to log in with password).*$"
+
+
+def read_records(spark: SparkSession, path: str, rolled: str = ROLLED) -> DataFrame:
+    """(log, ts, level, logger, method, message) of each record, however many lines it has.
+
+    A line that does not look like a record's first continues the record before
+    it, across the splits of a file and from an older rolled file into the next;
+    ``rolled`` finds the number of a rolled file in its path, what is left of the
+    path is the log. Files of one number follow each other by name. The message
+    keeps its line ends and loses a password, whatever lines that spans. Lines
+    before a log's first record belong to none and are left out. A record is one
+    value and must fit a row.
+
+    Each split is numbered by itself. What one leaves open is found from a row
+    per split, and only the lines at a split's start move to another record.
+    """
+    place = ["log", "roll", "file", "start"]
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(path).select(
+        F.regexp_replace(file, rolled, "").alias("log"),
+        # Older first.
+        (-F.coalesce(F.nullif(F.regexp_extract(file, rolled, 1), F.lit("")).cast("long"), F.lit(0))).alias("roll"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        # Rises along a split.
+        F.monotonically_increasing_id().alias("line"),
+        F.col("value"),
+        F.col("value").rlike(HEAD).cast("int").alias("head"),
+    )
+    along = Window.partitionBy(*place)
+    splits = written(lines.groupBy(*place).agg(F.sum("head").alias("heads")), "log-splits")
+    last = F.when(F.col("heads") > 0, F.struct("roll", "file", "start", F.col("heads").alias("record")))
+    before = Window.partitionBy("log").orderBy("roll", "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.withColumn("_open", F.last(last, ignorenulls=True).over(before))
+    numbered = lines.withColumn("record", F.sum("head").over(along.orderBy("line")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda s: s["value"]), "\n")
+    pieces = numbered.groupBy(*place, "record").agg(text.alias("text"))
+    # At most one piece a split has no head of its own.
+    loose = pieces.where("record = 0").drop("record").join(carried.select(*place, "_open"), place).where("_open IS NOT NULL")
+    rest = loose.groupBy("log", "_open").agg(F.array_sort(F.collect_list(F.struct("roll", "file", "start", "text"))).alias("_rest"))
+    rest = rest.select("log", "_open.*", F.transform("_rest", lambda s: s["text"]).alias("_rest"))
+    whole = pieces.where("record > 0").join(rest, [*place, "record"], "left")
+    value = F.concat_ws("\n", "text", "_rest")
+    part = r"(?s)" + LINE
+    return whole.select("log", value.alias("value")).select(
+        "log",
+        F.to_timestamp_ntz(F.replace(F.regexp_extract("value", part, 2), F.lit(","), F.lit("."))).alias("ts"),
+        F.regexp_extract("value", part, 1).alias("level"),
+        F.regexp_extract("value", part, 4).alias("logger"),
+        F.regexp_extract("value", part, 5).alias("method"),
+        F.regexp_replace(F.regexp_extract("value", part, 6), SECRET, "$1").alias("message"),
+    )
+
+
+def record_attempts(records: DataFrame) -> DataFrame:
+    """(ts, level, logger, method, email) of the records that report an attempt; a name may hold line ends."""
+    attempt = r"(?s)" + ATTEMPT
+    tried = records.where(F.col("message").rlike(attempt))
+    return tried.select("ts", "level", "logger", "method", F.regexp_extract("message", attempt, 1).alias("email"))

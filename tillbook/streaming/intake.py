@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tillbook.functions.text import html_escape, parameter_error, trimmed
+from tillbook.streaming.lockout import ROCKSDB
+
+# Ship the processor itself, so that workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Largest sizes of a comment's fields.
 RULES = {
@@ -32,3 +42,95 @@ def accepted(comments: DataFrame, key: str, arrived: str, delay: str) -> DataFra
 def rejected(comments: DataFrame) -> DataFrame:
     """Invalid comments with the first rule each breaks, without their text."""
     return comments.withColumn("error", _error(comments)).where(F.col("error").isNotNull()).drop("comment")
+
+
+# --- every delivery with its outcome ---------------------------------------
+
+ACCEPTED, REJECTED, REPEAT, LATE = "accepted", "rejected", "repeat", "late"
+JUDGED = "row string, error string, outcome string"
+# Groups that rejected rows are dealt to.
+SPREAD = 1000
+# Micros survive; the formats of both directions.
+AS_TEXT = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+class IntakeProcessor(StatefulProcessor):
+    """Remembers a key from its first valid delivery until the watermark is ``delay`` past it."""
+
+    def __init__(self, delay_us: int):
+        self.delay_us = delay_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        known = None
+        for batch in rows:
+            outcomes = []
+            for us, error in zip(batch["us"].tolist(), batch["error"].tolist()):
+                if isinstance(error, str):
+                    outcomes.append(REJECTED)
+                    continue
+                if us < passed:
+                    outcomes.append(LATE)
+                    continue
+                if known is None:
+                    known = self.first.exists()
+                outcomes.append(REPEAT if known else ACCEPTED)
+                if not known:
+                    known = True
+                    self.first.update((us,))
+                    # A timer fires once the watermark has passed it: round up.
+                    self.handle.registerTimer((us + self.delay_us) // 1000 + 1)
+            yield batch[["row", "error"]].assign(outcome=outcomes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def outcomes(comments: DataFrame, key: str, arrived: str, delay_seconds: int) -> DataFrame:
+    """Every delivered row once, with ``outcome`` and the ``error`` of a rejected one.
+
+    ``rejected``: breaks a rule, or has no key or time ("null"); its comment is
+    left out. ``late``: valid, but behind the watermark, whether delivered
+    before or not. ``repeat``: its key was accepted and is still remembered.
+    ``accepted``: the first of its key; only here the texts are escaped. Of
+    several in one batch any one is the first. Rejected rows need no state and
+    spread over tasks.
+    """
+    comments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = comments.schema
+    missing = F.col(key).isNull() | F.col(arrived).isNull()
+    error = F.when(missing, "null").otherwise(_error(comments))
+    anywhere = F.floor(F.rand() * SPREAD).cast("string")
+    place = F.when(error.isNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("r"), anywhere))
+    judged = (
+        comments.withWatermark(arrived, f"{delay_seconds} seconds")
+        # The row travels as one text: it must come back as it was, nulls beside large numbers too. Without
+        # the watermarked column among them late rows are not dropped on the way.
+        .select(
+            place.alias("place"), F.coalesce(F.unix_micros(arrived), F.lit(0)).alias("us"), error.alias("error"),
+            F.to_json(F.struct(*comments.columns), AS_TEXT).alias("row"),
+        )
+        .groupBy("place")
+        .transformWithStateInPandas(
+            statefulProcessor=IntakeProcessor(delay_seconds * 1_000_000),
+            outputStructType=JUDGED,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+    rows = judged.withColumn("row", F.from_json("row", schema, AS_TEXT)).select("row.*", "error", "outcome")
+    accepted_row = F.col("outcome") == ACCEPTED
+    texts = {c: F.when(accepted_row, html_escape(trimmed(F.col(c)))).otherwise(F.col(c)) for c in ("email", "comment")}
+    return rows.withColumns(texts).withColumn("comment", F.when(F.col("outcome") != REJECTED, F.col("comment")))

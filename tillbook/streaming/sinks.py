@@ -9,11 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tillbook.operators.snapshots import BucketedTable, Merge
 
 
-def write_appends(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Final rows only; the file sink's log makes each appear once."""
+def write_appends(stream: DataFrame, path: str, checkpoint: str, *by: str) -> StreamingQuery:
+    """Final rows only, in folders of the columns ``by``; the file sink's log makes each appear once."""
     return (
         stream.writeStream.format("parquet")
         .outputMode("append")
+        .partitionBy(*by)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
