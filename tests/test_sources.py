@@ -53,6 +53,38 @@ def test_rebuild_reports_missing_and_rejected(spark, folder):
     assert spark.read.parquet(f"{target}/Orders").count() == 2
 
 
+def test_warnings_name_the_line_and_the_cell(spark, folder):
+    (folder / "orders.txt").write_bytes(
+        ORDERS + b"1|2010-01-06|2010-13-13|NULL|Shipped and more than fits|NULL|\r\n" + b"\r\n" + b"2|2010-01-06|2010-01-13\n"
+        b"3|2010-01-06 10:00:00|2010-01-13|NULL|ok||4|5|6\n99999999999|2010|2010-01-13|||NULL|1.5\n"
+    )
+    table = schemas.TABLES["Orders"]
+    name = "spark.sql.files.maxPartitionBytes"
+    kept = spark.conf.get(name)
+    for size in (kept, "60"):
+        spark.conf.set(name, size)
+        try:
+            found = delimited.cell_warnings(spark, str(folder), table).collect()
+            bad = sum(r[delimited.BAD] is not None for r in delimited.read_table(spark, str(folder), table).collect())
+        finally:
+            spark.conf.set(name, kept)
+        got = {}
+        for r in found:
+            got.setdefault(r.line, set()).add((r.column_name, r.reason))
+        rest = set(list(table.columns)[3:])
+        assert got == {
+            3: {("orderNumber", "type")},
+            4: {("requiredDate", "type"), ("status", "length"), ("customerNumber", "null")},
+            5: {("orderNumber", "null")} | {(c, "missing") for c in list(table.columns)[1:]},
+            6: {(c, "missing") for c in rest},
+            7: {(None, "extra")},
+            8: {("orderNumber", "type"), ("orderDate", "type"), ("status", "null"), ("customerNumber", "type")},
+        }
+        # Reading refuses every line with a type fault or a wrong number of cells; blank lines it skips.
+        assert bad == 5
+    assert delimited.cell_warnings(spark, str(folder), schemas.TABLES["Products"]) is None
+
+
 def test_declared_tables():
     orders = schemas.TABLES["Orders"]
     assert orders.key == ("orderNumber",) and orders.lengths == {"status": 15}

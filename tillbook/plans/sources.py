@@ -55,6 +55,28 @@ def rebuild_report(spark, sf_dir):
     return report.withColumn("rows_refused", F.coalesce(number, F.lit(0)).cast("bigint"))
 
 
+def cell_warnings(spark, sf_dir):
+    """Every order as a line, with one kind of fault for each priority and cells too many on finished orders."""
+    fx = Fixtures(spark, sf_dir)
+    path = work_path(spark, "delimited")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    urgency = F.substring("o_orderpriority", 1, 1)
+    fields = [
+        F.col("o_orderkey").cast("string"),
+        F.when(urgency == "2", F.replace(day, F.lit("-"), F.lit("/"))).otherwise(day),
+        day,
+        F.lit("NULL"),
+        F.when(urgency == "3", "NULL").when(urgency == "4", F.repeat("o_orderstatus", F.lit(16))).otherwise(F.col("o_orderstatus")),
+        F.lit(""),
+        F.when(urgency == "1", F.concat(F.lit("x"), "o_custkey")).when(urgency != "5", F.col("o_custkey").cast("string")),
+    ]
+    # Without the last field the line ends before its column.
+    line = F.concat_ws("|", *fields, F.when((F.col("o_orderstatus") == "F") & (urgency != "5"), "more"))
+    ordered = fx.table("orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")
+    ordered.select(line.alias("value")).write.text(f"{path}/orders.txt")
+    return delimited.cell_warnings(spark, path, TABLES["Orders"])
+
+
 def database_source(spark, sf_dir):
     """Rows of the tables the configured source holds."""
     config = {database.DB_TYPE: "parquet", database.FILE_NAME: sf_dir}
@@ -364,7 +386,7 @@ def comment_intake_outcomes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        delimited_roundtrip, rebuild_report, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
+        delimited_roundtrip, rebuild_report, cell_warnings, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
         appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, log_records, json_objects,
         json_documents, json_sink, lockout_stream, lockout_stream_unlocked, last_activity_stream, last_activity_folded, online_stream, online_exact_stream,
         comment_intake, comment_intake_rejected, comment_intake_outcomes,
@@ -390,6 +412,16 @@ ORACLES = {
         UNION ALL SELECT 'Offices', 'loaded', 0, 0, 0
         UNION ALL SELECT name, 'missing', 0, 0, 0 FROM (VALUES """ + ", ".join(
             f"('{t}')" for t in TABLES if t not in ("Orders", "CustomerLogin", "Comments", "Offices")) + ") AS m(name)",
+    "cell_warnings": """
+        SELECT 'Orders' AS table_name, line, f.column_name, f.reason
+        FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, o_orderpriority[1] AS urgency, o_orderstatus FROM orders) o
+        JOIN (VALUES ('1', 'customerNumber', 'type'), ('2', 'orderDate', 'type'), ('3', 'status', 'null'),
+                     ('4', 'status', 'length'), ('5', 'customerNumber', 'missing')) AS f(urgency, column_name, reason)
+             ON f.urgency = o.urgency
+        UNION ALL
+        SELECT 'Orders', line, NULL, 'extra'
+        FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, * FROM orders)
+        WHERE o_orderstatus = 'F' AND o_orderpriority[1] <> '5'""",
     "database_source": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("customer", "orders", "lineitem", "part", "supplier")),
     "xml_roundtrip": """SELECT html AS name, '<b>&"''' || page_id || '@example.com' AS email FROM pages""",

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.schemas import MONEY_COLUMNS, MONEY_TYPE, NO_DATE, TABLES, Table
+from tillbook.session import written
 
 BAD = "_corrupt_record"
+DATE_FORMAT = "yyyy-MM-dd[ HH:mm:ss]"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -26,7 +28,7 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> Data
         .option("encoding", "UTF-8")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD)
-        .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss]")
+        .option("timestampNTZFormat", DATE_FORMAT)
         .csv(path)
     )
 
@@ -41,6 +43,61 @@ def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame | No
         raise
 
 
+def _cell_fault(cell: Column, table: Table, name: str) -> Column:
+    """What is wrong with one cell's text, NULL if nothing is."""
+    kind = table.schema[name].dataType
+    absent = cell.isin("NULL", "")
+    if isinstance(kind, T.StringType):
+        too_long = F.char_length(cell) > table.lengths[name] if name in table.lengths else F.lit(False)
+        fault = F.when(too_long, "length")
+    elif isinstance(kind, T.TimestampNTZType):
+        fault = F.when(F.try_to_timestamp(cell, F.lit(DATE_FORMAT)).isNull(), "type")
+    else:
+        fault = F.when(cell.try_cast(kind).isNull(), "type")
+    missing = F.lit(None) if name in table.nullable else F.lit("null")
+    return F.when(cell.isNull(), "missing").when(absent, missing).otherwise(fault)
+
+
+def cell_warnings(spark: SparkSession, folder: str, table: Table) -> DataFrame | None:
+    """(table_name, line, column_name, reason) of every bad cell of a table's file, or None when it is missing.
+
+    ``missing``: the line ends before the column; ``extra``: it goes on behind
+    the last (no column); ``null``: NULL where the table has a value; ``type``:
+    no value of the column's type; ``length``: longer than declared. Lines count
+    from 1, over the files of a folder by name. A split counts its own lines; a
+    row per split holds how many lie before it, so lines are neither sorted nor
+    shuffled.
+    """
+    try:
+        text = spark.read.text(f"{folder}/{table.file}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    place = ["_file", "_start"]
+    lines = text.select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        # Rises by one along a split.
+        F.monotonically_increasing_id().alias("_id"), "value",
+    )
+    splits = written(lines.groupBy(*place).agg(F.min("_id").alias("_first"), F.count("*").alias("_lines")), "splits")
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    offsets = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    cells = F.split("value", r"\|", -1)
+    faults = [
+        F.struct(F.lit(name).alias("column_name"), _cell_fault(F.get("_cells", F.lit(i)), table, name).alias("reason"))
+        for i, name in enumerate(table.columns)
+    ]
+    extra = F.when(F.size("_cells") > len(table.columns), "extra")
+    faults.append(F.struct(F.lit(None).cast("string").alias("column_name"), extra.alias("reason")))
+    found = lines.withColumn("_cells", cells).select(
+        *place, "_id", F.explode(F.filter(F.array(*faults), lambda f: f["reason"].isNotNull())).alias("_fault")
+    )
+    return found.join(offsets, place).select(
+        F.lit(table.name).alias("table_name"), (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "_fault.*"
+    )
+
+
 def representable(df: DataFrame) -> Column:
     """Whether every text of a row can be told again from the file.
 
