@@ -1,13 +1,21 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 One scan finds the base spans of every whole text and, as candidates, all
-identifier-like tokens with the lexical patterns around them: the key directly
-in front (``name=``), the word before, and the words on both sides. Base
-matches seed the pattern-instance graph. Spark then scores it in rounds: a
-pattern scores by the share of its distinct instances that are believed and by
-how many there are; an instance is believed by noisy-or over its patterns. Each
-round is written. Candidates in contexts of a confident pattern are added as
-spans of kind ``id``; the base spans always stay.
+identifier-like tokens and all values behind a key (short ones, ones without a
+digit and quoted ones with blanks too), with the lexical patterns around them:
+the key directly in front (``name=``), its last part (``token`` of
+``access_token``) alone and with the characters that the value is made of, the
+form of a long token (first letters and length), the word before, and the words
+on both sides. Plain words that follow the same word elsewhere in the text are
+instances too, which count against it: ``the`` says nothing, however often
+an address follows it. Base matches seed the pattern-instance graph, and so do
+credentials: values that look like one behind a key that names one, and tokens
+of a published form. Spark then scores it in rounds: a pattern scores by the share of its
+distinct instances that are believed and by how many there are; an instance is
+believed by noisy-or over its patterns. Each round is written. Candidates in
+contexts of a confident pattern are added as spans of kind ``id``; the base
+spans always stay. Added spans may lie inside each other (a token of a quoted
+value); none touches a base span.
 
 The scan is linear in the text, also for runs of letters or digits without end:
 an address is looked for backwards from each ``@`` and a dotted number starts
@@ -23,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +59,19 @@ LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwx
 # An identifier-like token: letters or digits with at least one digit, seven characters or more.
 TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9][A-Za-z0-9_-]{6,}")
 DIGITS = re.compile(r"[^0-9]+")
+# A key and its value, which is quoted or a bare token; looked for from each sign of assignment.
+ASSIGNED = re.compile(r"[=:]")
+KEY = re.compile(r"([A-Za-z][A-Za-z0-9_-]{1,29})[\"']?\s{0,2}\Z")
+VALUE = re.compile(r"\s{0,2}(?:\"([^\"\n]{4,80})\"|'([^'\n]{4,80})'|([A-Za-z0-9][A-Za-z0-9_-]{3,}))")
+KEY_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+# Last parts of keys that name a credential. Fixed values.
+CREDENTIALS = frozenset({"token", "secret", "password", "passwd", "pwd", "apikey", "credential", "credentials"})
+# What looks like one: twenty characters or more without a blank, letters and digits both.
+CREDENTIAL = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=.-]{20,}")
+# Published forms of access keys. Fixed values.
+ACCESS_KEY = re.compile(r"A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}")
+# A token whose form says something: two first letters and more, and sixteen characters at least.
+FORM = re.compile(r"([A-Z]{4}|[a-z]{2,4}[_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{12,}")
 
 Span = tuple[str, int, int]
 
@@ -112,25 +134,84 @@ def _plain(word: str) -> str:
     return re.sub("[0-9]", "0", word.lower())
 
 
+def _key_tail(key: str) -> str:
+    """The last part of a key in either style: ``token`` of ``access_token`` and ``accessToken``."""
+    parts = KEY_PARTS.findall(key)
+    return parts[-1].lower() if parts else key.lower()
+
+
+def _made_of(value: str) -> str:
+    if re.fullmatch("[0-9]+", value):
+        return "digits"
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+        return "hex"
+    return "mixed" if re.search("[0-9]", value) else "letters"
+
+
+def _key_before(text: str, start: int) -> str | None:
+    head = text[max(0, start - 40) : start].rstrip("\"'")
+    head = head.rstrip()
+    key = KEY.search(head[:-1]) if head.endswith(("=", ":")) else None
+    return key.group(1) if key else None
+
+
 def patterns_around(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place, the instance itself left out."""
-    key = re.search(r"([A-Za-z_]{2,30})[\"']?\s{0,2}[=:]\s{0,2}[\"']?\Z", text[max(0, start - 40) : start])
-    found = [f"key {key.group(1).lower()}"] if key else []
+    """Lexical patterns of a place, the instance itself left out; a neighbour without a letter says nothing."""
+    found, key = [], _key_before(text, start)
+    if key:
+        tail = _key_tail(key)
+        found = [f"key {key.lower()}", f"tail {tail}", f"tail {tail} {_made_of(text[start:end])}"]
+    form = FORM.fullmatch(text, start, end)
+    if form:
+        found.append(f"form {form.group(1)} {end - start}")
     before, after = _word_before(text, start), _word_after(text, end)
-    if before:
+    if any(map(str.isalpha, before)):
         found.append(f"before {before}")
-    if before and after:
-        found.append(f"around {before} {after}")
+        if after:
+            found.append(f"around {before} {after}")
     return found
 
 
-def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str, list[str], bool]]:
-    """Start, end, instance, patterns and whether it is a base span."""
-    found = [(s, e, text[s:e], patterns_around(text, s, e), True) for _, s, e in base]
-    for match in TOKEN.finditer(text):
-        start, end = match.span()
-        if not any(s < end and start < e for _, s, e in base):
-            found.append((start, end, match.group(), patterns_around(text, start, end), False))
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """Places of values behind a key."""
+    for sign in ASSIGNED.finditer(text):
+        at = sign.start()
+        if KEY.search(text[max(0, at - 36) : at]):
+            value = VALUE.match(text, at + 1)
+            if value:
+                yield value.span(value.lastindex)
+
+
+def _is_seed(text: str, start: int, end: int) -> bool:
+    if ACCESS_KEY.fullmatch(text, start, end):
+        return True
+    key = _key_before(text, start)
+    return bool(key) and _key_tail(key) in CREDENTIALS and bool(CREDENTIAL.fullmatch(text, start, end))
+
+
+def words_against(text: str, patterns: set[str]) -> Iterator[tuple[str, str]]:
+    """Patterns of words and the plain words in their place elsewhere in the text."""
+    words = _plain(text).split()
+    for i, word in enumerate(words[:-1]):
+        if f"before {word}" in patterns:
+            inside = words[i + 1]
+            if "0" not in inside and "@" not in inside:
+                yield f"before {word}", inside
+                if i + 2 < len(words) and f"around {word} {words[i + 2]}" in patterns:
+                    yield f"around {word} {words[i + 2]}", inside
+
+
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str, list[str], bool, bool]]:
+    """Start, end, instance, patterns, whether it is a seed and whether it is a base span."""
+    found = [(s, e, text[s:e], patterns_around(text, s, e), True, True) for _, s, e in base]
+    # Ends of the base spans so far, so that one look says whether a place touches any that starts before its end.
+    starts, ends = [s for _, s, _ in base], []
+    for _, _, e in base:
+        ends.append(max(e, ends[-1] if ends else 0))
+    for start, end in sorted({*_values(text), *(m.span() for m in TOKEN.finditer(text))}):
+        place = bisect_left(starts, end)
+        if not place or ends[place - 1] <= start:
+            found.append((start, end, text[start:end], patterns_around(text, start, end), _is_seed(text, start, end), False))
     return found
 
 
@@ -140,23 +221,28 @@ def _number(value: str) -> int:
 
 SCANNED = (
     "doc_id long, {key}, spans array<struct<kind:string,start:int,stop:int>>, base string,"
-    " found array<struct<start:int,stop:int,instance:long,known:boolean,patterns:array<long>>>"
+    " found array<struct<start:int,stop:int,instance:long,known:boolean,base:boolean,patterns:array<long>>>,"
+    " against array<struct<pattern:long,instance:long>>"
 )
 
 
 def _scan(texts: list[str | None]) -> dict[str, list]:
-    spans, base, found = [], [], []
+    spans, base, found, against = [], [], [], []
     for text in texts:
-        own = base_spans(text or "")
+        text = text or ""
+        own = base_spans(text)
+        places = candidates(text, own)
         spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in own])
         base.append(joined(own))
         found.append(
             [
-                {"start": s, "stop": e, "instance": _number(i), "known": known, "patterns": [_number(p) for p in ps]}
-                for s, e, i, ps, known in candidates(text or "", own)
+                {"start": s, "stop": e, "instance": _number(i), "known": known, "base": b, "patterns": [_number(p) for p in ps]}
+                for s, e, i, ps, known, b in places
             ]
         )
-    return {"spans": spans, "base": base, "found": found}
+        pairs = set(words_against(text, {p for place in places for p in place[3]})) if places else ()
+        against.append([{"pattern": _number(p), "instance": _number(i)} for p, i in pairs])
+    return {"spans": spans, "base": base, "found": found, "against": against}
 
 
 def scan(docs: DataFrame, key: Column) -> DataFrame:
@@ -170,9 +256,11 @@ def scan(docs: DataFrame, key: Column) -> DataFrame:
 
 
 def _edges(scanned: DataFrame) -> DataFrame:
-    """Distinct pattern-instance pairs, and whether the instance is a base match anywhere in them."""
+    """Distinct pattern-instance pairs, and whether the instance is a seed anywhere in them."""
     one = scanned.select(F.explode("found").alias("c"))
     pairs = one.select(F.explode("c.patterns").alias("pattern"), "c.instance", "c.known")
+    words = scanned.select(F.explode("against").alias("a")).select("a.pattern", "a.instance", F.lit(False).alias("known"))
+    pairs = pairs.union(words)
     return pairs.groupBy("pattern", "instance").agg(F.max("known").alias("known"))
 
 
@@ -204,7 +292,7 @@ def confident_patterns(
 
 def _discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     """The added spans by key, in order."""
-    one = scanned.select("key", F.explode("found").alias("c")).where("NOT c.known")
+    one = scanned.select("key", F.explode("found").alias("c")).where("NOT c.base")
     placed = one.select("key", "c.start", "c.stop", F.explode("c.patterns").alias("pattern"))
     spans = placed.join(patterns, "pattern", "left_semi").select("key", "start", "stop").distinct()
     span = F.struct(F.lit(FOUND).alias("kind"), "start", "stop")
