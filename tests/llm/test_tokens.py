@@ -1,10 +1,12 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillbook.llm import token_counts, tokens
 from tillbook.llm.queries import QUERIES
-from tillbook.session import work_path
+from tillbook.llm.rows import near_keys
+from tillbook.session import work_path, written
 
 from .conftest import ODD
 
@@ -54,6 +56,24 @@ def test_only_misses_are_encoded_and_appended(spark, frame):
     assert other[0].n_tokens == 2, "another tokenizer's counts are not taken"
 
 
+def test_stored_texts_are_not_shuffled(spark, frame):
+    """With all texts stored no row reaches the shuffle, and missing ones alone do otherwise."""
+    cache, text = work_path(spark, "cache"), F.col("text")
+    rows = [(i, f"text {i} " * 50) for i in range(400)]
+    token_counts.token_counts(frame(rows), BYTES, cache).collect()
+    stored = token_counts.read_cache(spark, cache, token_counts.tokenizer_version(BYTES))
+
+    def passing(rows):
+        digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+        keyed = frame(rows).select("doc_id", text.alias("content"), digest)
+        missing = written(keyed.select("digest").distinct().join(stored, "digest", "left_anti"), "missing")
+        return near_keys(keyed, missing, "digest")[1].count(), token_counts.missing_texts(keyed, keyed, stored).count()
+
+    assert passing(rows) == (0, 0)
+    some, found = passing(rows + [(900 + i, f"new {i % 3}") for i in range(9)])
+    assert found == 3 and 9 <= some <= 30
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY_WORDS", 10)
     encoder = tokens.WordEncoder(WORDS)

@@ -2,7 +2,8 @@
 
 A text's digest and the digest of the tokenizer's file name a stored count.
 Texts without one are encoded, each distinct text once, and their counts are
-appended to the cache. A hit costs a narrow join of digests. Copies of a text
+appended to the cache. A hit costs a narrow join of digests; its text stays
+where it is read, behind a Bloom filter of the missing digests. Copies of a text
 are reduced inside each task before the shuffle, so a text on a third of all
 rows reaches the other side a few times only.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tillbook.llm import tokens
 from tillbook.llm.batches import map_lists, text_or_empty
+from tillbook.llm.rows import near_keys
 from tillbook.session import written
 
 LIMIT = 1024
@@ -48,10 +50,16 @@ def read_cache(spark: SparkSession, folder: str, version: str) -> DataFrame:
     return counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def missing_texts(keyed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Each distinct text without a stored count, once."""
-    distinct = keyed.select("digest", "content").groupBy("digest").agg(F.first("content").alias("content"))
-    return distinct.join(stored, "digest", "left_anti")
+def missing_texts(keyed: DataFrame, digests: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each distinct text without a stored count, once.
+
+    What is missing is found on digests alone. Texts that are surely stored are
+    left out where they are read; the others are reduced to one a digest inside
+    each task, then shuffled.
+    """
+    missing = written(digests.select("digest").distinct().join(stored, "digest", "left_anti"), "missing")
+    maybe = near_keys(keyed.select("digest", "content"), missing, "digest")[1]
+    return maybe.groupBy("digest").agg(F.first("content").alias("content")).join(missing, "digest", "left_semi")
 
 
 def encode(texts: DataFrame, path: str) -> DataFrame:
@@ -71,8 +79,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     text = text_or_empty()
     digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
     keyed = docs.select("doc_id", text.alias("content"), digest)
-    encode(missing_texts(keyed, read_cache(spark, cache, version)), path).write.mode("append").parquet(cache)
     narrow = written(docs.select("doc_id", digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
+    encode(missing_texts(keyed, narrow, read_cache(spark, cache, version)), path).write.mode("append").parquet(cache)
     # Written, so that a digest on many rows can be split in the last join.
     stored = written(read_cache(spark, cache, version).join(narrow.select("digest").distinct(), "digest", "left_semi"), "counts")
     counted = narrow.join(stored, "digest")
