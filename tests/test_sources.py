@@ -338,3 +338,73 @@ def test_log_records_across_lines_splits_and_rolled_files(spark, folder):
 def test_a_log_without_records(spark, folder):
     (folder / "app.log").write_text("only\nlines\n")
     assert logs.read_records(spark, str(folder)).count() == 0
+
+
+def test_arriving_rows_are_numbered_without_gaps(spark, folder, monkeypatch):
+    """A batch delivered again after a stop, with and without its rows written, keeps its numbers."""
+    from tillbook.sources import appends
+
+    schema = "productCode int, email string, comment string"
+    path, state = f"{folder}/in", f"{folder}/state"
+    table = appends.NumberedStream(spark, "comments", f"{folder}/table", "n", ["comment", "email", "productCode"], after=7)
+
+    def deliver(batch):
+        rows = [(i % 3, "e", f"c{batch}-{i:03}") for i in range(40)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(path)
+
+    def run():
+        table.start(spark.readStream.schema(schema).parquet(path), state).awaitTermination()
+
+    def seen():
+        return {r.comment: r.n for r in table.read().collect()}
+
+    for batch in range(2):
+        deliver(batch)
+        run()
+    before = seen()
+    assert sorted(before.values()) == list(range(8, 88))
+    # The batch was done, but its end not noted.
+    (folder / "state" / "commits" / "1").unlink()
+    (folder / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    deliver(2)
+    run()
+    after = seen()
+    assert {c: after[c] for c in before} == before and sorted(after.values()) == list(range(8, 128))
+    # Stopped between the range and the rows.
+    with monkeypatch.context() as stop:
+        stop.setattr(appends, "numbered", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        deliver(3)
+        with pytest.raises(Exception, match="stopped"):
+            run()
+    assert (folder / "table" / "ranges" / "3" / "_SUCCESS").exists() and not (folder / "table" / "rows" / "batch=3").exists()
+    run()
+    assert sorted(seen().values()) == list(range(8, 168)) and {c: seen()[c] for c in after} == after
+
+
+def test_an_empty_batch_takes_no_numbers(spark, folder):
+    from tillbook.sources import appends
+
+    schema = "productCode int, email string, comment string"
+    table = appends.NumberedStream(spark, "comments", f"{folder}/table", "n", ["comment"])
+    for at, rows in enumerate(([(1, "e", "a")], [], [(None, None, None), (2, "e", "b")])):
+        table.save(spark.createDataFrame(rows, schema), at)
+    assert sorted(r.n for r in table.read().collect()) == [1, 2, 3]
+
+
+def test_windows_from_panes(spark, many_blocks):
+    """Estimates within their error; only sketches are copied into windows, and a window without users has none."""
+    from tillbook.operators import activity as batch
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(u if u % 11 else None, start + dt.timedelta(minutes=(u * 7) % 1800)) for u in range(20000)]
+    rows += [(None, start + dt.timedelta(days=9))]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz")
+    exact = {r.window_start: r.users_online for r in batch.online_over_time(events, "6 hours", "2 hours").collect()}
+    found = batch.online_from_panes(events, "6 hours", "2 hours", 0.02)
+    seen = {r.window_start: r.users_online for r in found.collect()}
+    assert seen.keys() == exact.keys() and min(exact.values()) == 0
+    assert all(abs(seen[w] - n) <= max(1, 0.06 * n) for w, n in exact.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan[plan.rindex("Aggregate") :], "events are not copied into windows"
+    with pytest.raises(ValueError, match="error"):
+        batch.online_from_panes(events, "6 hours", "2 hours", 0)

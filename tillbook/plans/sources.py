@@ -123,6 +123,12 @@ def file_inventory(spark, sf_dir):
     return files.select("name", "extension", (F.col("size") > 0).alias("has_bytes"), F.col("content_type").isNull().alias("unknown_type"))
 
 
+def _messages_as_comments(spark, sf_dir):
+    return Fixtures(spark, sf_dir).table("conversations").select(
+        F.col("conv_id").alias("productCode"), F.concat("role", F.lit("@example.com")).alias("email"), F.col("text").alias("comment")
+    )
+
+
 def appended_comments(spark, sf_dir):
     """Comments after a first load and one appended batch."""
     fx = Fixtures(spark, sf_dir)
@@ -148,6 +154,18 @@ def numbered_comments(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def numbered_comments_stream(spark, sf_dir):
+    """Comments and then messages as they arrive, numbered on by batch."""
+    deliveries = Fixtures(spark, sf_dir).comments.select(*appends.APPEND_TABLES["comments"]), _messages_as_comments(spark, sf_dir)
+    path, checkpoint = work_path(spark, "arriving-comments"), work_path(spark, "numbering-checkpoint")
+    order = ["productCode", "email", "comment"]
+    table = appends.NumberedStream(spark, "comments", work_path(spark, "numbered-stream"), "commentNumber", order)
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(path)
+        table.start(spark.readStream.schema(delivery.schema).parquet(path), checkpoint).awaitTermination()
+    return table.read()
+
+
 def appended_postings(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     path = work_path(spark, "postings")
@@ -318,10 +336,10 @@ def _closed_events(spark, sf_dir):
     return _event_stream(spark, sf_dir).select("user_id", "ts").union(spark.readStream.schema(events.schema).parquet(path))
 
 
-def online_stream(spark, sf_dir):
+def _estimates_beside_counts(spark, sf_dir, estimates):
     """Estimates of all windows beside the exact counts: within three times the stated error of each."""
     out, error = work_path(spark, "online"), 0.02
-    counts = activity.online_over_time(_closed_events(spark, sf_dir), "6 hours", "2 hours", "1 hour", error)
+    counts = estimates(_closed_events(spark, sf_dir), "6 hours", "2 hours", "1 hour", error)
     sinks.write_appends(counts, out, work_path(spark, "online-checkpoint")).awaitTermination()
     exact = batch_activity.online_over_time(spark.read.parquet(f"{sf_dir}/events.parquet"), "6 hours", "2 hours")
     both = exact.join(spark.read.parquet(out).withColumnRenamed("users_online", "estimate"), ["window_start", "window_end"], "full")
@@ -329,6 +347,15 @@ def online_stream(spark, sf_dir):
     return both.select("window_start", "window_end", "users_online", F.coalesce(near, F.lit(False)).alias("within_error"))
 
 
+def online_stream(spark, sf_dir):
+    return _estimates_beside_counts(spark, sf_dir, activity.online_over_time)
+
+
+def online_panes_stream(spark, sf_dir):
+    """The same from one sketch a slide, merged by window."""
+    return _estimates_beside_counts(spark, sf_dir, activity.online_from_panes)
+
+
 def online_exact_stream(spark, sf_dir):
     """The same windows with exact counts."""
     out = work_path(spark, "online")
@@ -387,8 +414,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         delimited_roundtrip, rebuild_report, cell_warnings, database_source, xml_roundtrip, xml_select, text_lines, file_inventory,
-        appended_comments, numbered_comments, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, log_records, json_objects,
-        json_documents, json_sink, lockout_stream, lockout_stream_unlocked, last_activity_stream, last_activity_folded, online_stream, online_exact_stream,
+        appended_comments, numbered_comments, numbered_comments_stream, appended_postings, appended_mailing_list, log_attempts, log_attempts_stream, log_records, json_objects,
+        json_documents, json_sink, lockout_stream, lockout_stream_unlocked, last_activity_stream, last_activity_folded, online_stream, online_panes_stream, online_exact_stream,
         comment_intake, comment_intake_rejected, comment_intake_outcomes,
     )
 }
@@ -399,6 +426,16 @@ _LOG_SQL = with_views("""
     FROM requests JOIN orders ON o_orderkey = attempt""", extra={"requests": store.LOGIN_REQUESTS_SQL})
 _TRIMMED = r"regexp_replace(comment, '^[\t\n\x0B\f\r\x{85}\p{Z}]+|[\t\n\x0B\f\r\x{85}\p{Z}]+$', '', 'g')"
 
+_NUMBERED_SQL = with_views("""
+        SELECT row_number() OVER (ORDER BY "productCode", email, comment) AS "commentNumber", "productCode", email, comment
+        FROM comments
+        UNION ALL
+        SELECT (SELECT count(*) FROM comments) + row_number() OVER (ORDER BY conv_id, role, text), conv_id,
+               role || '@example.com', text
+        FROM conversations""", "comments")
+
+_ONLINE_SQL = f"""SELECT *, true AS within_error FROM ({directory.ORACLES["online_over_time"]})"""
+
 ORACLES = {
     "delimited_roundtrip": with_views('''
         SELECT * REPLACE (CAST("orderNumber" AS INTEGER) AS "orderNumber", CAST("customerNumber" AS INTEGER) AS "customerNumber"),
@@ -437,13 +474,8 @@ ORACLES = {
     "appended_comments": with_views("""
         SELECT "productCode", email, comment FROM comments
         UNION ALL SELECT conv_id, role || '@example.com', text FROM conversations""", "comments"),
-    "numbered_comments": with_views("""
-        SELECT row_number() OVER (ORDER BY "productCode", email, comment) AS "commentNumber", "productCode", email, comment
-        FROM comments
-        UNION ALL
-        SELECT (SELECT count(*) FROM comments) + row_number() OVER (ORDER BY conv_id, role, text), conv_id,
-               role || '@example.com', text
-        FROM conversations""", "comments"),
+    "numbered_comments": _NUMBERED_SQL,
+    "numbered_comments_stream": _NUMBERED_SQL,
     "appended_postings": with_views("""
         SELECT "Title", "Email", "Message" FROM postings UNION ALL SELECT "Title", "Email", "Message" FROM postings""",
         "postings"),
@@ -463,7 +495,8 @@ ORACLES = {
     "last_activity_stream": directory.ORACLES["last_activity"],
     "last_activity_folded": directory.ORACLES["last_activity"],
     "online_exact_stream": directory.ORACLES["online_over_time"],
-    "online_stream": f"""SELECT *, true AS within_error FROM ({directory.ORACLES["online_over_time"]})""",
+    "online_stream": _ONLINE_SQL,
+    "online_panes_stream": _ONLINE_SQL,
     "comment_intake_rejected": with_views(f"""
         SELECT "commentNumber", "productCode", CASE WHEN contains(comment, '!') THEN email || ',x' ELSE email END AS email,
                CASE WHEN contains(comment, '!') THEN 'comma' ELSE 'empty' END AS error

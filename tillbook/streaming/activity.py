@@ -25,6 +25,17 @@ def online_over_time(events: DataFrame, size: str, slide: str, delay: str, error
     return _flat(counted)
 
 
+def online_from_panes(events: DataFrame, size: str, slide: str, delay: str, error: float = 0.02) -> DataFrame:
+    """The estimates from one sketch a slide: an event enters the state once, however many windows it lies in.
+
+    The panes feed the windows once they are complete, so a window comes when the watermark has passed its end.
+    """
+    timed = events.withColumn("event_time", instant("ts")).withWatermark("event_time", delay)
+    counted = activity.online_from_panes(timed, size, slide, error, "event_time")
+    bounds = [wall_clock(F.unix_micros(b)).alias(b) for b in ("window_start", "window_end")]
+    return counted.select(*bounds, "users_online")
+
+
 def exact_online_over_time(events: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
     """The exact counts, for state of one row per user and open window."""
     once = _windowed(events, size, slide, delay).dropDuplicates(["w", "user_id"])
