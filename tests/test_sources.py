@@ -151,6 +151,19 @@ def test_file_inventory_and_lines(spark, folder):
     assert text_files.read_whole(spark, f"{folder}/b.txt").first().text == "one\ntwo\r\nthree"
 
 
+def test_a_table_of_many_files_is_one_entry(spark, folder):
+    (folder / "one.parquet").write_bytes(b"123")
+    spark.range(10).repartition(3).write.parquet(f"{folder}/many.parquet")
+    (folder / "deep.JPG" / "a b" / "c").mkdir(parents=True)
+    (folder / "deep.JPG" / "a b" / "c" / "x%20y.txt").write_bytes(b"12")
+    (folder / "deep.JPG" / "empty").write_bytes(b"")
+    files = text_files.folder_inventory(spark, f"{folder}/").collect()
+    found = {r.name: (r.files, r.extension, r.content_type) for r in files}
+    assert found == {"one.parquet": (1, ".parquet", None), "many.parquet": (3, ".parquet", None), "deep.JPG": (2, ".jpg", "image/jpeg")}
+    assert {r.name: r.size for r in files if r.name != "many.parquet"} == {"one.parquet": 3, "deep.JPG": 2}
+    assert {r.path.removeprefix("file:") for r in files} == {f"{folder}/{name}" for name in found}
+
+
 def test_log_lines_lose_the_password(spark):
     lines = [
         ("INFO  2024-05-06 07:08:09,123    45ms CustomerLogin          ButtonLogOn_Click  - User a b@x attempted to log in with password User z attempted to log in with password q",),
