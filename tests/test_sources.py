@@ -262,6 +262,22 @@ def test_every_delivery_has_one_outcome(spark):
     assert {r.arrived for r in spark.read.parquet(out).where("n = 7").collect()} == {at(1000)}
 
 
+def test_intake_state_is_kept_by_group_not_by_comment(spark, monkeypatch):
+    """The stream calls Python for each of a few groups, and what it remembers goes with the watermark."""
+    monkeypatch.setattr(intake, "GROUPS", 8, raising=False)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "p", "a@x", f"c{i}", start + dt.timedelta(seconds=i)) for i in range(2000)]
+    path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")
+    for _ in range(2):
+        spark.createDataFrame(rows, COMMENT).write.mode("append").parquet(path)
+        judged = intake.outcomes(spark.readStream.schema(COMMENT).parquet(path), "n", "arrived", 600)
+        query = sinks.write_appends(judged, out, state, "outcome")
+        query.awaitTermination()
+        assert all(p.stateOperators[0].numRowsTotal < 100 for p in query.recentProgress)
+    counts = {r.outcome: r["count"] for r in spark.read.parquet(out).groupBy("outcome").count().collect()}
+    assert counts == {"accepted": 2000, "late": 1399, "repeat": 601}
+
+
 def test_last_activity_stream_over_two_runs(spark):
     schema = "user_id bigint, event_type string, ts timestamp_ntz"
     path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")

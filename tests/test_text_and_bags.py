@@ -159,3 +159,16 @@ def test_encoding_audit_shows_no_values(spark):
     result = audit.encoding_audit(frame, "s", ["g"])
     assert result.columns == ["g", "stored", "possibly_encoded"]
     assert result.collect() == [(1, 2, 1)]
+
+
+def test_trimming_takes_separators_and_line_ends_only(spark):
+    """As the expression it replaces, on every character that either might take."""
+    import unicodedata
+
+    from tillbook.functions.text import trimmed
+
+    known = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000)]) if unicodedata.category(c)[0] in "ZC"]
+    frame = spark.createDataFrame([(f"{c}a{c} {c}b\r{c}",) for c in known] + [(c * 3,) for c in known] + [("",), (None,)], "t string")
+    one = r"[\t\n\x0B\f\r\x85\p{Z}]"
+    same = trimmed(F.col("t")).eqNullSafe(F.regexp_replace("t", f"^{one}+|{one}+$", ""))
+    assert frame.where(~same).count() == 0
