@@ -240,3 +240,25 @@ def test_a_stream_from_stored_accounts_with_unlocks_equals_the_batch(spark):
     want[77] = (True, START + dt.timedelta(minutes=3), 4, START, 0, None)
     assert got == want
     assert any(s[0] for s in want.values())
+
+
+def test_stream_state_is_kept_by_group_not_by_account(spark, monkeypatch):
+    """A call for each of a few groups; accounts, unlocks and ties in one group stay apart."""
+    monkeypatch.setattr(stream_lockout, "GROUPS", 4, raising=False)
+    rows = with_unlocks(11, 900, 4000, 6000, 0.05)
+    # Of one time and number: a failure, a success, then an unlock.
+    tie = START + dt.timedelta(minutes=1)
+    rows += [(5000, -5, tie, None, "unlock"), (5000, -5, tie, True, "password"), (5000, -5, tie, False, "passwordAnswer")]
+    rows += [(5001, -5, tie, True, "password"), (5001, -5, tie, False, "password"), (5002, -5, tie, None, "unlock")]
+    path, out, state = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "state")
+    clock = [(None, -1, START + dt.timedelta(days=30), True, "password")]
+    for part in (rows[:2500], rows[2500:] + clock):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        updates = stream_lockout.lockout_updates(spark.readStream.schema(SCHEMA).parquet(path), 3, 60, "10 days", unlocks=True)
+        query = sinks.write_appends(updates, out, state)
+        query.awaitTermination()
+        assert all(p.stateOperators[0].numRowsTotal < 100 for p in query.recentProgress)
+    got = results(stream_lockout.current_state(spark.read.parquet(out)))
+    plain = sorted(rows, key=lambda r: (r[2], r[1], r[4] == "unlock", bool(r[3]), r[4] == "password"))
+    assert got == walk_with_unlocks(plain, 3, 60)
+    assert got[5000][:3] == (False, None, 0) and got[5001][2] == 0 and 5002 not in got
