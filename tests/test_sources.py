@@ -364,6 +364,16 @@ def test_log_records_across_lines_splits_and_rolled_files(spark, folder):
     assert sorted(r.email for r in attempts if r.email.startswith("a")) == sorted(f"a\n\nb{i}" for i in range(0, 300, 3))
 
 
+def test_log_lines_are_not_sorted_to_find_their_records(spark, folder):
+    """Only the row per split goes through a window; a split's lines never wait in one task."""
+    (folder / "app.log.1").write_text("\n".join(_record(i, secret="a\nb") for i in range(20)) + "\n\n")
+    (folder / "app.log").write_text("\n\nend\n" + _record(20) + "\n")
+    found = logs.read_records(spark, str(folder))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "heads" in plan[plan.index("Window [") :]
+    assert sorted(r.message.split()[1] for r in found.collect()) == sorted(f"u{i}" for i in range(21))
+
+
 def test_a_log_without_records(spark, folder):
     (folder / "app.log").write_text("only\nlines\n")
     assert logs.read_records(spark, str(folder)).count() == 0

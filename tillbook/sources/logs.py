@@ -7,11 +7,19 @@ and is in no column.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillbook.session import written
 
+# Ship the functions themselves, so that workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LINE = r"^(\w+)\s+(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3})\s+(\d+)ms\s+(\S+)\s+(\S+)\s+- (.*)$"
 # The first such phrase ends the name: a later one is part of the password.
 ATTEMPT = r"^User (.*?) attempted to log in with password"
@@ -46,6 +54,36 @@ ROLLED = r"\.(\d+)(?:\.gz)?$"
 SECRET = r"(?s)^(User .*? attempted to log in with password).*$"
 
 
+PIECE = "path string, start long, record long, text string"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, record, text) of the records that lie in a split, numbered from 1 along it.
+
+    Lines before the split's first head are record 0. The lines of a split follow each other.
+    """
+    split, record, text = None, 0, []
+    for batch in batches:
+        done = []
+        starts, values = batch["start"].to_pylist(), batch["value"].to_pylist()
+        for path, start, value, head in zip(batch["path"].to_pylist(), starts, values, batch["head"].to_pylist()):
+            if head or split != (path, start):
+                if text:
+                    done.append((*split, record, "\n".join(text)))
+                record = (record if split == (path, start) else 0) + head
+                split, text = (path, start), []
+            text.append(value)
+        if done:
+            yield _as_batch(done)
+    if text:
+        yield _as_batch([(*split, record, "\n".join(text))])
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "start": pa.int64(), "record": pa.int64(), "text": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+
 def read_records(spark: SparkSession, path: str, rolled: str = ROLLED) -> DataFrame:
     """(log, ts, level, logger, method, message) of each record, however many lines it has.
 
@@ -57,36 +95,35 @@ def read_records(spark: SparkSession, path: str, rolled: str = ROLLED) -> DataFr
     before a log's first record belong to none and are left out. A record is one
     value and must fit a row.
 
-    Each split is numbered by itself. What one leaves open is found from a row
-    per split, and only the lines at a split's start move to another record.
+    Each split is cut into records as it is read, without a sort of its lines. What one
+    leaves open is found from a row per split, and only the lines at a split's
+    start move to another record.
     """
-    place = ["log", "roll", "file", "start"]
-    file = F.col("_metadata.file_path")
     lines = spark.read.text(path).select(
-        F.regexp_replace(file, rolled, "").alias("log"),
-        # Older first.
-        (-F.coalesce(F.nullif(F.regexp_extract(file, rolled, 1), F.lit("")).cast("long"), F.lit(0))).alias("roll"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
-        # Rises along a split.
-        F.monotonically_increasing_id().alias("line"),
         F.col("value"),
-        F.col("value").rlike(HEAD).cast("int").alias("head"),
+        F.col("value").rlike(HEAD).alias("head"),
     )
-    along = Window.partitionBy(*place)
-    splits = written(lines.groupBy(*place).agg(F.sum("head").alias("heads")), "log-splits")
+    log = F.regexp_replace("path", rolled, "").alias("log")
+    # Older first.
+    number = F.nullif(F.regexp_extract("path", rolled, 1), F.lit("")).cast("long")
+    roll = (-F.coalesce(number, F.lit(0))).alias("roll")
+    heads = lines.groupBy("path", "file", "start").agg(F.sum(F.col("head").cast("int")).alias("heads"))
+    splits = written(heads.select("path", log, roll, "file", "start", "heads"), "log-splits")
     last = F.when(F.col("heads") > 0, F.struct("roll", "file", "start", F.col("heads").alias("record")))
     before = Window.partitionBy("log").orderBy("roll", "file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    carried = splits.withColumn("_open", F.last(last, ignorenulls=True).over(before))
-    numbered = lines.withColumn("record", F.sum("head").over(along.orderBy("line")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda s: s["value"]), "\n")
-    pieces = numbered.groupBy(*place, "record").agg(text.alias("text"))
+    carried = splits.withColumn("_open", F.last(last, ignorenulls=True).over(before)).select("path", "log", "roll", "file", "start", "_open")
+    pieces = lines.drop("file").mapInArrow(_pieces, PIECE).join(carried, ["path", "start"])
     # At most one piece a split has no head of its own.
-    loose = pieces.where("record = 0").drop("record").join(carried.select(*place, "_open"), place).where("_open IS NOT NULL")
-    rest = loose.groupBy("log", "_open").agg(F.array_sort(F.collect_list(F.struct("roll", "file", "start", "text"))).alias("_rest"))
-    rest = rest.select("log", "_open.*", F.transform("_rest", lambda s: s["text"]).alias("_rest"))
-    whole = pieces.where("record > 0").join(rest, [*place, "record"], "left")
-    value = F.concat_ws("\n", "text", "_rest")
+    own = F.struct("roll", "file", "start", "record")
+    record = F.when(F.col("record") > 0, own).otherwise(F.col("_open"))
+    placed = pieces.select("log", record.alias("_record"), F.struct("roll", "file", "start", "text").alias("_piece"))
+    # Nearly every record is one piece: nothing would combine before the shuffle.
+    dealt = placed.where("_record IS NOT NULL").repartition("log", "_record")
+    whole = dealt.groupBy("log", "_record").agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+    value = F.array_join(F.transform("_pieces", lambda s: s["text"]), "\n")
     part = r"(?s)" + LINE
     return whole.select("log", value.alias("value")).select(
         "log",
