@@ -315,6 +315,42 @@ def test_texts_the_format_cannot_hold_are_refused(spark, folder):
         delimited.write_delimited(frame, f"{folder}/u.txt")
 
 
+def test_rebuild_report_on_wide_keys_and_odd_texts(spark, sf_dir, folder):
+    import duckdb
+
+    from tillbook.plans import registry
+    from tillbook.plans.compare import TABLES, compare
+
+    for name in TABLES:
+        if name not in ("orders", "customer", "documents"):
+            (folder / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    odd = [None, "", "NULL", " NULL ", "\x00", "\x00a", "a\x00b\x00", "\\", '"', "\x85", "\ufeff", " ", "a|b", "a\rb"]
+    store = duckdb.connect()
+    store.execute("CREATE TABLE odd (id BIGINT, t VARCHAR)")
+    store.executemany("INSERT INTO odd VALUES (?, ?)", [(5_000_000_000 + i, t) for i, t in enumerate(odd)])
+    for name, sql in {
+        "orders": """SELECT * REPLACE (o_orderkey + (o_orderkey % 3) * 10000000000 AS o_orderkey,
+                                       CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END AS o_orderstatus,
+                                       o_orderdate + INTERVAL (o_orderkey % 5 * 1500) MICROSECOND AS o_orderdate)""",
+        "customer": """SELECT * REPLACE (c_custkey + (c_custkey % 3) * 10000000000 AS c_custkey,
+                                         CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '' END AS c_mktsegment)""",
+        "documents": "SELECT id AS doc_id, t AS text, 'en' AS lang, 'x' AS source, 1 AS n_chars FROM odd UNION ALL SELECT *",
+    }.items():
+        store.execute(f"COPY ({sql} FROM '{sf_dir}/{name}.parquet') TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    report = registry.queries()["rebuild_report"](spark, str(folder))
+    assert compare(report, registry.oracles()["rebuild_report"], str(folder)) is None
+
+
+def test_zeros_in_texts_survive_the_delimited_format(spark, folder):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in "ab"])
+    rows = [("\x00", "x"), ("\x00\x00a", "\x00"), ("a\x00b", "b\\\x00"), ("x", "\x00\\")]
+    assert delimited.write_delimited(spark.createDataFrame(rows, schema), f"{folder}/t.txt") == 0
+    back = delimited.read_delimited(spark, f"{folder}/t.txt", schema).drop(delimited.BAD)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
 def test_an_empty_file_is_a_table_without_rows(spark, folder):
     (folder / "in").mkdir()
     (folder / "in" / "orders.txt").write_bytes(b"")

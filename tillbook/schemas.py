@@ -5,12 +5,13 @@ Fixed values throughout; they must equal the declared tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
 _TYPES = {
     "int": T.IntegerType(),
+    "long": T.LongType(),
     "short": T.ShortType(),
     "double": T.DoubleType(),
     "text": T.StringType(),
@@ -41,6 +42,10 @@ class Table:
         kinds = {c: t.rstrip("?").split("(")[0] for c, t in self.columns.items()}
         return T.StructType([T.StructField(c, _TYPES[k], True) for c, k in kinds.items()])
 
+    def wide(self) -> Table:
+        """The same table with 64 bits for an int, as the keys of the given tables have."""
+        return replace(self, columns={c: "long" + t[3:] if t.startswith("int") else t for c, t in self.columns.items()})
+
 
 TABLES = {
     t.name: t

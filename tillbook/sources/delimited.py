@@ -11,7 +11,10 @@ from tillbook.schemas import MONEY_COLUMNS, MONEY_TYPE, NO_DATE, TABLES, Table
 from tillbook.session import written
 
 BAD = "_corrupt_record"
-DATE_FORMAT = "yyyy-MM-dd[ HH:mm:ss]"
+DATE_FORMAT = "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]"
+# The format has no quotes and no comments. Spark's "none" for both is the character zero, which a text may hold; no
+# line holds a line end.
+NO_QUOTES = {"quote": "\n", "comment": "\n"}
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -24,7 +27,7 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> Data
         .option("sep", "|")
         .option("nullValue", "NULL")
         .option("emptyValue", "")
-        .option("quote", "")
+        .options(**NO_QUOTES)
         .option("encoding", "UTF-8")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD)
@@ -109,7 +112,7 @@ def representable(df: DataFrame) -> Column:
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StringType):
             text = F.col(field.name)
-            fits = fits & (text.isNull() | (~text.rlike(r"[|\r\n\x00]") & ~text.isin("NULL", "")))
+            fits = fits & (text.isNull() | (~text.rlike(r"[|\r\n]") & ~text.isin("NULL", "")))
     return fits
 
 
@@ -122,7 +125,7 @@ def write_delimited(df: DataFrame, path: str, refused: str | None = None) -> int
     counts, fits = Observation(), representable(df)
     seen = df.observe(counts, F.count(F.when(~fits, 1)).alias("refused"))
     seen.where(fits).write.mode("overwrite").options(
-        sep="|", nullValue="NULL", emptyValue="", quote="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
+        sep="|", nullValue="NULL", emptyValue="", **NO_QUOTES, timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
         ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
     ).csv(path)
     number = counts.get["refused"]
