@@ -1,6 +1,7 @@
 """Files, databases, logs, XML, JSON and streams on small inputs."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,6 +301,51 @@ def test_online_stream_estimates_the_batch_counts(spark, sf_dir):
     assert all(abs(n - exact[w]) <= max(1, 0.1 * exact[w]) for w, n in seen.items())
 
 
+def _shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_streams_free_the_shuffle_files_of_their_batches(spark, folder):
+    comments = spark.range(40).selectExpr("id", "'c' AS productCode", "'e' AS email", "'x' AS comment", "timestamp_seconds(id) AS at")
+    comments.repartition(4).write.parquet(f"{folder}/in")
+    before = _shuffle_files(spark)
+    stream = spark.readStream.schema(comments.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    judged = intake.outcomes(stream, "id", "at", 60)
+    sinks.write_appends(judged, f"{folder}/out", f"{folder}/state").awaitTermination()
+    until = time.time() + 10
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert spark.read.parquet(f"{folder}/out").count() == 40
+    assert spark.conf.get(sinks.SHUFFLE_CLEANUP) == "false"
+
+
+def test_outcomes_of_deliveries_cut_into_batches(spark, sf_dir, monkeypatch):
+    import pathlib
+
+    from tillbook.plans import registry, sources
+    from tillbook.plans.compare import compare
+
+    made = {}
+    monkeypatch.setattr(sources, "PART_FILES", 1)
+    monkeypatch.setattr(sources, "work_path", lambda s, label: made.setdefault(label, work_path(s, label)))
+    size = "spark.sql.files.maxPartitionBytes"
+    kept = spark.conf.get(size)
+    spark.conf.set(size, "50000")
+    try:
+        result = registry.queries()["comment_intake_outcomes"](spark, sf_dir)
+    finally:
+        spark.conf.set(size, kept)
+    assert compare(result, registry.oracles()["comment_intake_outcomes"], sf_dir) is None
+    path = {label: pathlib.Path(p.removeprefix("file:")) for label, p in made.items()}
+    batches = [n for n in (path["outcome-checkpoint"] / "commits").iterdir() if n.name.isdigit()]
+    # One and what the watermark then lets go, and the second's parts.
+    assert len(batches) >= 2 + sources.PARTS - 1
+    assert len(list(path["comment-stream"].glob("*.parquet"))) <= 4
+
+
 def test_texts_the_format_cannot_hold_are_refused(spark, folder):
     from pyspark.sql import types as T
 

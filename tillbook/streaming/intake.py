@@ -52,6 +52,8 @@ ACCEPTED, REJECTED, REPEAT, LATE = "accepted", "rejected", "repeat", "late"
 JUDGED = "row string, error string, outcome string"
 # Groups that rows are dealt to, by their key. It is part of a stream's state and must stay as it is.
 GROUPS = 1024
+# RocksDB reserves 4 MB a store for its logs, more than the keys of most take.
+NO_RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 # Pieces of a group's state that are read before they are joined into one.
 PIECES = 16
 # Micros survive; the formats of both directions.
@@ -136,6 +138,7 @@ def outcomes(comments: DataFrame, key: str, arrived: str, delay_seconds: int) ->
     spread over the groups.
     """
     comments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    comments.sparkSession.conf.set(NO_RESERVE, "false")
     schema = comments.schema
     missing = F.col(key).isNull() | F.col(arrived).isNull()
     # A column of its own: the rules read the whole text, once.
